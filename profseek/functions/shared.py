@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_profseek_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parents[1]
+    folder = pathlib.Path(tempfile.mkdtemp(prefix="profseek-code-"))
+    archive = folder / "profseek.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._profseek_shipped = True

@@ -69,7 +69,7 @@ def tiles_from_wide(profiles: DataFrame, cfg, has_long: bool = True) -> DataFram
             F.lit(0).cast("long").alias("tile"), n.cast("int").alias("core"), "bases",
             capped(F.col("reactivity"), cfg.max_reactivity).alias("reactivity"))
     starts = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / size).cast("int"), F.lit(0)))
-    cut = base.withColumn("tile", F.explode(starts).cast("long"))
+    cut = base.withColumn("tile", F.explode(starts.cast("array<bigint>")))
     at = (F.col("tile") * size + 1).cast("int")
     return cut.select(
         F.col("id").alias("target_id"), F.col("ord").alias("target_ord"), "target_len", "tile",
