@@ -48,3 +48,21 @@ def ship_package(spark: SparkSession) -> None:
             out.write(file, file.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._profseek_shipped = True
+
+
+def file_uri(path: str) -> str:
+    """A URI that Arrow file systems accept, from a Spark path."""
+    if path.startswith("s3a://"):
+        return "s3://" + path[len("s3a://"):]
+    if path.startswith("file:/"):
+        return "file://" + path[len("file:"):].replace("///", "/", 1)
+    if "://" not in path:
+        return "file://" + str(pathlib.Path(path).resolve())
+    return path
+
+
+def filesystem(path: str):
+    """(file system, path inside it) for use inside tasks."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(file_uri(path))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profseek.functions.shared import checkpointed, fresh_path
+from profseek.functions.shared import checkpointed, filesystem, fresh_path
 from profseek.operators.tiles import TiledDb
 from profseek.schema import MISSING_SENTINEL
 
@@ -41,10 +41,9 @@ class QueryBlocks:
             yield self.broadcast.value
             return
         import pyarrow.dataset as ds
-        from pyarrow.fs import FileSystem
 
-        for uri in self.paths:
-            fs, path = FileSystem.from_uri(uri)
+        for folder in self.paths:
+            fs, path = filesystem(folder)
             yield _block(ds.dataset(path, filesystem=fs, format="parquet").to_table())
 
 
@@ -84,11 +83,7 @@ def prepare_blocks(windows: DataFrame, query_cells: int, cfg) -> QueryBlocks:
      .repartition(int(n), "block").write.partitionBy("block").parquet(path))
     found = spark.read.parquet(path).select(F.input_file_name().alias("f")).distinct()
     folders = found.select(F.regexp_replace("f", "/[^/]+$", "").alias("d")).distinct().orderBy("d")
-    return QueryBlocks(None, [_as_uri(r["d"]) for r in folders.toLocalIterator()])
-
-
-def _as_uri(path: str) -> str:
-    return "file://" + path[len("file:"):] if path.startswith("file:/") and not path.startswith("file://") else path
+    return QueryBlocks(None, [r["d"] for r in folders.toLocalIterator()])
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
