@@ -134,7 +134,8 @@ def read_native(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
         decode, "id string, ord long, bases string, reactivity array<double>, molecule string")
 
 
-def encode_record(name: str, bases: str, values) -> bytes:
+def encode_record(name: str, bases: str, cells: np.ndarray) -> bytes:
+    """One record; `cells` are little-endian doubles with the sentinel for missing values."""
     raw = name.encode() + b"\0"
     n = len(bases)
     code = np.zeros(256, dtype=np.uint8)
@@ -142,8 +143,7 @@ def encode_record(name: str, bases: str, values) -> bytes:
     codes = np.zeros(n + n % 2, dtype=np.uint8)
     codes[:n] = code[np.frombuffer(bases.encode(), dtype=np.uint8)]
     packed = (codes[0::2] << 4 | codes[1::2]).tobytes()
-    cells = np.array([-999.0 if v is None or v != v else v for v in values], dtype="<f8").tobytes()
-    return struct.pack("<I", len(raw)) + raw + struct.pack("<I", n) + packed + cells
+    return struct.pack("<I", len(raw)) + raw + struct.pack("<I", n) + packed + cells.astype("<f8").tobytes()
 
 
 def footer(count: int) -> bytes:
@@ -164,9 +164,14 @@ def write_native(profiles: DataFrame, path: str) -> int:
         draft, count = f"{inner}/.part-{part:05d}-{attempt}", 0
         with fs.open_output_stream(draft) as out:
             for batch in batches:
-                for row in batch.to_pylist():
-                    out.write(encode_record(row["id"], row["bases"], row["reactivity"]))
-                    count += 1
+                lists = batch.column("reactivity")
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                flat = np.where(np.isnan(flat), -999.0, flat)
+                bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                names, bases = batch.column("id").to_pylist(), batch.column("bases").to_pylist()
+                for name, letters, a, b in zip(names, bases, bounds[:-1], bounds[1:]):
+                    out.write(encode_record(name, letters, flat[a:b]))
+                count += batch.num_rows
             out.write(footer(count))
         if count:
             fs.move(draft, f"{inner}/part-{part:05d}.db")
