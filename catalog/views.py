@@ -49,7 +49,8 @@ def db_tiles(spark: SparkSession, sf: str, cfg: SearchConfig = CFG) -> TiledDb:
 
 def query_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Long rows of the query profiles: every event type on every slot of the table's time span."""
-    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(SLOT_SECONDS * 1_000_000)).cast("long")
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    slot = F.floor(micros / F.lit(SLOT_SECONDS * 1_000_000)).cast("long")
     first = F.min(F.struct("ts", "event_id", "value"))["value"]
     opened = events(spark, sf).withColumn("slot", slot).groupBy("event_type", "slot").agg(first.alias("value"))
     span = opened.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
