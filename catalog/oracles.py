@@ -103,7 +103,7 @@ _walk("down", "upped", "s.up_score", f"least({reach('s.down0')}, s.z - 1 - s.q_e
       "s.d_end + u.i")
 CTES["ext"] = f"""SELECT query_id, target_id, q_start AS q_seed_start, q_end AS q_seed_end, d_start AS d_seed_start, d_end AS d_seed_end,
  seed_score, q_start - up_n AS q_start, q_end + down_n AS q_end, d_start - up_n AS d_start, d_end + down_n AS d_end, raw_score,
- raw_score * ln(q_end + down_n - (q_start - up_n) + 1) / ln(z - a) AS score FROM (
+ CAST(CAST(raw_score * (ln(q_end + down_n - (q_start - up_n) + 1) / ln(z - a)) AS FLOAT) AS DOUBLE) AS score FROM (
  SELECT s.*, CASE WHEN u.total >= s.up_score THEN u.total ELSE s.up_score END AS raw_score,
  CASE WHEN u.total >= s.up_score THEN u.i0 ELSE 0 END AS down_n FROM upped s LEFT JOIN down_best u USING ({_KEY}))"""
 

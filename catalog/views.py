@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profseek.config import SearchConfig
-from profseek.operators.numbering import largest_group, number_positions
-from profseek.operators.tiles import TiledDb, tiled_long, wide_from_long
+from profseek.operators.numbering import number_positions
+from profseek.operators.tiles import Sizes, TiledDb, tiled_long, wide_from_long
 
 CFG = SearchConfig(kmer_len=8, kmer_min_complexity=0.2, kmer_max_match_every_nt=5, max_kmer_dist=20,
                    inclusion_evalue=1.0, report_evalue=10.0, null_hsgs=2000)
@@ -25,17 +25,17 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet")
 
 
-def db_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    """(id, ord, pos, group_len, base, reactivity) of the database and its longest profile."""
+def db_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, Sizes]:
+    """(id, ord, pos, group_len, base, reactivity) of the database and its sizes."""
     base = F.lit("N")
     for kind, letter in BASES.items():
         base = F.when(F.col("event_type") == kind, letter).otherwise(base)
     rows = events(spark, sf).select(
         F.col("user_id").cast("string").alias("id"), "ts", "event_id", base.alias("base"),
         F.when(F.col("event_id") % 97 != 0, F.col("value") / 100.0).alias("reactivity"))
-    longest = largest_group(rows, "id")
-    numbered = number_positions(rows, ["id"], ["ts", "event_id"], largest=longest)
-    return numbered.select("id", F.lit(0).cast("long").alias("ord"), "pos", "group_len", "base", "reactivity"), longest
+    sizes = Sizes.of_rows(rows, "id")
+    numbered = number_positions(rows, ["id"], ["ts", "event_id"], largest=sizes.longest)
+    return numbered.select("id", F.lit(0).cast("long").alias("ord"), "pos", "group_len", "base", "reactivity"), sizes
 
 
 def db_profiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,8 +43,8 @@ def db_profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def db_tiles(spark: SparkSession, sf: str, cfg: SearchConfig = CFG) -> TiledDb:
-    rows, longest = db_rows(spark, sf)
-    return tiled_long(rows, cfg, longest)
+    rows, sizes = db_rows(spark, sf)
+    return tiled_long(rows, cfg, sizes)
 
 
 def query_rows(spark: SparkSession, sf: str) -> DataFrame:

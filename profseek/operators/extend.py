@@ -39,117 +39,178 @@ def pair_scores(q: np.ndarray, t: np.ndarray, cfg) -> np.ndarray:
     return np.where(np.isnan(diff), m0, score)
 
 
-class _Side:
-    """Padded slices of one direction for a group of seeds, read outward from the seed."""
+class Side:
+    """Slices of one direction for seeds that share a band, read outward from the seed."""
 
-    def __init__(self, queries, targets, q_bases, t_bases):
+    def __init__(self, parts, band: int):
+        queries, targets, q_bases, t_bases = zip(*parts)
+        self.band = band
         self.nq = np.array([len(x) for x in queries], dtype=np.int64)
         self.nt = np.array([len(x) for x in targets], dtype=np.int64)
-        self.q, self.t = _padded(queries, np.float64, np.nan), _padded(targets, np.float64, np.nan)
-        self.qb, self.tb = _padded(q_bases, np.uint8, 0), _padded(t_bases, np.uint8, 1)
+        # query cell k sits at row k + band + 2, so row i of the grid reads rows i .. i + 2 band + 1
+        self.q, self.qb = _padded(queries, np.float64, np.nan, band + 2), _padded(q_bases, np.uint8, 0, band + 2)
+        self.t, self.tb = _padded(targets, np.float64, np.nan, 0), _padded(t_bases, np.uint8, 1, 0)
 
 
-def _padded(rows, dtype, fill) -> np.ndarray:
-    width = max((len(r) for r in rows), default=0)
-    out = np.full((width, len(rows)), fill, dtype=dtype)
+def _padded(rows, dtype, fill, border: int) -> np.ndarray:
+    """Columns of different length in one array, with extra rows on both ends."""
+    width = max(len(r) for r in rows)
+    out = np.full((width + 2 * border, len(rows)), fill, dtype=dtype)
     for at, row in enumerate(rows):
-        out[: len(row), at] = row
+        out[border: border + len(row), at] = row
     return out
 
 
-def extend_side(side: _Side, start: np.ndarray, cfg):
-    """Best cell, its score and the traceback grid of every seed of the group."""
-    n = len(start)
-    rows, cols = side.nt + 1, side.nq + 1
-    small = np.minimum(rows, cols)
-    band = np.maximum(_round_half_up(small * cfg.align_len_tolerance), MIN_BAND)
-    rows, cols = np.minimum(rows, small + band), np.minimum(cols, small + band)
+def band_of(nq: int, nt: int, tolerance: float) -> int:
+    return max(int(np.floor((min(nq, nt) + 1) * tolerance + 0.5)), MIN_BAND)
+
+
+class _Grid:
+    """Running state of the seeds that are still alive."""
+
+    def __init__(self, side: Side, start: np.ndarray):
+        small = np.minimum(side.nt, side.nq) + 1
+        self.seed = np.arange(len(start))
+        self.rows = np.minimum(side.nt + 1, small + side.band)
+        self.cols = np.minimum(side.nq + 1, small + side.band)
+        self.q, self.t, self.qb, self.tb = side.q, side.t, side.qb, side.tb
+        self.start, self.best = start, start.copy()
+        self.best_row, self.best_at = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+
+    def keep(self, alive: np.ndarray) -> None:
+        for name in ("seed", "rows", "cols", "start", "best", "best_row", "best_at"):
+            setattr(self, name, getattr(self, name)[alive])
+        for name in ("q", "t", "qb", "tb"):
+            setattr(self, name, getattr(self, name)[:, alive])
+
+
+def extend_side(side: Side, start: np.ndarray, cfg, with_trace: bool = True):
+    """Best score and cell (row, col) of every seed, and the traceback grid.
+
+    Rows are computed in band coordinates: column j of row i is at j - i + band + 1.
+    """
+    n, b = len(start), side.band
+    width = 2 * b + 2
     gap_open, gap_ext = cfg.align_gap_open_penalty, cfg.align_gap_ext_penalty
     rate, max_drop = cfg.align_max_drop_off_rate, cfg.align_max_drop_off_bases
-    b_max, c_max, r_max = int(band.max()), int(cols.max()), int(rows.max())
-    width = 2 * b_max + 3  # column j of row i is kept at j - i + b_max + 1
-    trace = np.zeros((r_max, width, n), dtype=np.uint8)
-    best, best_row, best_col = start.copy(), np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    border = np.arange(1, b_max + 2)
-    edge = start[None, :] + gap_open + border[:, None] * gap_ext
-    edge_drop = np.cumsum(edge < start * rate, axis=0)
-    prev = np.full((c_max + 1, n), np.nan)
-    prev_tb, prev_drop = np.zeros((c_max + 1, n), np.uint8), np.zeros((c_max + 1, n), np.int32)
-    prev[0] = start
-    for j in range(1, min(b_max + 1, c_max - 1) + 1):
-        on = (j <= band + 1) & (j < cols)
-        prev[j, on], prev_tb[j, on], prev_drop[j, on] = edge[j - 1, on], LEFT, edge_drop[j - 1, on]
-        if j + b_max + 1 < width:
-            trace[0, j + b_max + 1, on] = LEFT
-    live = (side.nt > 0) & (side.nq > 0)
-
-    def settle(i, j, score, parent_drop, on):
-        """A new best (ties go to the later cell), or one more base below the drop-off limit."""
-        nonlocal best
-        better = on & (score >= best)
-        low = on & ~better & (score > 0) & (score < best * rate)
-        drop = np.where(low, parent_drop + 1, 0)
-        out = low & (drop > max_drop)
-        best[better] = score[better]
-        best_row[better], best_col[better] = i, j
-        return np.where(out, -np.inf, score), np.where(out, 0, drop)
-
-    for i in range(1, r_max):
-        live = live & (i < rows)
-        if not live.any():
-            break
-        cur = np.full((c_max + 1, n), np.nan)
-        cur_tb, cur_drop = np.zeros((c_max + 1, n), np.uint8), np.zeros((c_max + 1, n), np.int32)
-        on = live & (i <= band + 1)
-        if i <= b_max + 1:
-            cur[0, on], cur_tb[0, on], cur_drop[0, on] = edge[i - 1, on], UP, edge_drop[i - 1, on]
-            if 0 <= b_max + 1 - i < width:
-                trace[i, b_max + 1 - i, on] = UP
-        lo, hi = np.maximum(1, i - band), np.minimum(i + band, cols)
-        positive = np.zeros(n, dtype=bool)
-        for j in range(max(1, i - b_max - 1), min(i + b_max, c_max - 1) + 1):
-            left_edge = live & (lo > 1) & (j == lo - 1)
-            inner = live & (j >= lo) & (j < hi)
-            # the cell right of the band exists only in rows that stay alive
-            right_edge = live & (j == hi) & (hi < cols) & positive
-            on = left_edge | inner | right_edge
-            if not on.any():
-                continue
-            gap_up = prev[j] + gap_ext + np.where(prev_tb[j] == DIAGONAL, gap_open, 0.0)
-            gap_left = cur[j - 1] + gap_ext + np.where(cur_tb[j - 1] == DIAGONAL, gap_open, 0.0)
-            step = pair_scores(side.q[j - 1], side.t[i - 1], cfg)
-            if cfg.align_score_seq:
-                step = step + np.where(side.qb[j - 1] == side.tb[i - 1], cfg.align_seq_match_score,
-                                       cfg.align_seq_mismatch_score)
-            diag = prev[j - 1] + step
-            with np.errstate(invalid="ignore"):
-                take_diag = (diag >= gap_left) & ((diag >= gap_up) | right_edge)
-                take_left = ~take_diag & ((gap_left >= gap_up) | right_edge)
-            take_diag &= ~left_edge
-            take_left &= ~left_edge
-            score = np.where(take_diag, diag, np.where(take_left, gap_left, gap_up))
-            tb = np.where(take_diag, DIAGONAL, np.where(take_left, LEFT, UP)).astype(np.uint8)
-            parent = np.where(take_diag, prev_drop[j - 1], np.where(take_left, cur_drop[j - 1], prev_drop[j]))
-            positive |= inner & (score > 0)
-            kept, drop = settle(i, j, score, parent, on)
-            cur[j, on], cur_tb[j, on], cur_drop[j, on] = kept[on], tb[on], drop[on]
-            trace[i, j - i + b_max + 1, on] = tb[on]
-        live = live & positive
-        prev, prev_tb, prev_drop = cur, cur_tb, cur_drop
-    return best, best_row, best_col, trace, b_max
-
-
-def _walk(trace: np.ndarray, b_max: int, at: int, row: int, col: int) -> tuple[str, str]:
+    best, best_row, best_at = start.copy(), np.zeros(n, np.int64), np.full(n, b + 1, np.int64)
+    g = _Grid(side, start.astype(float))
+    trace = np.zeros((int(g.rows.max(initial=1)), width, n), dtype=np.uint8) if with_trace else None
+
+    steps = np.arange(1, b + 2)
+    edge = g.start[None, :] + gap_open + steps[:, None] * gap_ext
+    edge_drop = np.cumsum(edge < g.start * rate, axis=0)
+    prev = np.full((width + 1, n), -np.inf)
+    prev_gap, prev_drop = np.full((width + 1, n), -np.inf), np.zeros((width + 1, n), np.int64)
+    prev[b + 1], prev_gap[b + 1] = g.start, g.start + gap_ext + gap_open
+    inside = steps[:b, None] < g.cols[None, :]
+    prev[b + 2: width] = np.where(inside, edge[:b], -np.inf)
+    prev_gap[b + 2: width], prev_drop[b + 2: width] = prev[b + 2: width] + gap_ext, edge_drop[:b]
+    if with_trace:
+        trace[0, b + 2: width] = LEFT
+    alive = g.rows > 1
+    i = 0
+    while True:
+        i += 1
+        alive &= (i < g.rows) & (g.cols > 1)
+        count = int(alive.sum())
+        if count < 0.6 * len(alive) or not count:
+            best[g.seed], best_row[g.seed], best_at[g.seed] = g.best, g.best_row, np.where(
+                g.best_row == 0, b + 1, g.best_at)
+            if not count:
+                break
+            g.keep(alive)
+            prev, prev_gap, prev_drop = prev[:, alive], prev_gap[:, alive], prev_drop[:, alive]
+            edge, edge_drop, alive = edge[:, alive], edge_drop[:, alive], alive[alive]
+        m = len(g.seed)
+        # scores of the whole row at once
+        pair = pair_scores(g.q[i: i + width], g.t[i - 1][None, :], cfg) if i + width <= len(g.q) else pair_scores(
+            _grown(g.q, i, width), g.t[i - 1][None, :], cfg)
+        if cfg.align_score_seq:
+            letters = g.qb[i: i + width] if i + width <= len(g.qb) else _grown(g.qb, i, width)
+            pair = pair + np.where(letters == g.tb[i - 1][None, :], cfg.align_seq_match_score,
+                                   cfg.align_seq_mismatch_score)
+        diag, up = prev[:width] + pair, prev_gap[1:]
+        from_diag = diag >= up
+        stem = np.maximum(diag, up)
+        stem_drop = np.where(from_diag, prev_drop[:width], prev_drop[1:])
+        stem_cost = np.where(from_diag, gap_open + gap_ext, gap_ext)
+        column = i - b - 1 + np.arange(width)
+        within = (column[:, None] >= 1) & (column[:, None] < g.cols[None, :]) & alive[None, :]
+        cur, cur_gap = np.full((width + 1, m), -np.inf), np.full((width + 1, m), -np.inf)
+        cur_drop = np.zeros((width + 1, m), np.int64)
+        moves = np.where(from_diag, DIAGONAL, UP).astype(np.uint8)
+        positive = np.zeros(m, dtype=bool)
+
+        def settle(o: int, score: np.ndarray, parent: np.ndarray, on: np.ndarray, from_left) -> None:
+            """A new best (ties go to the later cell), or one more base below the drop-off limit."""
+            better = on & (score >= g.best)
+            low = on & (score > 0) & (score < g.best * rate) & ~better
+            drop = np.where(low, parent + 1, 0)
+            out = drop > max_drop
+            np.copyto(g.best, score, where=better)
+            g.best_row[better], g.best_at[better] = i, o
+            kept = np.where(on & ~out, score, -np.inf)
+            cur[o], cur_drop[o] = kept, np.where(out, 0, drop)
+            cur_gap[o] = kept + (gap_ext if from_left is None else np.where(from_left, gap_ext, stem_cost[o]))
+
+        first = 1
+        if i <= b + 1:  # the border cell of column 0
+            first = b + 2 - i
+            o = b + 1 - i
+            cur[o], cur_gap[o], cur_drop[o] = edge[i - 1], edge[i - 1] + gap_ext, edge_drop[i - 1]
+            moves[o] = UP
+        else:  # the cell left of the band comes from above only
+            moves[0] = UP
+            settle(0, up[0], prev_drop[1], within[0], None)
+        for o in range(first, width):
+            on = within[o]
+            if o == width - 1:  # the cell right of the band: only in rows that stay alive, never from above
+                alive &= positive
+                on = on & alive
+                stem[o], stem_drop[o], stem_cost[o] = diag[o], prev_drop[o], gap_open + gap_ext
+                from_diag[o], moves[o] = True, DIAGONAL
+            left = cur_gap[o - 1]
+            from_left = np.where(from_diag[o], left > stem[o], left >= stem[o])
+            score = np.maximum(left, stem[o])
+            if o < width - 1:
+                positive |= on & (score > 0)
+            np.copyto(moves[o], LEFT, where=from_left)
+            settle(o, score, np.where(from_left, cur_drop[o - 1], stem_drop[o]), on, from_left)
+        if with_trace:
+            trace[i][:, g.seed] = moves
+        prev, prev_gap, prev_drop = cur, cur_gap, cur_drop
+    return best, best_row, best_row + best_at - b - 1, trace
+
+
+def _grown(rows: np.ndarray, at: int, width: int) -> np.ndarray:
+    """A row window that runs past the end, filled with missing."""
+    out = np.full((width, rows.shape[1]), np.nan if rows.dtype == np.float64 else 0, dtype=rows.dtype)
+    part = rows[at: at + width]
+    out[: len(part)] = part
+    return out
+
+
+def walk_back(trace: np.ndarray, band: int, row: np.ndarray, col: np.ndarray) -> list[tuple[str, str]]:
     """Query and target paths outward from the seed edge; 'x' is a base, '-' a gap."""
-    q, t = [], []
-    while row or col:
-        move = trace[row, col - row + b_max + 1, at]
-        q.append("-" if move == UP else "x")
-        t.append("-" if move == LEFT else "x")
-        row -= move != LEFT
-        col -= move != UP
-    return "x" + "".join(reversed(q)), "x" + "".join(reversed(t))
+    row, col, at = row.copy(), col.copy(), np.arange(len(row))
+    query, target = [], []
+    length = np.zeros(len(row), dtype=np.int64)
+    while True:
+        on = (row > 0) | (col > 0)
+        if not on.any():
+            break
+        move = trace[row, np.where(on, col - row + band + 1, 0), at]
+        query.append(np.where(move == UP, ord("-"), ord("x")).astype(np.uint8))
+        target.append(np.where(move == LEFT, ord("-"), ord("x")).astype(np.uint8))
+        length += on
+        row = np.where(on & (move != LEFT), row - 1, row)
+        col = np.where(on & (move != UP), col - 1, col)
+    if not query:
+        return [("x", "x")] * len(row)
+    q, t = np.stack(query, 1), np.stack(target, 1)
+    return [("x" + q[k, :m][::-1].tobytes().decode(), "x" + t[k, :m][::-1].tobytes().decode())
+            for k, m in enumerate(length)]
 
 
 def _clip(x: int, lo: int, hi: int) -> int:
@@ -176,47 +237,57 @@ class _Seed:
         self.down = (q[qa:qz], t[ta - off:tz - off], qb[qa:qz], tb[ta - off:tz - off])
         self.down_from = (q1, d1)
         self.length = d1 - d0 + 1
-        self.grid = max(len(self.up[0]), len(self.up[1]), 1), max(len(self.down[0]), len(self.down[1]), 1)
 
 
-def _groups(seeds: list[_Seed], cfg) -> list[np.ndarray]:
-    """Seed numbers in groups of similar size whose tracebacks stay within GRID_BYTES."""
-    order = sorted(range(len(seeds)), key=lambda i: (max(seeds[i].grid), seeds[i].grid))
+def _groups(parts, cfg, with_path: bool) -> list[tuple[int, np.ndarray]]:
+    """(band, seed numbers) of seeds with one band and similar size, bounded in memory."""
+    sizes = np.array([(len(p[0]), len(p[1])) for p in parts])
+    bands = np.array([band_of(q, t, cfg.align_len_tolerance) for q, t in sizes])
+    order = np.lexsort((sizes.max(axis=1), bands))
     out, held = [], []
-    for i in order:
-        size = max(seeds[i].grid) + 1
-        cells = size * (2 * max(MIN_BAND, int(size * cfg.align_len_tolerance) + 1) + 3)
-        if held and ((len(held) + 1) * cells > GRID_BYTES or size > 1.25 * (max(seeds[held[0]].grid) + 16)):
-            out.append(np.array(held))
+    for at in order:
+        band, size = int(bands[at]), int(sizes[at].max()) + 1
+        bytes_each = (2 * band + 2) * (size if with_path else 64)
+        if held and (band != bands[held[0]] or (len(held) + 1) * bytes_each > GRID_BYTES
+                     or size > 2 * (sizes[held[0]].max() + 16)):
+            out.append((int(bands[held[0]]), np.array(held)))
             held = []
-        held.append(i)
+        held.append(at)
     if held:
-        out.append(np.array(held))
+        out.append((int(bands[held[0]]), np.array(held)))
     return out
 
 
-def _one_direction(seeds, parts, start, with_path, cfg):
-    side = _Side(*[[p[i] for p in parts] for i in range(4)])
-    best, row, col, trace, b_max = extend_side(side, start, cfg)
-    paths = [_walk(trace, b_max, at, int(row[at]), int(col[at])) if with_path else ("", "")
-             for at in range(len(seeds))]
+def extend_direction(parts, start: np.ndarray, with_path: bool, cfg):
+    """Best score, row, column and paths of every seed in one direction."""
+    n = len(parts)
+    best, row, col = start.astype(float), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    paths = [("x", "x")] * n
+    for band, group in _groups(parts, cfg, with_path):
+        some = group[[len(parts[k][0]) > 0 and len(parts[k][1]) > 0 for k in group]]
+        if not len(some):
+            continue
+        best[some], row[some], col[some], trace = extend_side(Side([parts[k] for k in some], band), start[some], cfg,
+                                                              with_path)
+        if with_path:
+            for k, found in zip(some, walk_back(trace, band, row[some], col[some])):
+                paths[k] = found
     return best, row, col, paths
 
 
-def extend_group(seeds: list[_Seed], scores: np.ndarray, with_path: bool, cfg):
+def extend_batch(seeds: list[_Seed], scores: np.ndarray, with_path: bool, cfg):
     """Upstream first; downstream continues from the upstream score."""
-    up, up_row, up_col, up_path = _one_direction(seeds, [s.up for s in seeds], scores.astype(float), with_path, cfg)
-    best, row, col, path = _one_direction(seeds, [s.down for s in seeds], up.copy(), with_path, cfg)
-    out = []
-    for at, seed in enumerate(seeds):
-        q_path = t_path = None
-        if with_path:
-            middle = "x" * (seed.length - 1)
-            q_path = up_path[at][0][::-1] + middle + path[at][0][1:]
-            t_path = up_path[at][1][::-1] + middle + path[at][1][1:]
-        out.append((float(best[at]), seed.up_from[0] - int(up_col[at]), seed.down_from[0] + int(col[at]),
-                    seed.up_from[1] - int(up_row[at]), seed.down_from[1] + int(row[at]), q_path, t_path))
-    return out
+    up, up_row, up_col, up_path = extend_direction([s.up for s in seeds], scores, with_path, cfg)
+    best, row, col, path = extend_direction([s.down for s in seeds], up, with_path, cfg)
+    q0 = np.array([s.up_from[0] for s in seeds]) - up_col
+    d0 = np.array([s.up_from[1] for s in seeds]) - up_row
+    q1 = np.array([s.down_from[0] for s in seeds]) + col
+    d1 = np.array([s.down_from[1] for s in seeds]) + row
+    paths = [[None] * len(seeds)] * 2
+    if with_path:
+        paths = [[a[side][::-1] + "x" * (s.length - 1) + z[side][1:] for a, z, s in zip(up_path, path, seeds)]
+                 for side in (0, 1)]
+    return best, q0, q1, d0, d1, paths[0], paths[1]
 
 
 def _rows(batch: pa.RecordBatch) -> list[dict]:
@@ -242,13 +313,9 @@ def extend_seeds(seeds: DataFrame, cfg, with_path: bool = True) -> DataFrame:
         for batch in batches:
             rows = [_Seed(row, cfg.align_len_tolerance) for row in _rows(batch)]
             scores = batch.column("seed_score").to_numpy()
-            done = [None] * len(rows)
-            for group in _groups(rows, cfg):
-                for i, result in zip(group, extend_group([rows[i] for i in group], scores[group], with_path, cfg)):
-                    done[i] = result
-            if not done:
+            if not rows:
                 continue
-            score, q0, q1, d0, d1, q_path, t_path = zip(*done)
+            score, q0, q1, d0, d1, q_path, t_path = extend_batch(rows, scores, with_path, cfg)
             keep = {c: batch.column(c) for c in ("query_id", "target_id", "target_ord")}
             seed = {"q_seed_start": "q_start", "q_seed_end": "q_end", "d_seed_start": "d_start", "d_seed_end": "d_end"}
             keep.update({new: batch.column(old) for new, old in seed.items()})
@@ -266,4 +333,5 @@ def extend_seeds(seeds: DataFrame, cfg, with_path: bool = True) -> DataFrame:
     hits = seeds.select(*needed).mapInArrow(run, HIT_COLUMNS)
     aligned = (F.col("q_end") - F.col("q_start") + 1).cast("double")
     ratio = F.ln(aligned) / nullif(F.ln(F.col("trim_len").cast("double")), 0.0)
-    return hits.withColumn("score", F.col("raw_score") * ratio)
+    # single precision, as scores are compared for ties
+    return hits.withColumn("score", (F.col("raw_score") * ratio).cast("float").cast("double"))

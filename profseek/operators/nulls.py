@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from profseek.functions.scalars import digest_number
 from profseek.operators.numbering import dense_ordinals, number_positions
-from profseek.operators.tiles import long_from_wide
+from profseek.operators.tiles import Sizes, long_from_wide
 
 NULL_POSITIONS = 500_000  # the null database covers at least this many positions
 
@@ -22,6 +22,10 @@ def shuffle_count(total_length: Column) -> Column:
                       F.floor(F.lit(NULL_POSITIONS) / F.when(total_length > 0, total_length)).cast("long"))
 
 
+def total_draws(sizes: Sizes, cfg) -> int:
+    return sizes.profiles * (cfg.db_shuffles or max(1, NULL_POSITIONS // sizes.cells))
+
+
 def block_offset(length: Column, block: int, *key: Column) -> Column:
     """A start offset below the remainder of the length, 0 without remainder."""
     rest = length % block

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,28 +33,49 @@ def with_status(hits: DataFrame, cfg) -> DataFrame:
     return hits.withColumn("status", status_of(F.col("evalue"), cfg))
 
 
-def _first_stop(fraction: float):
-    """For each distinct query range of a target: the range that ends its overlap run.
+def _stops(start: np.ndarray, end: np.ndarray, fraction: float) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges in rank order: the next range that does not overlap each one (open end: none)."""
+    stop_start, stop_end = np.full(len(start), np.iinfo(np.int64).max), np.zeros(len(start), np.int64)
+    for i in range(len(start) - 1):
+        b0, b1 = start[i + 1:], end[i + 1:]
+        shared = np.maximum(np.minimum(end[i], b1) + 1 - np.maximum(start[i], b0), 0)
+        shorter = np.minimum(end[i] + 1 - start[i], b1 + 1 - b0)
+        bad = ~((b0 < end[i]) & (shared > shorter * fraction))
+        if bad.any():
+            at = i + 1 + int(bad.argmax())
+            stop_start[i], stop_end[i] = start[at], end[at]
+    return stop_start, stop_end
 
-    Works on distinct ranges, whose number is bounded by the query, not the data.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["q_start", "q_end"], ascending=[True, False])
-        start, end = pdf["q_start"].to_numpy(), pdf["q_end"].to_numpy()
-        last = np.iinfo(np.int64).max
-        stop_start, stop_end = np.full(len(pdf), last), np.zeros(len(pdf), np.int64)
-        for i in range(len(pdf) - 1):
-            b0, b1 = start[i + 1:], end[i + 1:]
-            shared = np.maximum(np.minimum(end[i], b1) + 1 - np.maximum(start[i], b0), 0)
-            shorter = np.minimum(end[i] + 1 - start[i], b1 + 1 - b0)
-            bad = ~((b0 < end[i]) & (shared > shorter * fraction))
-            if bad.any():
-                at = i + 1 + int(bad.argmax())
-                stop_start[i], stop_end[i] = start[at], end[at]
-        return pdf[["query_id", "target_id", "q_start", "q_end"]].assign(stop_start=stop_start, stop_end=stop_end)
+def range_stops(ranges: DataFrame, fraction: float) -> DataFrame:
+    """Where the overlap run of each distinct query range of a (query, target) ends.
 
-    return run
+    The ranges arrive sorted, and one (query, target) at a time is held; its
+    distinct ranges are bounded by the query, not by the data.
+    """
+    names = ["query_id", "target_id", "q_start", "q_end"]
+
+    def run(frames):
+        held = None
+        for pdf in itertools.chain(frames, [None]):
+            whole = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if whole is None or not len(whole):
+                continue
+            query, target = whole["query_id"].to_numpy(), whole["target_id"].to_numpy()
+            first = np.flatnonzero(np.r_[True, (query[1:] != query[:-1]) | (target[1:] != target[:-1])])
+            done = len(whole) if pdf is None else first[-1]  # the last group may go on in the next batch
+            held = whole.iloc[done:]
+            start, end = whole["q_start"].to_numpy(), whole["q_end"].to_numpy()
+            bounds = [*first[first < done], done]
+            parts = [_stops(start[a:b], end[a:b], fraction) for a, b in zip(bounds[:-1], bounds[1:])]
+            if parts:
+                yield whole.iloc[:done].assign(stop_start=np.concatenate([p[0] for p in parts]),
+                                               stop_end=np.concatenate([p[1] for p in parts]))
+
+    ordered = ranges.select(*names).repartition("query_id", "target_id").sortWithinPartitions(
+        "query_id", "target_id", "q_start", F.col("q_end").desc())
+    return ordered.mapInPandas(
+        run, "query_id string, target_id string, q_start long, q_end long, stop_start long, stop_end long")
 
 
 SEED_KEY = ["query_id", "target_id", "target_ord", "q_seed_start", "d_seed_start"]
@@ -74,10 +97,7 @@ def overlap_losers(hits: DataFrame, cfg) -> DataFrame:
     not produce all pairs, and no (query, target) is sorted as a whole.
     """
     keys = ["query_id", "target_id"]
-    ranges = hits.select(*keys, "q_start", "q_end").distinct()
-    stops = ranges.groupBy(*keys).applyInPandas(
-        _first_stop(cfg.max_align_overlap),
-        "query_id string, target_id string, q_start long, q_end long, stop_start long, stop_end long")
+    stops = range_stops(hits.select(*keys, "q_start", "q_end").distinct(), cfg.max_align_overlap)
     width = 2 * F.greatest(F.col("trim_len"), F.lit(1))
     cells = hits.select(*SEED_KEY, "q_start", "q_end", "d_start", "d_end", "score", F.explode(F.sequence(
         F.floor(F.col("d_start") / width), F.floor(F.col("d_end") / width))).alias("cell"))

@@ -10,6 +10,40 @@ from pyspark.sql import functions as F
 from profseek.functions.scalars import capped
 
 
+SMALL_CELLS_PER_TASK = 1_000_000
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Number of profiles, of positions, and the longest profile."""
+
+    profiles: int
+    cells: int
+    longest: int
+
+    @classmethod
+    def of(cls, profiles: DataFrame) -> "Sizes":
+        n = F.size("reactivity")
+        row = profiles.agg(F.count(F.lit(1)).alias("p"), F.sum(n.cast("long")).alias("c"), F.max(n).alias("m")).first()
+        return cls(int(row["p"]), int(row["c"] or 0), int(row["m"] or 0))
+
+    @classmethod
+    def of_rows(cls, rows: DataFrame, *keys: str) -> "Sizes":
+        per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        row = per_key.agg(F.count(F.lit(1)).alias("p"), F.sum("n").alias("c"), F.max("n").alias("m")).first()
+        return cls(int(row["p"]), int(row["c"] or 0), int(row["m"] or 0))
+
+
+def balanced(df: DataFrame, cells: int, *keys: str) -> DataFrame:
+    """Spread a small input over all cores; a large one keeps its many partitions.
+
+    A few megabytes would else end in one task, although the work per position is
+    large. Large inputs are not shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, *keys) if cells < cores * SMALL_CELLS_PER_TASK else df
+
+
 @dataclass(frozen=True)
 class TiledDb:
     """Database tiles. `has_long` tells whether some profile needs more than one tile."""
@@ -78,12 +112,16 @@ def tiles_from_wide(profiles: DataFrame, cfg, has_long: bool = True) -> DataFram
         capped(F.slice("reactivity", at, F.lit(size + halo)), cfg.max_reactivity).alias("reactivity"))
 
 
-def tiled(profiles: DataFrame, cfg) -> TiledDb:
-    """Tile wide profiles, checking with one pruned scan whether any is long."""
-    longest = profiles.agg(F.max(F.size("reactivity")).alias("m")).first()["m"] or 0
-    has_long = longest > cfg.tile_len
-    return TiledDb(tiles_from_wide(profiles, cfg, has_long), has_long)
+def _balanced_tiles(tiles: DataFrame, sizes: Sizes, cfg) -> TiledDb:
+    spread = balanced(tiles, sizes.cells, "target_id", "target_ord", "tile")
+    return TiledDb(spread, sizes.longest > cfg.tile_len)
+
+
+def tiled(profiles: DataFrame, cfg, sizes: Sizes | None = None) -> TiledDb:
+    """Tile wide profiles; without known sizes one pruned scan finds them."""
+    sizes = sizes or Sizes.of(profiles)
+    return _balanced_tiles(tiles_from_wide(profiles, cfg, sizes.longest > cfg.tile_len), sizes, cfg)
 
 
-def tiled_long(rows: DataFrame, cfg, longest: int) -> TiledDb:
-    return TiledDb(tiles_from_long(rows, cfg), longest > cfg.tile_len)
+def tiled_long(rows: DataFrame, cfg, sizes: Sizes) -> TiledDb:
+    return _balanced_tiles(tiles_from_long(rows, cfg), sizes, cfg)

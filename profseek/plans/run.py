@@ -9,7 +9,7 @@ from profseek.config import SearchConfig
 from profseek.functions.shared import checkpointed, ship_package
 from profseek.operators import nulls, significance
 from profseek.operators.fold import evaluate_folds
-from profseek.operators.tiles import wide_from_long
+from profseek.operators.tiles import Sizes, wide_from_long
 from profseek.plans.search import search_hits
 from profseek.sinks import reports
 from profseek.sources.load import first_by_id, load_profiles
@@ -42,14 +42,11 @@ def run_search(spark: SparkSession, database: str, query: str, output: str, cfg:
 
 def shuffled_profiles(profiles: DataFrame, cfg: SearchConfig) -> DataFrame:
     """The null database as profiles; values are not capped."""
-    size = profiles.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("reactivity")).alias("cells"),
-                        F.max(F.size("reactivity")).alias("longest")).first()
-    if not size["n"] or not size["cells"]:
+    sizes = Sizes.of(profiles)
+    if not sizes.profiles or not sizes.cells:
         raise ValueError("the database is empty")
-    n = int(size["n"])
-    total = n * (cfg.db_shuffles or max(1, nulls.NULL_POSITIONS // int(size["cells"])))
-    drawn = nulls.draws(profiles, 0, total, n, cfg)
-    if size["longest"] <= cfg.tile_len:
+    drawn = nulls.draws(profiles, 0, nulls.total_draws(sizes, cfg), sizes.profiles, cfg)
+    if sizes.longest <= cfg.tile_len:
         return nulls.shuffled_rows(drawn, cfg)
     rows = nulls.shuffled_positions(nulls.long_draws(drawn), cfg)
     return wide_from_long(rows.withColumn("id", F.struct("id", "ord"))).select(

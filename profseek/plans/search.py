@@ -15,7 +15,7 @@ from profseek.operators.distance import QueryBlocks, match_kmers, prepare_blocks
 from profseek.operators.extend import extend_seeds
 from profseek.operators.kmers import cap_profiles, query_windows
 from profseek.operators.seeds import first_seeds, scored_seeds
-from profseek.operators.tiles import TiledDb, tiled, tiled_long, tiles_from_wide
+from profseek.operators.tiles import Sizes, TiledDb, tiled, tiled_long
 
 FIRST_NULL_POSITIONS = 4_000_000  # positions in the first round of null draws
 
@@ -38,35 +38,33 @@ def seeds_of(queries: Queries, db: TiledDb, cfg: SearchConfig) -> DataFrame:
     return scored_seeds(queries.profiles, queries.cells, db, queries.blocks, cfg)
 
 
-def null_tiles(profiles: DataFrame, first: int, last: int, n_profiles: int, longest: int, cfg) -> TiledDb:
+def null_tiles(profiles: DataFrame, first: int, last: int, sizes: Sizes, cfg) -> TiledDb:
     """Tiles of the null draws first..last-1."""
-    drawn = nulls.draws(profiles, first, last, n_profiles, cfg)
-    if longest <= cfg.tile_len:
-        return TiledDb(tiles_from_wide(nulls.shuffled_rows(drawn, cfg), cfg, False), False)
-    return tiled_long(nulls.shuffled_positions(nulls.long_draws(drawn), cfg), cfg, longest)
+    drawn = nulls.draws(profiles, first, last, sizes.profiles, cfg)
+    count = last - first
+    expected = Sizes(count, count * sizes.cells // sizes.profiles, sizes.longest)
+    if sizes.longest <= cfg.tile_len:
+        return tiled(nulls.shuffled_rows(drawn, cfg), cfg, expected)
+    return tiled_long(nulls.shuffled_positions(nulls.long_draws(drawn), cfg), cfg, expected)
 
 
-def null_seeds(queries: Queries, profiles: DataFrame, cfg: SearchConfig) -> DataFrame:
+def null_seeds(queries: Queries, profiles: DataFrame, cfg: SearchConfig, sizes: Sizes | None = None) -> DataFrame:
     """The first `null_hsgs` positive seeds per query over the null database.
 
-    The reference order is by draw, and draws are independent, so a large null
+    The order is by draw, and draws are independent, so a large null
     database is visited in growing rounds until every query has its seeds.
     """
-    size = profiles.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("reactivity")).alias("cells"),
-                        F.max(F.size("reactivity")).alias("longest")).first()
-    n, cells = int(size["n"]), int(size["cells"] or 0)
-    if not n or not cells:
+    sizes = sizes or Sizes.of(profiles)
+    if not sizes.profiles or not sizes.cells:
         raise ValueError("the database is empty")
-    per_profile = cfg.db_shuffles or max(1, nulls.NULL_POSITIONS // cells)
-    total, longest = n * per_profile, int(size["longest"])
-    step = max(1, min(total, FIRST_NULL_POSITIONS * n // cells))
+    total = nulls.total_draws(sizes, cfg)
+    step = max(1, min(total, FIRST_NULL_POSITIONS * sizes.profiles // sizes.cells))
     if step >= total:
-        db = null_tiles(profiles, 0, total, n, longest, cfg)
-        return first_seeds(seeds_of(queries, db, cfg), cfg.null_hsgs)
+        return first_seeds(seeds_of(queries, null_tiles(profiles, 0, total, sizes, cfg), cfg), cfg.null_hsgs)
     rounds, at, open_queries = [], 0, queries
     while at < total:
         upto = min(total, at + step)
-        db = null_tiles(profiles, at, upto, n, longest, cfg)
+        db = null_tiles(profiles, at, upto, sizes, cfg)
         rounds.append(checkpointed(first_seeds(seeds_of(open_queries, db, cfg), cfg.null_hsgs)))
         have = reduce(DataFrame.unionByName, rounds).groupBy("query_id").count().where(
             F.col("count") >= cfg.null_hsgs).select(F.col("query_id").alias("id"))
@@ -78,30 +76,33 @@ def null_seeds(queries: Queries, profiles: DataFrame, cfg: SearchConfig) -> Data
     return first_seeds(reduce(DataFrame.unionByName, rounds), cfg.null_hsgs)
 
 
-def null_fits(queries: Queries, null_source: DataFrame, cfg: SearchConfig, shuffled: bool = False) -> DataFrame:
+def null_fits(queries: Queries, null_source: DataFrame, cfg: SearchConfig, shuffled: bool = False,
+              sizes: Sizes | None = None) -> DataFrame:
     """Gumbel parameters per query. `shuffled` marks a null database read from storage."""
     if shuffled:
         seeds = first_seeds(seeds_of(queries, tiled(null_source, cfg), cfg), cfg.null_hsgs)
     else:
-        seeds = null_seeds(queries, null_source, cfg)
+        seeds = null_seeds(queries, null_source, cfg, sizes)
     return nulls.gumbel_fit(extend_seeds(spread(seeds), cfg, with_path=False))
 
 
 def spread(seeds: DataFrame) -> DataFrame:
     """Even out the seeds over tasks before the alignment kernel."""
-    return seeds.repartition(F.xxhash64("query_id", "target_id", "target_ord", "q_start", "d_start"))
+    spark = seeds.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return seeds.repartition(n, "query_id", "target_id", "target_ord", "q_start", "d_start")
 
 
 def search_hits(query_profiles: DataFrame, db_profiles: DataFrame, cfg: SearchConfig,
                 null_db: DataFrame | None = None, db: TiledDb | None = None) -> DataFrame:
     """Hits after significance, report filter and overlap removal."""
-    queries = Queries.prepare(query_profiles, cfg)
-    fits = null_fits(queries, db_profiles if null_db is None else null_db, cfg, null_db is not None)
-    target = tiled(db_profiles, cfg) if db is None else db
+    queries, sizes = Queries.prepare(query_profiles, cfg), Sizes.of(db_profiles)
+    fits = null_fits(queries, db_profiles if null_db is None else null_db, cfg, null_db is not None, sizes)
+    target = tiled(db_profiles, cfg, sizes) if db is None else db
     # read several times below (hit counts, overlap sides): written once
     hits = checkpointed(extend_seeds(seeds_of(queries, target, cfg), cfg))
     scored = significance.with_evalue(significance.with_pvalue(hits, fits))
-    kept = significance.remove_overlaps(significance.reportable(scored, cfg), cfg)
+    kept = significance.remove_overlaps(checkpointed(significance.reportable(scored, cfg)), cfg)
     return significance.with_status(kept, cfg)
 
 
