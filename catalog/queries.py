@@ -63,7 +63,7 @@ class Source:
         """Seeds of any score."""
         parts = ["target_len", "t_from", "t_bases", "t_values"]
         found = seeds.as_seeds(reached_islands(self.tiles(cfg), self.prepared(cfg).blocks, cfg), cfg, *parts)
-        return seeds.with_seed_score(seeds._join_queries(found, self.queries, self.prepared(cfg).cells, cfg), cfg)
+        return seeds.with_seed_score(seeds.join_queries(found, self.queries, self.prepared(cfg).cells, cfg), cfg)
 
     def extended(self) -> DataFrame:
         return extend_seeds(self.seeds(), UNGAPPED)

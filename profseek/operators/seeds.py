@@ -48,7 +48,7 @@ def query_side(queries: DataFrame, cfg) -> DataFrame:
         "query_id", "q_values", "q_bases", F.col("t.start").alias("trim_start"), F.col("t.end").alias("trim_end"))
 
 
-def _join_queries(seeds: DataFrame, queries: DataFrame, query_cells: int, cfg) -> DataFrame:
+def join_queries(seeds: DataFrame, queries: DataFrame, query_cells: int, cfg) -> DataFrame:
     side = query_side(queries, cfg)
     if query_cells * 10 <= cfg.query_block_bytes:
         side = F.broadcast(side)
@@ -90,11 +90,11 @@ def attach_target_parts(seeds: DataFrame, db: TiledDb, cfg) -> DataFrame:
 def scored_seeds(queries: DataFrame, query_cells: int, db: TiledDb, blocks: QueryBlocks, cfg) -> DataFrame:
     """Seeds with a positive score, carrying the query and the reachable target part."""
     parts = ["target_len", "t_from", "t_bases", "t_values"]
-    seeds = _join_queries(as_seeds(reached_islands(db, blocks, cfg), cfg, *parts), queries, query_cells, cfg)
+    seeds = join_queries(as_seeds(reached_islands(db, blocks, cfg), cfg, *parts), queries, query_cells, cfg)
     if db.has_long:
-        found = _join_queries(as_seeds(islands(long_hits(db, blocks, cfg), cfg), cfg), queries, query_cells, cfg)
+        found = join_queries(as_seeds(islands(long_hits(db, blocks, cfg), cfg), cfg), queries, query_cells, cfg)
         trimmed = attach_target_parts(found.drop("trim_start", "trim_end"), db, cfg)
-        seeds = seeds.unionByName(_join_queries(trimmed, queries, query_cells, cfg))
+        seeds = seeds.unionByName(join_queries(trimmed, queries, query_cells, cfg))
     return positive_seeds(seeds, cfg)
 
 

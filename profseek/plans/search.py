@@ -14,10 +14,10 @@ from profseek.operators import nulls, significance
 from profseek.operators.distance import QueryBlocks, match_kmers, prepare_blocks
 from profseek.operators.extend import extend_seeds
 from profseek.operators.kmers import cap_profiles, query_windows
-from profseek.operators.seeds import first_seeds, scored_seeds
+from profseek.operators.seeds import first_seeds, join_queries, scored_seeds
 from profseek.operators.tiles import Sizes, TiledDb, tiled, tiled_long
 
-FIRST_NULL_POSITIONS = 4_000_000  # positions in the first round of null draws
+FIRST_NULL_POSITIONS = 65_536  # positions in the first round of null draws
 
 
 @dataclass(frozen=True)
@@ -51,29 +51,49 @@ def null_tiles(profiles: DataFrame, first: int, last: int, sizes: Sizes, cfg) ->
 def null_seeds(queries: Queries, profiles: DataFrame, cfg: SearchConfig, sizes: Sizes | None = None) -> DataFrame:
     """The first `null_hsgs` positive seeds per query over the null database.
 
-    The order is by draw, and draws are independent, so a large null
-    database is visited in growing rounds until every query has its seeds.
+    The order is by draw, and draws are independent of each other, so only as many
+    draws are made as the seeds need: a small round first, then one sized by the
+    yield so far, until every query has its seeds or the draws are used up.
     """
     sizes = sizes or Sizes.of(profiles)
     if not sizes.profiles or not sizes.cells:
         raise ValueError("the database is empty")
     total = nulls.total_draws(sizes, cfg)
     step = max(1, min(total, FIRST_NULL_POSITIONS * sizes.profiles // sizes.cells))
-    if step >= total:
-        return first_seeds(seeds_of(queries, null_tiles(profiles, 0, total, sizes, cfg), cfg), cfg.null_hsgs)
     rounds, at, open_queries = [], 0, queries
-    while at < total:
+    while True:
         upto = min(total, at + step)
-        db = null_tiles(profiles, at, upto, sizes, cfg)
-        rounds.append(checkpointed(first_seeds(seeds_of(open_queries, db, cfg), cfg.null_hsgs)))
-        have = reduce(DataFrame.unionByName, rounds).groupBy("query_id").count().where(
-            F.col("count") >= cfg.null_hsgs).select(F.col("query_id").alias("id"))
-        rest = checkpointed(queries.profiles.join(have, "id", "left_anti"))
-        if rest.isEmpty():
+        found = without_queries(seeds_of(open_queries, null_tiles(profiles, at, upto, sizes, cfg), cfg))
+        found = first_seeds(found, cfg.null_hsgs)
+        if upto == total:
+            rounds.append(found)
             break
+        rounds.append(checkpointed(found))
+        have = _union(rounds).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        counts = queries.profiles.select(F.col("id").alias("query_id")).join(have, "query_id", "left").select(
+            "query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < cfg.null_hsgs)
+        left = counts.agg(F.count(F.lit(1)).alias("open"), F.min("n").alias("least")).first()
+        if not left["open"]:
+            break
+        rest = checkpointed(queries.profiles.join(
+            counts.select(F.col("query_id").alias("id")), "id", "left_semi"))
         open_queries = Queries.prepare(rest, cfg)
-        at, step = upto, step * 2
-    return first_seeds(reduce(DataFrame.unionByName, rounds), cfg.null_hsgs)
+        need = cfg.null_hsgs * upto // max(1, left["least"]) - upto
+        at, step = upto, max(upto, need + need // 4)
+    return with_queries(first_seeds(_union(rounds), cfg.null_hsgs), queries, cfg)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def without_queries(seeds: DataFrame) -> DataFrame:
+    """Leave the query columns out of shuffles; they join again where they are needed."""
+    return seeds.drop("q_values", "q_bases", "trim_start", "trim_end")
+
+
+def with_queries(seeds: DataFrame, queries: Queries, cfg: SearchConfig) -> DataFrame:
+    return join_queries(seeds, queries.profiles, queries.cells, cfg)
 
 
 def null_fits(queries: Queries, null_source: DataFrame, cfg: SearchConfig, shuffled: bool = False,
