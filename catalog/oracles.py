@@ -257,7 +257,7 @@ _BODIES = {
     "shuffled_in_blocks": """SELECT id, draw, string_agg(base, '' ORDER BY spot) AS bases, round(sum(coalesce(r, -1.0) * spot), 6) AS checksum
  FROM moved_v JOIN moved_b USING (id, draw, spot) GROUP BY id, draw""",
     "null_fit": "SELECT query_id, n_null, round(location, 6) AS location, round(scale, 6) AS scale FROM fit",
-    "normal_fit_z": """SELECT target_id, round(mean, 6) AS mean, round(stddev, 6) AS stddev, round((best - mean) / CASE WHEN stddev > 0 THEN stddev END, 6) AS z
+    "normal_fit_z": """SELECT target_id, round(mean, 10) AS mean, round(stddev, 6) AS stddev, round((best - mean) / CASE WHEN stddev > 0 THEN stddev END, 6) AS z
  FROM (SELECT target_id, avg(seed_score) AS mean, stddev_samp(seed_score) AS stddev, max(seed_score) AS best FROM pos_seed GROUP BY target_id)""",
     "column_shuffle": "SELECT id, string_agg(b[col + 1], '' ORDER BY bk, col) AS bases FROM colcell GROUP BY id",
     "column_shuffle_in_block": "SELECT id, string_agg(b[col + 1], '' ORDER BY bk, ck, col) AS bases FROM colcell GROUP BY id",

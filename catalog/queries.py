@@ -452,7 +452,7 @@ def normal_fit_z(s: Source):
     best = scored.groupBy("target_id").agg(F.max("score").alias("best"))
     fit = nulls.normal_fit(scored, "target_id").join(best, "target_id")
     z = (F.col("best") - F.col("mean")) / F.when(F.col("stddev") > 0, F.col("stddev"))
-    return fit.select("target_id", r6("mean").alias("mean"), r6("stddev").alias("stddev"), r6(z).alias("z"))
+    return fit.select("target_id", F.round("mean", 10).alias("mean"), r6("stddev").alias("stddev"), r6(z).alias("z"))
 
 
 @query

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Mark narrow rows for broadcast when their number, given or counted, is bounded; else leave them to shuffle.
+
+    Without the mark Spark would shuffle the large side too, because it cannot
+    tell the size of checkpoints and Python stages beforehand.
+    """
+    if rows is None:
+        rows = df.limit(BROADCAST_ROWS + 1).count()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute rows with heavy work each over all cores, also when they are few bytes."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

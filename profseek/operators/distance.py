@@ -27,6 +27,7 @@ from profseek.schema import MISSING_SENTINEL
 
 CELLS_PER_STEP = 2_000_000  # distances held at once by a task
 SIGMAS = 3.0
+SALTS = 256  # places a long target may spread over
 
 
 @dataclass
@@ -277,7 +278,7 @@ def _island_batch(batch: pa.RecordBatch, tiles: _Tiles, block: dict, hits, cfg)
 HIT_DDL = "query_id string, target_id string, target_ord long, q_pos long, d_pos long"
 REACHED_DDL = ("query_id string, target_id string, target_ord long, target_len long, diag long, q_first long, "
                "q_last long, n_kmers long, t_from long, t_bases string, t_values array<double>")
-MOMENT_DDL = "target_id string, target_ord long, block long, kmer long, n long, s1 double, s2 double"
+MOMENT_DDL = "target_id string, target_ord long, tile long, block long, kmer long, n long, s1 double, s2 double"
 
 
 def _kernel_input(tiles: DataFrame, cfg) -> DataFrame:
@@ -323,13 +324,13 @@ def distance_moments(tiles: DataFrame, blocks: QueryBlocks, cfg) -> DataFrame:
         take = pa.array(np.repeat(row_ids, n_kmers))
         kmer = np.tile(np.arange(n_kmers), len(row_ids))
         out = {"target_id": batch.column("target_id").take(take), "target_ord": batch.column("target_ord").take(take),
-               "block": pa.array(np.full(len(kmer), block_no, np.int64)), "kmer": pa.array(kmer),
+               "tile": batch.column("tile").take(take), "block": pa.array(np.full(len(kmer), block_no, np.int64)), "kmer": pa.array(kmer),
                "n": pa.array(np.repeat(sizes, n_kmers)), "s1": pa.array(s1.ravel()), "s2": pa.array(s2.ravel())}
         return pa.RecordBatch.from_pydict(out)
 
     partial = _map_pieces(_kernel_input(tiles, cfg), blocks, cfg, MOMENT_DDL, emit)
     return partial.groupBy("target_id", "target_ord", "block", "kmer").agg(
-        F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+        F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.max("tile").alias("last_tile"))
 
 
 def _with_limit(moments: DataFrame) -> DataFrame:
@@ -370,9 +371,13 @@ def long_hits(db: TiledDb, blocks: QueryBlocks, cfg) -> DataFrame:
     """Hits in targets of several tiles, with thresholds and counts taken over the whole target."""
     tiles = db.tiles.where(F.col("target_len") > cfg.tile_len)
     limits = _with_limit(distance_moments(tiles, blocks, cfg)).groupBy("target_id", "target_ord", "block").agg(
-        F.array_sort(F.collect_list(F.struct("kmer", "limit"))).alias("l"))
+        F.array_sort(F.collect_list(F.struct("kmer", "limit"))).alias("l"), (F.max("last_tile") + 1).alias("tiles"))
     key = ["target_id", "target_ord"]
-    joined = _kernel_input(tiles, cfg).join(limits, key).withColumn("limits", F.col("l.limit")).drop("l")
+    # the thresholds of a target go to at most SALTS places, its tiles to one of them each
+    salts = F.sequence(F.lit(0).cast("long"), F.least(F.col("tiles"), F.lit(SALTS)) - 1)
+    limits = limits.select(*key, "block", F.col("l.limit").alias("limits"), F.explode(salts).alias("salt"))
+    salted = _kernel_input(tiles, cfg).withColumn("salt", F.col("tile") % SALTS)
+    joined = salted.join(limits, [*key, "salt"]).drop("salt")
 
     def run(batches):
         for batch in batches:

@@ -4,7 +4,7 @@ The default backend is a small nearest-neighbour model (stacks, loop penalties
 by size, linear multiloops, probing pseudo-energies on stacked pairs) averaged
 over the two aligned sequences. It is not numerically equal to full folding
 packages; another function with the same signature can be passed instead.
-Spark spreads the shuffles of all hits; a task folds those of equal length at once.
+Spark spreads the hits; a task folds the shuffles of a hit, all of one length, at once.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profseek.functions.scalars import deigan
+from profseek.functions.shared import broadcast_if_small, spread_rows
 from profseek.operators.columns import column_permutation, gather
 from profseek.operators.dotbracket import blocks_of
 from profseek.operators.gapped import gapped_bases, gapped_values, paired_support
+from profseek.sources.load import first_by_id
 
 # fixed values: published nearest-neighbour stacking energies at 37 degrees, kcal/mol,
 # rows and columns in the order CG GC GU UG AU UA
@@ -165,6 +167,8 @@ def hit_alignments(hits: DataFrame, queries: DataFrame, targets: DataFrame, cfg)
     """Gapped sequences and column energies of significant hits (original, uncapped values)."""
     sides = []
     for frame, name, key in ((queries, "q", "query_id"), (targets, "d", "target_id")):
+        ids = hits.where(F.col("status") == "!").select(F.col(key).alias("id")).distinct()
+        frame = first_by_id(frame.join(broadcast_if_small(ids), "id", "left_semi"))
         sides.append(frame.select(F.col("id").alias(key), F.col("bases").alias(f"{name}_all_bases"),
                                   F.col("reactivity").alias(f"{name}_all_values")))
     met = hits.where(F.col("status") == "!").join(sides[0], "query_id").join(sides[1], "target_id")
@@ -213,7 +217,7 @@ def evaluate_folds(hits: DataFrame, queries: DataFrame, targets: DataFrame, cfg,
     aligned = hit_alignments(hits, queries, targets, cfg)
     half = lambda x, y: F.zip_with(x, y, lambda p, q: (p + q) / 2)
     base = aligned.withColumn("pseudo", half(F.col("d_energy"), F.col("q_energy")))
-    native = _fold_rows(base, cfg, True, backend)
+    native = _fold_rows(spread_rows(base, *KEYS), cfg, True, backend)
     with_blocks = base.join(native, KEYS).withColumn("blocks", blocks_of(F.col("structure")))
     share = lambda s: s["canonical"] / F.when(s["total"] > 0, s["total"])
     supported = (
@@ -227,13 +231,11 @@ def evaluate_folds(hits: DataFrame, queries: DataFrame, targets: DataFrame, cfg,
     order = column_permutation(F.length("d_gapped").cast("long"), cfg.block_size, cfg.in_block_shuffle,
                                F.lit(cfg.seed), *[F.col(k) for k in KEYS], F.col("shuffle"))
     letters = lambda c: F.array_join(gather(F.split(c, ""), F.col("order")), "")
-    shuffled = (
+    shuffled = spread_rows(
         kept.select(*KEYS, "d_gapped", "q_gapped", "pseudo",
                     F.explode(F.sequence(F.lit(1), F.lit(cfg.shuffles))).alias("shuffle"))
-        .repartition(*KEYS, "shuffle").withColumn("order", order)
-        .select(*KEYS, letters("d_gapped").alias("d_gapped"), letters("q_gapped").alias("q_gapped"),
-                gather(F.col("pseudo"), F.col("order")).alias("pseudo"))
-    )
+        .withColumn("order", order).select(*KEYS, letters("d_gapped").alias("d_gapped"), letters("q_gapped").alias("q_gapped"),
+                gather(F.col("pseudo"), F.col("order")).alias("pseudo")), *KEYS)
     null = _fold_rows(shuffled, cfg, False, backend).groupBy(*KEYS).agg(
         F.avg("mfe").alias("null_mean"), F.stddev_samp("mfe").alias("null_sd"))
     scored = supported.join(null, KEYS, "left")

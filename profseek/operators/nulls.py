@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profseek.functions.scalars import digest_number
+from profseek.functions.shared import broadcast_if_small
 from profseek.operators.numbering import dense_ordinals, number_positions
 from profseek.operators.tiles import Sizes, long_from_wide
 
@@ -53,7 +54,8 @@ def draws(profiles: DataFrame, first: int, last: int, n_profiles: int, cfg) -> D
         F.col("id").alias("draw"),
         (digest_number(F.lit(cfg.seed), F.lit("pick"), F.col("id")) % n_profiles).alias("dense_ord"))
     chosen = picks.join(index, "dense_ord").drop("dense_ord")
-    return profiles.join(chosen, ["id", "ord"])
+    # one narrow row per draw, so the profiles are filtered where they are read
+    return profiles.join(broadcast_if_small(chosen, last - first), ["id", "ord"])
 
 
 def _piece(values: Column, chunk: Column, offset: Column, block: int) -> Column:

@@ -10,19 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profseek.functions.scalars import display_number, gumbel_p, ranges_overlap, status_of
+from profseek.functions.shared import broadcast_if_small
 
 
 def with_pvalue(hits: DataFrame, fits: DataFrame) -> DataFrame:
-    """Join each query's null fit; a query without null scores has location and scale 0."""
+    """Join each query's null fit; a query without null scores has location and scale 0.
+
+    `fits` is counted first, so it should be stored, as `hits` should be.
+    """
     fit = fits.select("query_id", "location", "scale")
-    joined = hits.join(fit, "query_id", "left").fillna(0.0, ["location", "scale"])
+    joined = hits.join(broadcast_if_small(fit), "query_id", "left").fillna(0.0, ["location", "scale"])
     return joined.withColumn("pvalue", gumbel_p(F.col("score"), F.col("location"), F.col("scale")))
 
 
 def with_evalue(hits: DataFrame) -> DataFrame:
     """p times the number of hits of the query over all targets, before any filter."""
     sizes = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
-    return hits.join(sizes, "query_id").withColumn("evalue", F.col("pvalue") * F.col("n_hits"))
+    return hits.join(broadcast_if_small(sizes), "query_id").withColumn("evalue", F.col("pvalue") * F.col("n_hits"))
 
 
 def reportable(hits: DataFrame, cfg) -> DataFrame:

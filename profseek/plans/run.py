@@ -12,7 +12,7 @@ from profseek.operators.fold import evaluate_folds
 from profseek.operators.tiles import Sizes, wide_from_long
 from profseek.plans.search import search_hits
 from profseek.sinks import reports
-from profseek.sources.load import first_by_id, load_profiles
+from profseek.sources.load import load_profiles, load_sizes
 from profseek.sources.native import write_native, write_native_file
 from profseek.sources.text import read_query_text
 
@@ -29,14 +29,12 @@ def run_search(spark: SparkSession, database: str, query: str, output: str, cfg:
     null_db = load_profiles(spark, shuffled_db) if shuffled_db else None
     if dump_db or dump_shuffled_db:
         dump(db, dump_db, dump_shuffled_db, cfg)
-    hits = search_hits(queries, db, cfg, null_db)
-    first_queries, first_targets = first_by_id(queries), first_by_id(db)
+    hits = checkpointed(search_hits(queries, db, cfg, null_db, sizes=load_sizes(spark, database, db)))
     if cfg.eval_align_fold:
-        hits = evaluate_folds(hits, first_queries, first_targets, cfg)
-    hits = checkpointed(hits)
+        hits = checkpointed(evaluate_folds(hits, queries, db, cfg))
     table = significance.report_table(hits, cfg.eval_align_fold)
     reports.write_table(table, f"{output}/results.out", single_file)
-    reports.write_reports(hits, first_queries, first_targets, output, cfg)
+    reports.write_reports(hits, queries, db, output, cfg)
     return table
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profseek.config import SearchConfig
-from profseek.functions.shared import checkpointed
+from profseek.functions.shared import checkpointed, spread_rows
 from profseek.operators import nulls, significance
 from profseek.operators.distance import QueryBlocks, match_kmers, prepare_blocks
 from profseek.operators.extend import extend_seeds
@@ -17,6 +17,7 @@ from profseek.operators.kmers import cap_profiles, query_windows
 from profseek.operators.seeds import first_seeds, join_queries, scored_seeds
 from profseek.operators.tiles import Sizes, TiledDb, tiled, tiled_long
 
+SEED = ["query_id", "target_id", "target_ord", "q_start", "d_start"]
 FIRST_NULL_POSITIONS = 65_536  # positions in the first round of null draws
 
 
@@ -30,7 +31,7 @@ class Queries:
 
     @classmethod
     def prepare(cls, profiles: DataFrame, cfg: SearchConfig) -> "Queries":
-        cells = profiles.agg(F.sum(F.size("reactivity")).alias("n")).first()["n"] or 0
+        cells = profiles.agg(F.sum(F.length("bases")).alias("n")).first()["n"] or 0
         return cls(profiles, int(cells), prepare_blocks(query_windows(cap_profiles(profiles, cfg), cfg), cells, cfg))
 
 
@@ -103,21 +104,15 @@ def null_fits(queries: Queries, null_source: DataFrame, cfg: SearchConfig, shuff
         seeds = first_seeds(seeds_of(queries, tiled(null_source, cfg), cfg), cfg.null_hsgs)
     else:
         seeds = null_seeds(queries, null_source, cfg, sizes)
-    return nulls.gumbel_fit(extend_seeds(spread(seeds), cfg, with_path=False))
-
-
-def spread(seeds: DataFrame) -> DataFrame:
-    """Even out the seeds over tasks before the alignment kernel."""
-    spark = seeds.sparkSession
-    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return seeds.repartition(n, "query_id", "target_id", "target_ord", "q_start", "d_start")
+    return nulls.gumbel_fit(extend_seeds(spread_rows(seeds, *SEED), cfg, with_path=False))
 
 
 def search_hits(query_profiles: DataFrame, db_profiles: DataFrame, cfg: SearchConfig,
-                null_db: DataFrame | None = None, db: TiledDb | None = None) -> DataFrame:
+                null_db: DataFrame | None = None, db: TiledDb | None = None, sizes: Sizes | None = None) -> DataFrame:
     """Hits after significance, report filter and overlap removal."""
-    queries, sizes = Queries.prepare(query_profiles, cfg), Sizes.of(db_profiles)
-    fits = null_fits(queries, db_profiles if null_db is None else null_db, cfg, null_db is not None, sizes)
+    queries, sizes = Queries.prepare(query_profiles, cfg), sizes or Sizes.of(db_profiles)
+    null_source = db_profiles if null_db is None else null_db
+    fits = checkpointed(null_fits(queries, null_source, cfg, null_db is not None, sizes))
     target = tiled(db_profiles, cfg, sizes) if db is None else db
     # read several times below (hit counts, overlap sides): written once
     hits = checkpointed(extend_seeds(seeds_of(queries, target, cfg), cfg))

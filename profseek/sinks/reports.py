@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profseek.functions.scalars import display_bases
-from profseek.functions.shared import file_uri, filesystem
+from profseek.functions.shared import broadcast_if_small, file_uri, filesystem
 from profseek.operators.gapped import gapped_bases, gapped_json
+from profseek.sources.load import first_by_id
 
 AUTHOR = "profseek"
 # fixed values: per-file annotation tags of the Stockholm format used here
@@ -62,9 +63,14 @@ def file_stem():
 
 
 def with_records(hits: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """Significant hits with the original bases and values of both aligned ranges."""
+    """Significant hits with the original bases and values of both aligned ranges.
+
+    The stored hits say which records are needed; of several with one name the first counts.
+    """
     out = hits.where(F.col("status") == "!")
     for frame, key, side in ((queries, "query_id", "q"), (targets, "target_id", "d")):
+        ids = out.select(F.col(key).alias("id")).distinct()
+        frame = first_by_id(frame.join(broadcast_if_small(ids), "id", "left_semi"))
         out = out.join(frame.select(F.col("id").alias(key), F.col("bases").alias("_b"), F.col("reactivity").alias("_v"),
                                     F.col("molecule").alias(f"{side}_molecule")), key)
         at = (F.col(f"{side}_start") + 1).cast("int")
@@ -135,3 +141,11 @@ def write_reports(hits: DataFrame, queries: DataFrame, targets: DataFrame, out:
     if cfg.report_reactivity:
         write_files(records.select(file_stem().alias("name"), reactivity_json().alias("text")),
                     f"{out}/reactivities", "json")
+
+
+def print_table(table: DataFrame, rows: int = 1000) -> None:
+    """Results on the console."""
+    if table.isEmpty():
+        print("No match found.")
+    else:
+        table.withColumnRenamed("status", " ").show(rows, truncate=False)

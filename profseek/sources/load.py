@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profseek.functions.shared import filesystem
-from profseek.sources.native import read_native
+from profseek.operators.tiles import Sizes
+from profseek.sources.native import native_sizes, read_native
 from profseek.sources.xml import read_xml
 
 
@@ -45,6 +46,11 @@ def load_profiles(spark: SparkSession, path: str) -> DataFrame:
     return read_xml(spark, path, skip_invalid=kind == "xml folder")
 
 
+def load_sizes(spark: SparkSession, path: str, profiles: DataFrame) -> Sizes:
+    """Sizes of a loaded database by the cheapest way its format allows."""
+    return native_sizes(spark, path) if _kind(path) == "native" else Sizes.of(profiles)
+
+
 def first_by_id(profiles: DataFrame) -> DataFrame:
     """Reports look up a record by name and take the first of several equal names."""
     columns = [c for c in profiles.columns if c not in ("id", "ord")]

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profseek.functions.shared import file_uri, filesystem, fresh_path
+from profseek.functions.shared import file_uri, filesystem, fresh_path, spread_rows
+from profseek.operators.tiles import Sizes
 
 # fixed values of the format
 MARKER = b"[eofdb]"
@@ -54,17 +55,17 @@ def _head(stream, at: int) -> tuple[str, int, int]:
 
 
 def split_points(stream, size: int, split_bytes: int):
-    """(start, end, number of the first record) of consecutive record runs."""
-    end, at, first, number, opened = _body_end(stream, size), 0, 0, 0, 0
+    """(start, end, number of the first record, records, positions, longest record) of record runs."""
+    end, at, first, number, opened, cells, longest = _body_end(stream, size), 0, 0, 0, 0, 0, 0
     while at < end:
         _, n, body = _head(stream, at)
         at = body + (n + 1) // 2 + 8 * n
         if at > end:
             raise ValueError("record runs past the end of file marker")
-        number += 1
+        number, cells, longest = number + 1, cells + n, max(longest, n)
         if at - opened >= split_bytes or at == end:
-            yield opened, at, first
-            opened, first = at, number
+            yield opened, at, first, number - first, cells, longest
+            opened, first, cells, longest = at, number, 0, 0
 
 
 def decode_bases(packed: bytes, n: int) -> str:
@@ -99,10 +100,11 @@ def _batch(rows) -> pa.RecordBatch:
         "molecule": pa.array(["DNA"] * len(names))})
 
 
-def read_native(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Profiles of one .db file or of a folder of them."""
+def record_runs(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Splits of all files, found from the record heads only."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][bB]").load(path)
              .select("path", "length"))
+    names = ["start", "end", "first", "records", "cells", "longest"]
 
     def index(frames):
         for frame in frames:
@@ -111,9 +113,21 @@ def read_native(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
                 with fs.open_input_file(inner) as stream:
                     points = list(split_points(stream, int(size), split_bytes))
                 if points:
-                    yield pd.DataFrame(points, columns=["start", "end", "first"]).assign(path=name)
+                    yield pd.DataFrame(points, columns=names).assign(path=name)
+
+    return files.mapInPandas(index, ", ".join(f"{n} long" for n in names) + ", path string")
+
 
-    splits = files.mapInPandas(index, "start long, end long, first long, path string")
+def native_sizes(spark: SparkSession, path: str) -> Sizes:
+    """Database sizes without decoding it."""
+    row = record_runs(spark, path).agg(F.sum("records").alias("p"), F.sum("cells").alias("c"),
+                                       F.max("longest").alias("m")).first()
+    return Sizes(int(row["p"] or 0), int(row["c"] or 0), int(row["m"] or 0))
+
+
+def read_native(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Profiles of one .db file or of a folder of them."""
+    splits = record_runs(spark, path, split_bytes).select("path", "start", "end", "first")
 
     def decode(batches):
         for batch in batches:
@@ -130,7 +144,7 @@ def read_native(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
                     if held:
                         yield _batch(held)
 
-    return splits.repartition("path", "start").mapInArrow(
+    return spread_rows(splits, "path", "start").mapInArrow(
         decode, "id string, ord long, bases string, reactivity array<double>, molecule string")
 
 
