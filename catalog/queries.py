@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,20 +33,24 @@ class Source:
         self.spark, self.sf = spark, sf
         self._prepared = {}
 
-    @property
-    def db(self) -> DataFrame:
-        return views.db_profiles(self.spark, self.sf)
+    @cached_property
+    def _rows(self):
+        return views.db_rows(self.spark, self.sf)
 
     @property
-    def rows(self) -> DataFrame:
-        return views.db_rows(self.spark, self.sf)[0]
+    def sizes(self) -> tiles.Sizes:
+        return self._rows[1]
 
-    @property
+    @cached_property
+    def db(self) -> DataFrame:
+        return tiles.wide_from_long(self._rows[0])
+
+    @cached_property
     def queries(self) -> DataFrame:
         return views.query_profiles(self.spark, self.sf)
 
     def tiles(self, cfg=CFG):
-        return views.db_tiles(self.spark, self.sf, cfg)
+        return tiles.tiled_long(self._rows[0], cfg, self.sizes)
 
     def prepared(self, cfg=CFG) -> search.Queries:
         if cfg not in self._prepared:
@@ -79,13 +83,14 @@ class Source:
         return significance.with_status(kept, CFG)
 
 
-@lru_cache(maxsize=8)
-def _source(application: str, sf: str) -> Source:
-    return Source(SparkSession.getActiveSession(), sf)
+_SOURCES: dict[tuple[str, str], Source] = {}
 
 
 def source(spark: SparkSession, sf: str) -> Source:
-    return _source(spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SOURCES:
+        _SOURCES[key] = Source(spark, sf)
+    return _SOURCES[key]
 
 
 def r6(col):
@@ -396,7 +401,7 @@ def ordinals(s: Source):
 
 
 def _n_profiles(s: Source) -> int:
-    return s.db.count()
+    return s.sizes.profiles
 
 
 @query
@@ -627,14 +632,14 @@ def first_of_name(s: Source):
 def search_result(spark: SparkSession, sf: str) -> DataFrame:
     """Search of the event-type profiles against all users."""
     s = source(spark, sf)
-    hits = search.search_hits(s.queries, s.db, CFG, db=s.tiles())
+    hits = search.search_hits(s.queries, s.db, CFG, db=s.tiles(), sizes=s.sizes)
     return significance.report_table(hits)
 
 
 @query
 def null_scores(s: Source):
     """Null fit per query from the shuffled database."""
-    fits = search.null_fits(s.prepared(), s.db, CFG)
+    fits = search.null_fits(s.prepared(), s.db, CFG, sizes=s.sizes)
     return fits.select("query_id", L("n_null").alias("n_null"), r6("location").alias("location"),
                        r6("scale").alias("scale"))
 

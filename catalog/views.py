@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from profseek.config import SearchConfig
 from profseek.operators.numbering import number_positions
-from profseek.operators.tiles import Sizes, TiledDb, tiled_long, wide_from_long
+from profseek.operators.tiles import Sizes, wide_from_long
 
 CFG = SearchConfig(kmer_len=8, kmer_min_complexity=0.2, kmer_max_match_every_nt=5, max_kmer_dist=20,
                    inclusion_evalue=1.0, report_evalue=10.0, null_hsgs=2000)
@@ -38,27 +38,18 @@ def db_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, Sizes]:
     return numbered.select("id", F.lit(0).cast("long").alias("ord"), "pos", "group_len", "base", "reactivity"), sizes
 
 
-def db_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    return wide_from_long(db_rows(spark, sf)[0])
-
-
-def db_tiles(spark: SparkSession, sf: str, cfg: SearchConfig = CFG) -> TiledDb:
-    rows, sizes = db_rows(spark, sf)
-    return tiled_long(rows, cfg, sizes)
-
-
 def query_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Long rows of the query profiles: every event type on every slot of the table's time span."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     slot = F.floor(micros / F.lit(SLOT_SECONDS * 1_000_000)).cast("long")
     first = F.min(F.struct("ts", "event_id", "value"))["value"]
     opened = events(spark, sf).withColumn("slot", slot).groupBy("event_type", "slot").agg(first.alias("value"))
-    span = opened.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    grid = opened.select("event_type").distinct().crossJoin(F.broadcast(span)).select(
-        "event_type", "lo", F.explode(F.sequence("lo", "hi")).alias("slot"))
+    span = opened.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).first()
+    slots = F.sequence(F.lit(span["lo"]), F.lit(span["hi"]))
+    grid = opened.select("event_type").distinct().select("event_type", F.explode(slots).alias("slot"))
     letter = F.element_at(F.array(*[F.lit(c) for c in "ACGT"]), (F.col("slot") % 4 + 1).cast("int"))
     return grid.join(opened, ["event_type", "slot"], "left").select(
-        F.col("event_type").alias("id"), (F.col("slot") - F.col("lo")).alias("pos"), letter.alias("base"),
+        F.col("event_type").alias("id"), (F.col("slot") - F.lit(span["lo"])).alias("pos"), letter.alias("base"),
         (F.col("value") / 100.0).alias("reactivity"))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profseek.functions.shared import checkpointed, filesystem, fresh_path
-from profseek.operators.tiles import TiledDb
+from profseek.operators.tiles import TiledDb, balanced
 from profseek.schema import MISSING_SENTINEL
 
 CELLS_PER_STEP = 2_000_000  # distances held at once by a task
@@ -377,7 +377,7 @@ def long_hits(db: TiledDb, blocks: QueryBlocks, cfg) -> DataFrame:
     salts = F.sequence(F.lit(0).cast("long"), F.least(F.col("tiles"), F.lit(SALTS)) - 1)
     limits = limits.select(*key, "block", F.col("l.limit").alias("limits"), F.explode(salts).alias("salt"))
     salted = _kernel_input(tiles, cfg).withColumn("salt", F.col("tile") % SALTS)
-    joined = salted.join(limits, [*key, "salt"]).drop("salt")
+    joined = balanced(salted.join(limits, [*key, "salt"]).drop("salt"), db.cells, *key, "tile", "block")
 
     def run(batches):
         for batch in batches:

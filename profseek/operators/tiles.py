@@ -49,10 +49,11 @@ def balanced(df: DataFrame, cells: int, *keys: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class TiledDb:
-    """Database tiles. `has_long` tells whether some profile needs more than one tile."""
+    """Database tiles, whether some profile needs more than one, and the number of positions."""
 
     tiles: DataFrame
     has_long: bool
+    cells: int
 
 
 def long_from_wide(profiles: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def tiles_from_wide(profiles: DataFrame, cfg, has_long: bool = True) -> DataFram
 
 def _balanced_tiles(tiles: DataFrame, sizes: Sizes, cfg) -> TiledDb:
     spread = balanced(tiles, sizes.cells, "target_id", "target_ord", "tile")
-    return TiledDb(spread, sizes.longest > cfg.tile_len)
+    return TiledDb(spread, sizes.longest > cfg.tile_len, sizes.cells)
 
 
 def tiled(profiles: DataFrame, cfg, sizes: Sizes | None = None) -> TiledDb:
