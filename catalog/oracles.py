@@ -13,12 +13,12 @@ def num(text: str) -> str:
 # --- profiles ---------------------------------------------------------------
 
 CTES: dict[str, str] = {}
-CTES["p"] = """SELECT CAST(user_id AS VARCHAR) AS id, row_number() OVER w - 1 AS pos,
+CTES["event"] = """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS at_user FROM events"""
+CTES["p"] = """SELECT user_id || CASE WHEN at_user >= 8192 THEN '/' || (at_user // 8192) ELSE '' END AS id, at_user % 8192 AS pos,
  CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'C' WHEN 'purchase' THEN 'G' WHEN 'signup' THEN 'T' ELSE 'N' END AS base,
  CASE WHEN event_id % 97 = 0 THEN NULL ELSE value / 100.0 END AS r,
  CASE WHEN event_id % 97 = 0 THEN NULL ELSE least(value / 100.0, 1.0) END AS c,
- count(*) OVER (PARTITION BY user_id) AS n
- FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"""
+ count(*) OVER (PARTITION BY user_id, at_user // 8192) AS n FROM event"""
 CTES["opened"] = """SELECT event_type, slot, value FROM (SELECT event_type, epoch_us(ts) // 21600000000 AS slot, value,
  row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 21600000000 ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1"""
 CTES["grid"] = """SELECT t.event_type, u.slot, s.lo FROM (SELECT min(slot) AS lo, max(slot) AS hi FROM opened) s,
@@ -215,8 +215,9 @@ _BODIES = {
     "gini_complexity": f"SELECT id AS query_id, pos AS q_pos, round({GINI}, 6) AS gini FROM pin WHERE miss = 0",
     "query_kmers": f"SELECT id AS query_id, pos AS q_pos, wb AS window_bases, n AS q_len FROM qin WHERE miss = 0 AND {GINI} >= 0.2",
     "gc_fraction": "SELECT doc_id, round(length(regexp_replace(text, '[^CG]', '', 'g')) / nullif(length(text), 0)::DOUBLE, 6) AS gc FROM documents",
-    "hamming": """SELECT CAST(a.id AS BIGINT) AS id, (SELECT count(*) FROM unnest(range(least(a.n, x.n))) AS u(i)
- WHERE a.b[u.i + 1] <> x.b[u.i + 1]) AS distance FROM pwide a JOIN pwide x ON CAST(a.id AS BIGINT) = CAST(x.id AS BIGINT) - 1""",
+    "hamming": """SELECT a.id, (SELECT count(*) FROM unnest(range(least(a.n, x.n))) AS u(i)
+ WHERE a.b[u.i + 1] <> x.b[u.i + 1]) AS distance FROM pwide a JOIN pwide x
+ ON CAST(split_part(a.id, '/', 1) AS BIGINT) = CAST(split_part(x.id, '/', 1) AS BIGINT) - 1 AND split_part(a.id, '/', 2) = split_part(x.id, '/', 2)""",
     "base_score": f"""SELECT id, pos, round({pair('r', 'r2', 1.5)}, 6) AS score FROM (SELECT id, pos, n, r, lead(r) OVER (PARTITION BY id ORDER BY pos) AS r2 FROM p)
  WHERE pos < n - 1""",
     "seq_base_score": """SELECT id, pos, CASE WHEN base = b2 THEN 0.5 ELSE -2.0 END::DOUBLE AS score FROM (SELECT id, pos, n, base, lead(base) OVER (PARTITION BY id ORDER BY pos) AS b2 FROM p)

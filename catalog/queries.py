@@ -168,9 +168,10 @@ def gc_fraction(s: Source):
 @query
 def hamming(s: Source):
     """Positional differences between the bases of users n and n + 1."""
-    a = s.db.select(L("id").alias("id"), "bases")
-    b = a.select((F.col("id") - 1).alias("id"), F.col("bases").alias("next_bases"))
-    return a.join(b, "id").select("id", S.hamming(F.col("bases"), F.col("next_bases")).alias("distance"))
+    part = lambda n: F.split_part("id", F.lit("/"), F.lit(n))
+    a = s.db.select("id", part(1).cast("long").alias("user"), part(2).alias("run"), "bases")
+    b = a.select((F.col("user") - 1).alias("user"), "run", F.col("bases").alias("next_bases"))
+    return a.join(b, ["user", "run"]).select("id", S.hamming(F.col("bases"), F.col("next_bases")).alias("distance"))
 
 
 def _steps(s: Source):
