@@ -13,8 +13,8 @@ sys.path.insert(0, str(ROOT / "tests"))
 def spark():
     from profseek.functions.shared import ship_package
 
-    session = (SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "4")
+    session = (SparkSession.builder.master("local[2]").appName("tests").config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "2")
                .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)

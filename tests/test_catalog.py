@@ -33,3 +33,18 @@ def test_every_sql_has_a_query():
 
 def test_entry_has_rows(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_users_with_many_events_give_several_profiles(spark, monkeypatch):
+    from catalog import oracles, queries, views
+
+    monkeypatch.setattr(views, "RUN", 25)
+    source = queries.Source(spark, SF)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    for name in ("cap", "hamming", "match_kmers_all"):
+        frame = getattr(queries, name)(source)
+        cursor = con.execute(oracles.ORACLES[name].replace("8192", "25"))
+        names = [d[0] for d in cursor.description]
+        assert _rows(frame.columns, frame.collect()) == _rows(names, cursor.fetchall())
+    assert source.sizes.longest == 25 and source.sizes.cells == 1000
