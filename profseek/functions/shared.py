@@ -46,10 +46,15 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
-    """Distribute rows with heavy work each over all cores, also when they are few bytes."""
+def spread_rows(df: DataFrame, *keys: str, wide: bool = False) -> DataFrame:
+    """Distribute rows with heavy work each over all cores, also when they are few bytes.
+
+    `wide` marks rows that grow with the database and uses all shuffle partitions.
+    """
     spark = df.sparkSession
-    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = 2 * spark.sparkContext.defaultParallelism
+    if wide:
+        n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(n, *keys)
 
 

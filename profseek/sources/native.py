@@ -144,7 +144,7 @@ def read_native(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
                     if held:
                         yield _batch(held)
 
-    return spread_rows(splits, "path", "start").mapInArrow(
+    return spread_rows(splits, "path", "start", wide=True).mapInArrow(
         decode, "id string, ord long, bases string, reactivity array<double>, molecule string")
 
 
