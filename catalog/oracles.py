@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 K, GAP, SEED = 8, 28, 42
 
 
@@ -173,6 +175,17 @@ def _inner(tag: str) -> str:
 CTES["moved_v"] = f"""SELECT id, draw, r, row_number() OVER (PARTITION BY draw ORDER BY {_BLOCK}, chunk, {_inner('values')}, inner_pos) AS spot FROM cell"""
 CTES["moved_b"] = f"""SELECT id, draw, base, row_number() OVER (PARTITION BY draw ORDER BY {_BLOCK}, chunk, {_inner('bases')}, inner_pos) AS spot FROM cell"""
 
+# the search chain once more with the null draws as targets
+CTES["null_p"] = """SELECT CAST(draw AS VARCHAR) AS id, spot - 1 AS pos, base, r, CASE WHEN r IS NULL THEN NULL ELSE least(r, 1.0) END AS c,
+ count(*) OVER (PARTITION BY draw) AS n FROM moved"""
+_CHAIN = ("ptrim pwin dwin dist stat near hit isle groups seed scored pos_seed sides up_sum up_best upped down_sum down_best "
+          "ext").split()
+_NAMES = re.compile(r"\b(p|" + "|".join(_CHAIN) + r")\b")
+for _name in _CHAIN:
+    CTES[f"null_{_name}"] = _NAMES.sub(r"null_\1", CTES[_name])
+CTES["null_first"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(target_id AS BIGINT),
+ q_seed_start - d_seed_start, q_seed_start) AS rn FROM null_ext) WHERE rn <= 300"""
+
 _ODD = num(f"concat_ws(':', {SEED}, id, 'odd')")
 CTES["colsize"] = f"""SELECT id, b, n, n % 3 AS odd, CASE WHEN n % 3 > 0 THEN {_ODD} % (n // 3 + 1) ELSE -1 END AS odd_at FROM pwide"""
 CTES["colstart"] = """SELECT id, b, n, odd, odd_at, u.i AS blk, CASE WHEN odd_at >= 0 AND u.i > odd_at THEN (u.i - 1) * 3 + odd ELSE u.i * 3 END AS s0,
@@ -258,6 +271,8 @@ _BODIES = {
     "shuffled_in_blocks": """SELECT id, draw, string_agg(base, '' ORDER BY spot) AS bases, round(sum(coalesce(r, -1.0) * spot), 6) AS checksum
  FROM moved_v JOIN moved_b USING (id, draw, spot) GROUP BY id, draw""",
     "null_fit": "SELECT query_id, n_null, round(location, 6) AS location, round(scale, 6) AS scale FROM fit",
+    "null_scores_ungapped": """SELECT query_id, n_null, round(mean - 0.5772156649015329 * scale, 6) AS location, round(scale, 6) AS scale
+ FROM (SELECT query_id, count(*) AS n_null, avg(score) AS mean, sqrt(var_samp(score) * 6.0 / (pi() * pi())) AS scale FROM null_first GROUP BY query_id)""",
     "normal_fit_z": """SELECT target_id, round(mean, 10) AS mean, round(stddev, 6) AS stddev, round((best - mean) / CASE WHEN stddev > 0 THEN stddev END, 6) AS z
  FROM (SELECT target_id, avg(seed_score) AS mean, stddev_samp(seed_score) AS stddev, max(seed_score) AS best FROM pos_seed GROUP BY target_id)""",
     "column_shuffle": "SELECT id, string_agg(b[col + 1], '' ORDER BY bk, col) AS bases FROM colcell GROUP BY id",

@@ -645,6 +645,15 @@ def null_scores(s: Source):
                        r6("scale").alias("scale"))
 
 
+@query
+def null_scores_ungapped(s: Source):
+    """Null fit per query from two draws per profile and ungapped extension, up to 300 seeds each."""
+    cfg = UNGAPPED.replace(db_shuffles=2, null_hsgs=300)
+    fits = search.null_fits(s.prepared(cfg), s.db, cfg, sizes=s.sizes)
+    return fits.select("query_id", L("n_null").alias("n_null"), r6("location").alias("location"),
+                       r6("scale").alias("scale"))
+
+
 REGISTRY["search"] = search_result
 
 
