@@ -186,6 +186,12 @@ for _name in _CHAIN:
 CTES["null_first"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CAST(target_id AS BIGINT),
  q_seed_start - d_seed_start, q_seed_start) AS rn FROM null_ext) WHERE rn <= 300"""
 
+CTES["full_fit"] = """SELECT query_id, n_null, mean - 0.5772156649015329 * scale AS location, scale FROM (SELECT query_id, count(*) AS n_null,
+ avg(score) AS mean, coalesce(sqrt(var_samp(score) * 6.0 / (pi() * pi())), 0.0) AS scale FROM null_first GROUP BY query_id)"""
+_TAIL = "fit sig rep rep_rank rep_pair rep_stop rep_lost rep_kept final".split()
+for _name in _TAIL[1:]:
+    CTES[f"full_{_name}"] = re.sub(r"\b(" + "|".join(_TAIL) + r")\b", r"full_\1", CTES[_name])
+
 _ODD = num(f"concat_ws(':', {SEED}, id, 'odd')")
 CTES["colsize"] = f"""SELECT id, b, n, n % 3 AS odd, CASE WHEN n % 3 > 0 THEN {_ODD} % (n // 3 + 1) ELSE -1 END AS odd_at FROM pwide"""
 CTES["colstart"] = """SELECT id, b, n, odd, odd_at, u.i AS blk, CASE WHEN odd_at >= 0 AND u.i > odd_at THEN (u.i - 1) * 3 + odd ELSE u.i * 3 END AS s0,
@@ -271,8 +277,7 @@ _BODIES = {
     "shuffled_in_blocks": """SELECT id, draw, string_agg(base, '' ORDER BY spot) AS bases, round(sum(coalesce(r, -1.0) * spot), 6) AS checksum
  FROM moved_v JOIN moved_b USING (id, draw, spot) GROUP BY id, draw""",
     "null_fit": "SELECT query_id, n_null, round(location, 6) AS location, round(scale, 6) AS scale FROM fit",
-    "null_scores_ungapped": """SELECT query_id, n_null, round(mean - 0.5772156649015329 * scale, 6) AS location, round(scale, 6) AS scale
- FROM (SELECT query_id, count(*) AS n_null, avg(score) AS mean, sqrt(var_samp(score) * 6.0 / (pi() * pi())) AS scale FROM null_first GROUP BY query_id)""",
+    "null_scores_ungapped": "SELECT query_id, n_null, round(location, 6) AS location, round(scale, 6) AS scale FROM full_fit",
     "normal_fit_z": """SELECT target_id, round(mean, 10) AS mean, round(stddev, 6) AS stddev, round((best - mean) / CASE WHEN stddev > 0 THEN stddev END, 6) AS z
  FROM (SELECT target_id, avg(seed_score) AS mean, stddev_samp(seed_score) AS stddev, max(seed_score) AS best FROM pos_seed GROUP BY target_id)""",
     "column_shuffle": "SELECT id, string_agg(b[col + 1], '' ORDER BY bk, col) AS bases FROM colcell GROUP BY id",
@@ -304,4 +309,6 @@ _BODIES = {
  GROUP BY user_id""",
 }
 
+_BODIES["search_ungapped"] = _BODIES["result_table"].replace("FROM final", "FROM full_final")
+
 ORACLES = {name: sql(body) for name, body in _BODIES.items()}

@@ -654,6 +654,14 @@ def null_scores_ungapped(s: Source):
                        r6("scale").alias("scale"))
 
 
+@query
+def search_ungapped(s: Source):
+    """A whole search with its own null model, without gaps."""
+    cfg = UNGAPPED.replace(db_shuffles=2, null_hsgs=300)
+    hits = search.search_hits(s.queries, s.db, cfg, db=s.tiles(cfg), sizes=s.sizes)
+    return significance.report_table(hits).drop("Score")
+
+
 REGISTRY["search"] = search_result
 
 
