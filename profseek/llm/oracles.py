@@ -36,4 +36,18 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
    AND n_stop_words >= 2 AND (n_lines = 0 OR n_dup_lines::DOUBLE / n_lines <= 0.5::DOUBLE)) AS kept
 FROM m"""
 
-ORACLES = {"op1_quality_rules": QUALITY}
+CHAT = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+e AS (
+  SELECT *, length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g'))
+    + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + 15 AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+ORACLES = {"op1_quality_rules": QUALITY, "op5_chat_format": CHAT}

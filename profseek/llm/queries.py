@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from profseek.functions.shared import ship_package
 from profseek.llm.byte_bpe import round_trip
+from profseek.llm.chat import formatted, linear_trees, masked_text, read_back
 from profseek.llm.quality import judged
 from profseek.llm.token_counts import token_counts
 
@@ -32,9 +33,23 @@ def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(_read(spark, sf, "documents"), WORD_BPE)
 
 
+def op5_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    chats = formatted(linear_trees(rows.unionByName(extra)))
+    read = chats.select("tree", "conversation", "loss_spans", read_back(F.col("conversation")).alias("turns"))
+    masked = read.withColumn("masked", masked_text(F.col("conversation"), F.col("loss_spans")))
+    flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return masked.select(
+        F.col("tree.id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(flat, 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"),
+        F.sha2("masked", 256).alias("loss_sha256"), F.length("conversation").cast("long").alias("formatted_chars"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(_read(spark, sf, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_token_counts, op8_byte_bpe)}
+    f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_chat_format, op8_byte_bpe)}
