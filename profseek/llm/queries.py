@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from profseek.functions.shared import ship_package
 from profseek.llm.byte_bpe import round_trip
 from profseek.llm.chat import formatted, linear_trees, masked_text, read_back
+from profseek.llm.packing import packed_documents
 from profseek.llm.quality import judged
 from profseek.llm.token_counts import token_counts
 
@@ -47,9 +48,14 @@ def op5_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("masked", 256).alias("loss_sha256"), F.length("conversation").cast("long").alias("formatted_chars"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_documents(_read(spark, sf, "documents"), WORD_BPE)
+
+
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(_read(spark, sf, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_chat_format, op8_byte_bpe)}
+    f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_chat_format, op7_best_fit_packing,
+                                op8_byte_bpe)}
