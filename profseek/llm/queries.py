@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from profseek.functions.shared import ship_package
 from profseek.llm.byte_bpe import round_trip
 from profseek.llm.chat import formatted, linear_trees, masked_text, read_back
+from profseek.llm.near_dedup import near_duplicates
 from profseek.llm.packing import packed_documents
 from profseek.llm.quality import judged
 from profseek.llm.token_counts import token_counts
@@ -56,6 +57,11 @@ def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return round_trip(_read(spark, sf, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf, "documents"), words=2)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_chat_format, op7_best_fit_packing,
-                                op8_byte_bpe)}
+                                op8_byte_bpe,
+                                op9_minhash_near_dedup)}
