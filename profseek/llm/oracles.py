@@ -50,4 +50,21 @@ SELECT conv_id, count(*) AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
-ORACLES = {"op1_quality_rules": QUALITY, "op5_chat_format": CHAT}
+_DEDUPED = r"""
+WITH s AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM {docs} WHERE text IS NOT NULL),
+l AS (
+  SELECT doc_id, source, i, lines[i] AS line, regexp_matches(lines[i], '[^\x20\x09-\x0D]') AS word
+  FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM s)),
+g AS (
+  SELECT line, min(doc_id) AS first FROM l WHERE word GROUP BY line HAVING count(DISTINCT source) >= 6),
+k AS (
+  SELECT l.*, (g.line IS NOT NULL AND word AND l.doc_id <> g.first) AS gone FROM l LEFT JOIN g ON l.line = g.line),
+t AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text,
+    count(*) FILTER (word) AS n_lines, count(*) FILTER (gone) AS n_removed
+  FROM k GROUP BY doc_id)"""
+LINES = _DEDUPED.format(docs="documents") + """
+SELECT d.doc_id, t.text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id"""
+
+ORACLES = {"op1_quality_rules": QUALITY, "op2_line_dedup": LINES, "op5_chat_format": CHAT}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from profseek.functions.shared import ship_package
 from profseek.llm.byte_bpe import round_trip
 from profseek.llm.chat import formatted, linear_trees, masked_text, read_back
+from profseek.llm.line_dedup import without_widespread_lines
 from profseek.llm.near_dedup import near_duplicates
 from profseek.llm.packing import packed_documents
 from profseek.llm.quality import judged
@@ -31,6 +32,11 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
                         "n_repeat_words", "base_failed", "kept", "n_lines", "n_capitals", "n_stop_words")
 
 
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = without_widespread_lines(_read(spark, sf, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
+
+
 def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(_read(spark, sf, "documents"), WORD_BPE)
 
@@ -62,6 +68,6 @@ def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_token_counts, op5_chat_format, op7_best_fit_packing,
+    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_token_counts, op5_chat_format, op7_best_fit_packing,
                                 op8_byte_bpe,
                                 op9_minhash_near_dedup)}
