@@ -14,6 +14,7 @@ from profseek.llm.chat import formatted, linear_trees, masked_text, read_back
 from profseek.llm.line_dedup import without_widespread_lines
 from profseek.llm.near_dedup import near_duplicates
 from profseek.llm.packing import packed_documents
+from profseek.llm.personal_data import KINDS, found_spans, written
 from profseek.llm.quality import judged
 from profseek.llm.token_counts import token_counts
 
@@ -37,6 +38,13 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "text", "n_lines", "n_removed")
 
 
+def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    found = found_spans(_read(spark, sf, "documents"), doc_id="doc_id")
+    count = lambda kind: F.size(F.filter("seeds", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+                        F.sha2(written(F.col("seeds")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 def op4_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(_read(spark, sf, "documents"), WORD_BPE)
 
@@ -68,6 +76,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_token_counts, op5_chat_format, op7_best_fit_packing,
+    f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_personal_data,
+                                op4_token_counts, op5_chat_format, op7_best_fit_packing,
                                 op8_byte_bpe,
                                 op9_minhash_near_dedup)}
