@@ -17,6 +17,7 @@ from profseek.llm.packing import packed_documents
 from profseek.llm.personal_data import KINDS, found_spans, written
 from profseek.llm.quality import judged
 from profseek.llm.token_counts import token_counts
+from profseek.llm.vector_search import nearest_neighbours
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -63,6 +64,10 @@ def op5_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("masked", 256).alias("loss_sha256"), F.length("conversation").cast("long").alias("formatted_chars"))
 
 
+def op6_vector_search(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest_neighbours(_read(spark, sf, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed_documents(_read(spark, sf, "documents"), WORD_BPE)
 
@@ -77,6 +82,6 @@ def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_personal_data,
-                                op4_token_counts, op5_chat_format, op7_best_fit_packing,
+                                op4_token_counts, op5_chat_format, op6_vector_search, op7_best_fit_packing,
                                 op8_byte_bpe,
                                 op9_minhash_near_dedup)}
