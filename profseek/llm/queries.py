@@ -18,6 +18,7 @@ from profseek.llm.personal_data import KINDS, found_spans, written
 from profseek.llm.quality import judged
 from profseek.llm.token_counts import token_counts
 from profseek.llm.vector_search import nearest_neighbours
+from profseek.llm.warc import archive_round_trip
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -80,8 +81,13 @@ def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_read(spark, sf, "documents"), words=2)
 
 
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_round_trip(_read(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_personal_data,
                                 op4_token_counts, op5_chat_format, op6_vector_search, op7_best_fit_packing,
                                 op8_byte_bpe,
-                                op9_minhash_near_dedup)}
+                                op9_minhash_near_dedup, op10_warc)}
