@@ -96,7 +96,8 @@ def text_metrics(df: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.array_distinct(F.concat("at", F.transform("at", lambda p: p + 1), F.transform("at", lambda p: p + 2))))
         .cast("long").alias("n_repeat_words"),
         F.length(F.regexp_replace("text", r"[^A-Z]+", "")).cast("long").alias("n_capitals"),
-        F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in stop]))).cast("long").alias("n_stop_words"))
+        F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in stop]))).cast("long").alias("n_stop_words"),
+        F.spark_partition_id().alias("partition"))
     return counted.withColumns({
         "excess_repeat": F.greatest(F.lit(0).cast("long"), 100 * F.col("n_repeat_words") - 50 * F.col("n_words")),
         "mean_word_length": _ratio(F.col("word_chars"), F.col("n_words")),
@@ -116,4 +117,5 @@ def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
               base_rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
     """The documents that pass every rule, with the columns they came with."""
-    return judged(df, text, rules, base_rules).filter("kept").select("row.*")
+    # the partition number keeps the filter above the metrics; below, each use of a metric would compute it anew
+    return judged(df, text, rules, base_rules).filter(F.col("kept") & (F.col("partition") >= 0)).select("row.*")
