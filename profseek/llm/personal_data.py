@@ -9,8 +9,8 @@
    support and confidence vouch for unknown instances, and instances vouched for
    strongly enough become known for the next round. Numbers that a check refuted
    stay negative for good.
-4. Mentions of instances that became known, and keys in trusted patterns, are
-   added to the seeds' spans.
+4. Identifiers that became known and that some trusted pattern holds are added
+   to the seeds' spans, wherever they are mentioned.
 
 Seed patterns are matched from the left without overlap per kind, in time linear
 in the text. Statistics cover all documents. Groups are reduced to distinct
