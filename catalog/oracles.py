@@ -16,13 +16,13 @@ def num(text: str) -> str:
 
 CTES: dict[str, str] = {}
 CTES["event"] = """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS at_user FROM events"""
-CTES["p"] = """SELECT user_id || CASE WHEN at_user >= 8192 THEN '/' || (at_user // 8192) ELSE '' END AS id, at_user % 8192 AS pos,
+CTES["p"] = """SELECT CAST(user_id AS VARCHAR) AS id, at_user AS pos,
  CASE event_type WHEN 'view' THEN 'A' WHEN 'click' THEN 'C' WHEN 'purchase' THEN 'G' WHEN 'signup' THEN 'T' ELSE 'N' END AS base,
  CASE WHEN event_id % 97 = 0 THEN NULL ELSE value / 100.0 END AS r,
  CASE WHEN event_id % 97 = 0 THEN NULL ELSE least(value / 100.0, 1.0) END AS c,
- count(*) OVER (PARTITION BY user_id, at_user // 8192) AS n FROM event"""
-CTES["opened"] = """SELECT event_type, slot, value FROM (SELECT event_type, epoch_us(ts) // 21600000000 AS slot, value,
- row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 21600000000 ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1"""
+ count(*) OVER (PARTITION BY user_id) AS n FROM event"""
+CTES["opened"] = """SELECT event_type, slot, CAST((total % 15013 + 15013) % 15013 AS DOUBLE) / 100.07::DOUBLE AS value FROM (SELECT event_type,
+ epoch_us(ts) // 21600000000 AS slot, sum(CAST(floor(value * 100.0::DOUBLE) AS BIGINT)) AS total FROM events GROUP BY 1, 2)"""
 CTES["grid"] = """SELECT t.event_type, u.slot, s.lo FROM (SELECT min(slot) AS lo, max(slot) AS hi FROM opened) s,
  (SELECT DISTINCT event_type FROM opened) t, unnest(range(s.lo, s.hi + 1)) AS u(slot)"""
 CTES["q"] = """SELECT g.event_type AS id, g.slot - g.lo AS pos, substr('ACGT', CAST(g.slot % 4 + 1 AS INT), 1) AS base,
@@ -236,7 +236,7 @@ _BODIES = {
     "gc_fraction": "SELECT doc_id, round(length(regexp_replace(text, '[^CG]', '', 'g')) / nullif(length(text), 0)::DOUBLE, 6) AS gc FROM documents",
     "hamming": """SELECT a.id, (SELECT count(*) FROM unnest(range(least(a.n, x.n))) AS u(i)
  WHERE a.b[u.i + 1] <> x.b[u.i + 1]) AS distance FROM pwide a JOIN pwide x
- ON CAST(split_part(a.id, '/', 1) AS BIGINT) = CAST(split_part(x.id, '/', 1) AS BIGINT) - 1 AND split_part(a.id, '/', 2) = split_part(x.id, '/', 2)""",
+ ON CAST(a.id AS BIGINT) = CAST(x.id AS BIGINT) - 1""",
     "base_score": f"""SELECT id, pos, round({pair('r', 'r2', 1.5)}, 6) AS score FROM (SELECT id, pos, n, r, lead(r) OVER (PARTITION BY id ORDER BY pos) AS r2 FROM p)
  WHERE pos < n - 1""",
     "seq_base_score": """SELECT id, pos, CASE WHEN base = b2 THEN 0.5 ELSE -2.0 END::DOUBLE AS score FROM (SELECT id, pos, n, base, lead(base) OVER (PARTITION BY id ORDER BY pos) AS b2 FROM p)
@@ -287,7 +287,8 @@ _BODIES = {
     "status": f"SELECT {_HIT}, CASE WHEN evalue > 10.0 THEN '' WHEN evalue > 1.0 THEN '?' ELSE '!' END AS status FROM rep",
     "overlap_removal": f"SELECT {_HIT}, round(score, 6) AS score FROM all_kept",
     "result_table": f"""SELECT query_id AS "Query", target_id AS "DB field", q_start AS "Qstart", q_end AS "Qend", d_start AS "Dstart", d_end AS "Dend",
- q_seed_start || '-' || q_seed_end AS "Qseed", d_seed_start || '-' || d_seed_end AS "Dseed", {shown_number('pvalue')} AS "P-value",
+ q_seed_start || '-' || q_seed_end AS "Qseed", d_seed_start || '-' || d_seed_end AS "Dseed", round(score, 4) AS "Score",
+ {shown_number('pvalue')} AS "P-value",
  {shown_number('evalue')} AS "E-value", status FROM final""",
     "fasta_text": "SELECT name, '>' || target_id || chr(10) || db || chr(10) || '>' || query_id || chr(10) || qb || chr(10) AS text FROM shown",
     "stockholm_text": """SELECT name, '# STOCKHOLM 1.0' || chr(10) || '#=GF ID ' || name || chr(10) || '#=GF AU profseek' || chr(10) || chr(10)
@@ -309,6 +310,8 @@ _BODIES = {
  GROUP BY user_id""",
 }
 
+_BODIES["ungapped_extend_tiled"] = _BODIES["ungapped_extend"]
 _BODIES["search_ungapped"] = _BODIES["result_table"].replace("FROM final", "FROM full_final")
+_BODIES["search_ungapped_tiled"] = _BODIES["search_ungapped"]
 
 ORACLES = {name: sql(body) for name, body in _BODIES.items()}

@@ -11,7 +11,7 @@ from catalog import views
 from catalog.views import CFG
 from profseek.functions import scalars as S
 from profseek.functions.shared import checkpointed, fresh_path, ship_package
-from profseek.operators import columns, dotbracket, fold, gapped, kmers, nulls, seeds, significance, tiles
+from profseek.operators import columns, dotbracket, gapped, kmers, nulls, seeds, significance, tiles
 from profseek.operators.distance import kmer_names, match_kmers, reached_islands, window_stats
 from profseek.operators.extend import extend_seeds
 from profseek.operators.numbering import dense_ordinals
@@ -69,8 +69,8 @@ class Source:
         found = seeds.as_seeds(reached_islands(self.tiles(cfg), self.prepared(cfg).blocks, cfg), cfg, *parts)
         return seeds.with_seed_score(seeds.join_queries(found, self.queries, self.prepared(cfg).cells, cfg), cfg)
 
-    def extended(self) -> DataFrame:
-        return extend_seeds(self.seeds(), UNGAPPED)
+    def extended(self, cfg=CFG) -> DataFrame:
+        return extend_seeds(self.seeds(cfg), UNGAPPED.replace(tile_len=cfg.tile_len))
 
     def significant(self) -> DataFrame:
         """Ungapped hits with E-values; the fit uses the seed scores, so that SQL can repeat it."""
@@ -168,10 +168,9 @@ def gc_fraction(s: Source):
 @query
 def hamming(s: Source):
     """Positional differences between the bases of users n and n + 1."""
-    part = lambda n: F.split_part("id", F.lit("/"), F.lit(n))
-    a = s.db.select("id", part(1).cast("long").alias("user"), part(2).alias("run"), "bases")
-    b = a.select((F.col("user") - 1).alias("user"), "run", F.col("bases").alias("next_bases"))
-    return a.join(b, ["user", "run"]).select("id", S.hamming(F.col("bases"), F.col("next_bases")).alias("distance"))
+    a = s.db.select("id", F.col("id").cast("long").alias("user"), "bases")
+    b = a.select((F.col("user") - 1).alias("user"), F.col("bases").alias("next_bases"))
+    return a.join(b, "user").select("id", S.hamming(F.col("bases"), F.col("next_bases")).alias("distance"))
 
 
 def _steps(s: Source):
@@ -364,6 +363,12 @@ def ungapped_extend(s: Source):
     return s.extended().select(*HIT, r6("raw_score").alias("raw_score"), "q_path", "t_path")
 
 
+@query
+def ungapped_extend_tiled(s: Source):
+    """The same extensions when every profile spans several tiles."""
+    return s.extended(CFG.replace(tile_len=24)).select(*HIT, r6("raw_score").alias("raw_score"), "q_path", "t_path")
+
+
 @query
 def norm_score(s: Source):
     """Length-normalised score."""
@@ -505,10 +510,14 @@ def overlap_removal(s: Source):
     return significance.remove_overlaps(s.significant(), CFG).select(*HIT, r6("score").alias("score"))
 
 
+def _with_score(table: DataFrame) -> DataFrame:
+    return table.withColumn("Score", F.round(F.col("Score").cast("double"), 4))
+
+
 @query
 def result_table(s: Source):
     """The printed table."""
-    return significance.report_table(s.reported()).drop("Score")
+    return _with_score(significance.report_table(s.reported()))
 
 
 # --- reports ------------------------------------------------------------------
@@ -654,22 +663,22 @@ def null_scores_ungapped(s: Source):
                        r6("scale").alias("scale"))
 
 
+def _whole_search(s: Source, **changes) -> DataFrame:
+    cfg = UNGAPPED.replace(db_shuffles=2, null_hsgs=300, **changes)
+    hits = search.search_hits(s.queries, s.db, cfg, db=s.tiles(cfg), sizes=s.sizes)
+    return _with_score(significance.report_table(hits))
+
+
 @query
 def search_ungapped(s: Source):
     """A whole search with its own null model, without gaps."""
-    cfg = UNGAPPED.replace(db_shuffles=2, null_hsgs=300)
-    hits = search.search_hits(s.queries, s.db, cfg, db=s.tiles(cfg), sizes=s.sizes)
-    return significance.report_table(hits).drop("Score")
+    return _whole_search(s)
 
 
-REGISTRY["search"] = search_result
+@query
+def search_ungapped_tiled(s: Source):
+    """The same search when every profile, also of the null database, spans several tiles."""
+    return _whole_search(s, tile_len=24)
 
 
-@query
-def fold_evaluation(s: Source):
-    """Consensus folding of the significant ungapped hits."""
-    cfg = CFG.replace(eval_align_fold=True, shuffles=20, min_bp_support=0.5)
-    done = fold.evaluate_folds(checkpointed(s.reported()), s.queries, s.db, cfg)
-    return done.select(*HIT, r6("target_bp_support").alias("target_bp_support"),
-                       r6("query_bp_support").alias("query_bp_support"), "status", "dotbracket",
-                       r6("mfe_pvalue").alias("mfe_pvalue"))
+REGISTRY["search"] = search_result

@@ -1,10 +1,9 @@
 """Profiles derived from the driver's tables, in Spark and as DuckDB SQL.
 
 Database: one profile per user, the user's events in time order; the event type
-is the base, value / 100 the measurement. A user with more than RUN events gives
-several profiles of consecutive events, so no row grows with a user. Queries: one profile per event type,
-the first value of each six-hour slot, missing where a slot is empty; the hour
-of the slot is the base. Both read the whole table.
+is the base, value / 100 the measurement. Queries: one profile per event type, a
+whole-number mix of all values of each six-hour slot, missing where a slot is
+empty; the hour of the slot is the base. Every row of the table enters both.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from profseek.operators.tiles import Sizes, wide_from_long
 CFG = SearchConfig(kmer_len=8, kmer_min_complexity=0.2, kmer_max_match_every_nt=5, max_kmer_dist=20,
                    inclusion_evalue=1.0, report_evalue=10.0, null_hsgs=2000)
 SLOT_SECONDS = 6 * 3600
-RUN = 8192
+MIX = 15013
 BASES = {"view": "A", "click": "C", "purchase": "G", "signup": "T"}
 
 
@@ -36,23 +35,19 @@ def db_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, Sizes]:
         F.col("user_id").cast("string").alias("id"), "ts", "event_id", base.alias("base"),
         F.when(F.col("event_id") % 97 != 0, F.col("value") / 100.0).alias("reactivity"))
     per_user = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    size = per_user.agg(F.sum("n").alias("cells"), F.max("n").alias("most"),
-                        F.sum(F.ceil(F.col("n") / RUN)).alias("runs")).first()
-    sizes = Sizes(int(size["runs"] or 0), int(size["cells"] or 0), min(int(size["most"] or 0), RUN))
+    size = per_user.agg(F.sum("n").alias("cells"), F.max("n").alias("most"), F.count(F.lit(1)).alias("users")).first()
+    sizes = Sizes(int(size["users"]), int(size["cells"] or 0), int(size["most"] or 0))
     numbered = number_positions(rows, ["id"], ["ts", "event_id"], largest=int(size["most"] or 0))
-    run = F.floor(F.col("pos") / RUN)
-    return numbered.select(
-        F.when(run > 0, F.concat("id", F.lit("/"), run.cast("string"))).otherwise(F.col("id")).alias("id"),
-        F.lit(0).cast("long").alias("ord"), (F.col("pos") % RUN).alias("pos"),
-        F.least(F.lit(RUN), F.col("group_len") - run * RUN).cast("long").alias("group_len"), "base", "reactivity"), sizes
+    return numbered.select("id", F.lit(0).cast("long").alias("ord"), "pos", "group_len", "base", "reactivity"), sizes
 
 
 def query_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Long rows of the query profiles: every event type on every slot of the table's time span."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     slot = F.floor(micros / F.lit(SLOT_SECONDS * 1_000_000)).cast("long")
-    first = F.min(F.struct("ts", "event_id", "value"))["value"]
-    opened = events(spark, sf).withColumn("slot", slot).groupBy("event_type", "slot").agg(first.alias("value"))
+    # sums of whole numbers, so that every value counts and both engines agree whatever the order
+    mixed = F.pmod(F.sum(F.floor(F.col("value") * 100.0).cast("long")), F.lit(MIX)).cast("double") / 100.07
+    opened = events(spark, sf).withColumn("slot", slot).groupBy("event_type", "slot").agg(mixed.alias("value"))
     span = opened.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).first()
     slots = F.sequence(F.lit(span["lo"]), F.lit(span["hi"]))
     grid = opened.select("event_type").distinct().select("event_type", F.explode(slots).alias("slot"))

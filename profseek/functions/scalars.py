@@ -23,11 +23,6 @@ def capped(values: Column, limit: float) -> Column:
     return F.transform(values, lambda x: F.when(x.isNotNull(), F.least(x, F.lit(float(limit)))))
 
 
-def clean_missing(values: Column) -> Column:
-    """NaN and the -999 sentinel both become NULL."""
-    return F.transform(values, lambda x: F.when(~(F.isnan(x) | (x == F.lit(-999.0))), x))
-
-
 def trim_range(values: Column) -> Column:
     """Half-open range from the first to the last present value; all missing gives the whole array."""
     present = F.transform(values, lambda x: x.isNotNull())
@@ -105,10 +100,6 @@ def align_tolerance(q_start, q_end, d_start, d_end, trim_start, trim_end, target
                     tolerance_span(F.greatest(down, F.lit(0)), rate).alias("down"))
 
 
-def length_normalised(score: Column, aligned_len: Column, trimmed_len: Column) -> Column:
-    return score * F.ln(aligned_len.cast("double")) / nullif(F.ln(trimmed_len.cast("double")), 0.0)
-
-
 def overlap_len(a_start, a_end, b_start, b_end) -> Column:
     return F.greatest(F.least(a_end, b_end) + 1 - F.greatest(a_start, b_start), F.lit(0))
 
@@ -123,10 +114,6 @@ def deigan(value: Column, slope: float, intercept: float) -> Column:
     return F.when(value >= 0.0, F.lit(float(slope)) * F.ln(value + 1.0) + F.lit(float(intercept))).otherwise(0.0)
 
 
-def gumbel_scale(variance: Column) -> Column:
-    return F.sqrt(variance * 6.0 / (math.pi ** 2))
-
-
 def gumbel_p(score: Column, location: Column, scale: Column) -> Column:
     """Upper tail of a Gumbel; a zero scale (under two null scores) steps at the location."""
     degenerate = F.when(score > location, 0.0).when(score < location, 1.0)

@@ -40,14 +40,21 @@ def with_status(hits: DataFrame, cfg) -> DataFrame:
 def _stops(start: np.ndarray, end: np.ndarray, fraction: float) -> tuple[np.ndarray, np.ndarray]:
     """For ranges in rank order: the next range that does not overlap each one (open end: none)."""
     stop_start, stop_end = np.full(len(start), np.iinfo(np.int64).max), np.zeros(len(start), np.int64)
+    # ranges are sorted by start: the first that begins at or after an end is a stop at the latest
+    latest = np.searchsorted(start, end, side="left")
     for i in range(len(start) - 1):
-        b0, b1 = start[i + 1:], end[i + 1:]
-        shared = np.maximum(np.minimum(end[i], b1) + 1 - np.maximum(start[i], b0), 0)
-        shorter = np.minimum(end[i] + 1 - start[i], b1 + 1 - b0)
-        bad = ~((b0 < end[i]) & (shared > shorter * fraction))
-        if bad.any():
-            at = i + 1 + int(bad.argmax())
-            stop_start[i], stop_end[i] = start[at], end[at]
+        at, last, step = i + 1, max(int(latest[i]), i + 1), 32
+        while at < last:
+            b0, b1 = start[at:min(at + step, last)], end[at:min(at + step, last)]
+            shared = np.minimum(end[i], b1) + 1 - b0
+            shorter = np.minimum(end[i] + 1 - start[i], b1 + 1 - b0)
+            bad = shared <= shorter * fraction
+            if bad.any():
+                last = at + int(bad.argmax())
+            else:
+                at, step = at + step, 4 * step
+        if last < len(start):
+            stop_start[i], stop_end[i] = start[last], end[last]
     return stop_start, stop_end
 
 

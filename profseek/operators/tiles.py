@@ -30,12 +30,6 @@ class Sizes:
         row = profiles.agg(F.count(F.lit(1)).alias("p"), F.sum(n.cast("long")).alias("c"), F.max(n).alias("m")).first()
         return cls(int(row["p"]), int(row["c"] or 0), int(row["m"] or 0))
 
-    @classmethod
-    def of_rows(cls, rows: DataFrame, *keys: str) -> "Sizes":
-        per_key = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        row = per_key.agg(F.count(F.lit(1)).alias("p"), F.sum("n").alias("c"), F.max("n").alias("m")).first()
-        return cls(int(row["p"]), int(row["c"] or 0), int(row["m"] or 0))
-
 
 def balanced(df: DataFrame, cells: int, *keys: str) -> DataFrame:
     """Spread a small input over all cores; a large one keeps its many partitions.

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profseek.functions.scalars import display_bases
-from profseek.functions.shared import broadcast_if_small, file_uri, filesystem
+from profseek.functions.shared import broadcast_if_small, file_uri, filesystem, fresh_path
 from profseek.operators.gapped import gapped_bases, gapped_json
 from profseek.sources.load import first_by_id
 
 AUTHOR = "profseek"
 # fixed values: per-file annotation tags of the Stockholm format used here
 GF_ID, GF_AUTHOR, GC_STRUCTURE = "#=GF ID ", "#=GF AU ", "#=GC SS_cons"
-SINGLE_FILE_ROWS = 1_000_000
 
 
 def prepare_output(path: str, overwrite: bool) -> None:
@@ -36,25 +36,42 @@ def write_text(path: str, text: str) -> None:
 
 
 def write_table(table: DataFrame, path: str, single_file: bool = False) -> None:
-    """Tab-separated table with a header, as a folder of ordered parts.
+    """Tab-separated table, as a folder of ordered parts with headers, or as one file.
 
-    `single_file` writes one file row by row, for tables of a checked size; an
-    empty table then is the bare header.
+    Empty cells stay empty; cells with a separator, quote or line break are
+    quoted, quotes doubled. For one file the parts are written first, and a task
+    joins them as streams; an empty table then is the bare header.
     """
-    out = table.withColumnRenamed("status", " ")
+    names = ["" if c == "status" else c for c in table.columns]
+    cell = lambda c: F.when(c.rlike('[\t"\n\r]'), F.concat(
+        F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(c)
+    line = F.concat_ws("\t", *[F.coalesce(cell(F.col(f"`{c}`").cast("string")), F.lit("")) for c in table.columns])
+    rows = table.select(line.alias("value"))
     if not single_file:
-        out.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
+        table.withColumnRenamed("status", " ").write.mode("overwrite").options(
+            sep="\t", header="true", emptyValue="", escape='"').csv(path)
         return
-    if table.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
-        raise ValueError("too many rows for one file; write a folder instead")
-    header = "\t".join(["" if c == "status" else c for c in table.columns])
-    fs, inner = filesystem(path)
-    with fs.open_output_stream(inner) as stream:
-        stream.write(header.encode())
-        for at, row in enumerate(table.toLocalIterator()):
-            cells = ["" if v is None else str(v) for v in row]
-            cells = ['"' + c.replace('"', '""') + '"' if set(c) & set('\t"\n\r') else c for c in cells]
-            stream.write((("\n" if at == 0 else "") + "\t".join(cells) + "\n").encode())
+    parts = fresh_path(table.sparkSession, "results")
+    rows.write.text(parts)
+    source, target, head = file_uri(parts), file_uri(path), "\t".join(names).encode()
+
+    def join(batches):
+        from pyarrow.fs import FileSelector
+
+        for _ in batches:
+            (fs, inner), (out_fs, out) = filesystem(source), filesystem(target)
+            files = sorted(f.path for f in fs.get_file_info(FileSelector(inner)) if f.base_name.startswith("part-"))
+            with out_fs.open_output_stream(out) as stream:
+                stream.write(head)
+                first = True
+                for file in files:
+                    with fs.open_input_stream(file) as part:
+                        while chunk := part.read(1 << 20):
+                            stream.write(b"\n" + chunk if first else chunk)
+                            first = False
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], ["n"])
+
+    table.sparkSession.range(1).coalesce(1).mapInArrow(join, "n long").collect()
 
 
 def file_stem():
@@ -101,8 +118,7 @@ def stockholm_text(with_structure: bool = False):
 
 
 def reactivity_json():
-    quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(
-        F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    quote = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
     parts = []
     for label, side, path, key in (("query", "q", "q_path", "query_id"), ("target", "d", "t_path", "target_id")):
         parts += [F.lit(f'"{label}":'), gapped_json(F.col(f"{side}_values"), F.col(path)),
@@ -120,6 +136,7 @@ def write_files(rows: DataFrame, folder: str, extension: str) -> int:
         fs.create_dir(inner, recursive=True)
         for pdf in frames:
             for name, text in zip(pdf["name"], pdf["text"]):
+                name = name.replace("%", "%25").replace("/", "%2F")  # a name is no path
                 with fs.open_output_stream(f"{inner}/{name}.{extension}") as out:
                     out.write(text.encode())
             yield pd.DataFrame({"n": [len(pdf)]})
@@ -143,9 +160,13 @@ def write_reports(hits: DataFrame, queries: DataFrame, targets: DataFrame, out:
                     f"{out}/reactivities", "json")
 
 
-def print_table(table: DataFrame, rows: int = 1000) -> None:
-    """Results on the console."""
-    if table.isEmpty():
+def print_table(table: DataFrame) -> None:
+    """All results on the console, partition by partition."""
+    found = False
+    for row in table.toLocalIterator():
+        if not found:
+            print("\t".join("" if c == "status" else c for c in table.columns))
+            found = True
+        print("\t".join("" if v is None else str(v) for v in row))
+    if not found:
         print("No match found.")
-    else:
-        table.withColumnRenamed("status", " ").show(rows, truncate=False)

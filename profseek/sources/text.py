@@ -96,7 +96,8 @@ def fail_on_error(records: DataFrame) -> DataFrame:
     stop = F.raise_error(F.col("error"))
     guard = lambda c: F.when(F.col("error").isNull(), F.col(c)).otherwise(
         stop.cast(records.schema[c].dataType))
-    return records.select(guard("id").alias("id"), "ord", "bases", guard("reactivity").alias("reactivity"), "molecule")
+    # each column on its own, so no plan that prunes some of them passes a bad record
+    return records.select(*[guard(c).alias(c) for c in ("id", "ord", "bases", "reactivity", "molecule")])
 
 
 def read_query_text(spark: SparkSession, path: str, permissive: bool = False) -> DataFrame:

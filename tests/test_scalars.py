@@ -29,7 +29,7 @@ def test_base_score(spark, q, t, want):
 
 
 def test_gini_by_pairs(spark):
-    data = [9.0, 28.0, 43.0, 6.0, 21.0, 42.0, 4.0]
+    data = [0.125, 3.5, 17.0, 0.75, 2.25, 11.5, 8.0, 0.5]
     pairs = sum(abs(a - b) for i, a in enumerate(data) for b in data[i + 1:])
     assert one(spark, S.gini(F.col("v")), v=(data, None)) == pytest.approx(pairs / (len(data) * sum(data)))
     assert one(spark, S.gini(F.col("v")), v=([0.0, 0.0], None)) is None
@@ -66,7 +66,8 @@ def test_display_number(spark, x, want):
 def test_gumbel(spark):
     p = lambda x, loc, sc: one(spark, S.gumbel_p(F.col("x"), F.col("l"), F.col("s")), x=(x, "double"),
                                l=(loc, "double"), s=(sc, "double"))
-    assert 1 - p(4.5, 0.7, 1.4) == pytest.approx(math.exp(-math.exp(-(4.5 - 0.7) / 1.4)))
+    for x, at, width in ((2.2, -0.3, 0.9), (-1.1, 0.4, 2.3), (6.25, 5.0, 0.35)):
+        assert 1 - p(x, at, width) == pytest.approx(math.exp(-math.exp(-(x - at) / width)))
     assert p(3.0, 0.0, 0.0) == 0.0 and p(-1.0, 0.0, 0.0) == 1.0 and p(0.0, 0.0, 0.0) is None
 
 

@@ -109,15 +109,19 @@ def left(spark, rows):
 
 
 @pytest.mark.parametrize("rows, want", [
-    ([("t", 0, 4, 0, 10, 0), ("t", 4, 10, 0, 10, 0), ("t", 8, 16, 0, 10, 0)], {0, 1, 2}),
-    ([("t", 0, 10, 0, 10, .5), ("t", 4, 14, 0, 10, .2)], {0}),
-    ([("t", 0, 10, 0, 10, .2), ("t", 4, 14, 0, 10, .5)], {1}),
-    ([("t", 0, 10, 0, 10, .5), ("t", 2, 6, 0, 10, .2)], {0}),
-    ([("t", 0, 10, 0, 10, .2), ("t", 2, 6, 0, 10, .5)], {1}),
-    # the middle one is dropped by the first, and still drops the last
-    ([("t", 0, 10, 0, 10, .5), ("t", 4, 14, 0, 10, .4), ("t", 8, 18, 0, 10, .3)], {0}),
-    ([("t", 0, 10, 0, 10, .5), ("u", 4, 14, 0, 10, .2)], {0, 1}),
-    ([("t", 0, 10, 0, 10, .5), ("t", 4, 14, 50, 60, .2)], {0, 1}),
+    # neighbours that share less than half
+    ([("m", 20, 29, 5, 24, 3.0), ("m", 27, 41, 6, 25, 3.0), ("m", 38, 60, 7, 26, 3.0)], {0, 1, 2}),
+    # most of it shared: the higher score stays, the earlier one of equals
+    ([("m", 7, 30, 40, 63, 9.0), ("m", 12, 35, 41, 64, 4.0)], {0}),
+    ([("m", 7, 30, 40, 63, 4.0), ("m", 12, 35, 41, 64, 9.0)], {1}),
+    ([("m", 7, 30, 40, 63, 6.0), ("m", 12, 35, 41, 64, 6.0)], {0}),
+    # one inside the other
+    ([("m", 3, 43, 70, 110, 1.0), ("m", 11, 19, 78, 86, 2.5)], {1}),
+    # a dropped hit still drops the next
+    ([("m", 50, 69, 0, 19, 8.0), ("m", 57, 76, 2, 21, 7.0), ("m", 64, 83, 4, 23, 6.0)], {0}),
+    # elsewhere on the target, or on another target
+    ([("m", 7, 30, 40, 63, 9.0), ("m", 12, 35, 300, 323, 4.0)], {0, 1}),
+    ([("m", 7, 30, 40, 63, 9.0), ("w", 12, 35, 41, 64, 4.0)], {0, 1}),
 ])
 def test_overlap_cases(spark, rows, want):
     assert left(spark, rows) == want

@@ -177,3 +177,19 @@ def test_table_folder(spark, tmp_path):
     reports.write_table(frame, str(tmp_path / "t"))
     back = spark.read.option("sep", "\t").option("header", "true").csv(str(tmp_path / "t"))
     assert sorted(r[0] for r in back.collect()) == ["a", "b\tc"]
+
+
+def test_table_text(spark, tmp_path):
+    frame = spark.createDataFrame([("a", ""), ("b\tc", "!"), ('say "x"', "?")], "Query string, status string").coalesce(1)
+    reports.write_table(frame, str(tmp_path / "t"))
+    text = next((tmp_path / "t").glob("part-*.csv")).read_text()
+    assert text == 'Query\t\na\t\n"b\tc"\t!\n"say ""x"""\t?\n'
+    reports.write_table(frame, str(tmp_path / "one"), single_file=True)
+    assert (tmp_path / "one").read_text() == 'Query\t\na\t\n"b\tc"\t!\n"say ""x"""\t?\n'
+
+
+def test_console_table_is_whole(spark, capsys):
+    reports.print_table(spark.range(1500).selectExpr("id AS Query", "'' AS status"))
+    assert len(capsys.readouterr().out.splitlines()) == 1501
+    reports.print_table(spark.range(0).selectExpr("id AS Query", "'' AS status"))
+    assert capsys.readouterr().out == "No match found.\n"
