@@ -83,9 +83,10 @@ def branches(messages: DataFrame, keep: int | None = None) -> DataFrame:
         before = open_
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("gain").alias("more"),
                            F.col("depth").alias("deeper"))
-        jumps.append(_stored(now.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("far").alias("up"), (F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("gain"),
-            (F.col("depth") + F.coalesce("deeper", F.lit(0).cast("long"))).alias("depth")), "jump"))
+        further = now.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("far").alias("up"), (F.col("gain") + F.col("more")).alias("gain"),
+            (F.col("depth") + F.col("deeper")).alias("depth"))
+        jumps.append(_stored(further.unionByName(now.filter(F.col("up").isNull())), "jump"))  # those have arrived
     inner = links.filter(F.col("parent").isNotNull()).select("tree", F.col("parent").alias("node")).distinct()
     leaves = jumps[-1].filter(F.col("up").isNull()).join(inner, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("gain"), "node")
