@@ -122,7 +122,7 @@ def plan(histogram: dict[int, int], limit: int) -> list[tuple[int, tuple[tuple[i
         left[limit] = 0
     patterns = _patterns(np.flatnonzero(left), limit, PATTERNS_PER_LENGTH)
     x = _fit(patterns, left.astype(float), ROUNDS)
-    for k in np.argsort(-x, kind="stable"):
+    for k in range(len(patterns)):  # longest first, so the fillers go where there are fewest that fit
         parts, times = np.unique(np.asarray(patterns[k]), return_counts=True)
         n = int(min(round(float(x[k])), (left[parts] // times).min()))
         if n > 0:

@@ -9,6 +9,7 @@ Texts with characters on which Unicode versions differ go to the library whole.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import unicodedata
 
@@ -18,22 +19,22 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters whose case or class changed in recent Unicode versions, all beyond the first plane, and separators
 #: that only Python takes for white space.
-_UNSETTLED = regex.compile(r"[\x1c-\x1f\u1c89-\u1c8f\ua7cb-\ua7df\U00010000-\U0010ffff]")
-#: Entries of the per-worker memories; a full one starts anew, which changes no result.
-MEMO = 400_000
+_UNSETTLED = re.compile(r"[\x1c-\x1f\u1c89-\u1c8f\ua7cb-\ua7df\U00010000-\U0010ffff]")
+#: Entries of the per-worker memories; what comes later is computed each time, which changes no result.
+MEMO = 600_000
 
 
 class Memo(dict):
-    """Results of a function by key, bounded."""
+    """Results of a function by key, bounded; frequent keys come early and stay."""
 
     def __init__(self, compute, limit: int = MEMO):
         super().__init__()
         self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[key] = self.compute(key)
+        out = self.compute(key)
+        if len(self) < self.limit and len(key) < 64:
+            self[key] = out
         return out
 
 
@@ -47,7 +48,6 @@ class WordTokens:
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.whole = {s: struct.pack("<I", i) for s, i in self._whole_tokens().items()}
-        self.merged = Memo(self._merge)
         self.ids = Memo(self._ids)
         self.counts = Memo(self._count)
 
@@ -75,14 +75,19 @@ class WordTokens:
 
     def _ids(self, word: str) -> bytes:
         """Ids of a run without white space; pre-tokens never cross white space."""
-        return b"".join([self.whole.get(p) or self.merged[p] for p in self.split(word)])
+        if word.isalpha():  # one pre-token
+            return self.whole.get(word) or self._merge(word)
+        pieces = self.split(word)
+        if len(pieces) == 1:
+            return self.whole.get(word) or self._merge(word)
+        return b"".join([self.whole.get(p) or self.ids[p] for p in pieces])
 
     def _count(self, word: str) -> int:
         """Tokens of a run without white space; in the upper half those that needed no merging."""
-        total = 0
-        for piece in self.split(word):
-            total += 1 << 32 | 1 if piece in self.whole else len(self.merged[piece]) // 4
-        return total
+        pieces = [word] if word.isalpha() else self.split(word)
+        if len(pieces) == 1:
+            return 1 << 32 | 1 if word in self.whole else len(self._merge(word)) // 4
+        return sum(map(self.counts.__getitem__, pieces))
 
     def _parts(self, text: str) -> list[str] | None:
         """Texts and, at odd places, special strings between them; None if the library must read the text itself."""
