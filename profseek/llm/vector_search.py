@@ -43,7 +43,7 @@ class Params:
     column_block: int = 16
     #: Width of the hypothesis test; larger abandons later.
     epsilon: float = 2.1
-    region_rows: int = 8192
+    region_rows: int = 2048
     seed: int = 11
 
 
