@@ -38,8 +38,9 @@ class Params:
     fit_rows: int = 20_000
     #: Lists are as many as the square root of the rows times this, and no more than a tenth of the sample.
     lists: float = 0.5
-    #: Part of the lists that a query probes; data without clusters need many.
+    #: Part of the lists that a query probes, and how many it probes at least; data without clusters need many.
     probe: float = 0.75
+    least_probed: int = 24
     column_block: int = 16
     #: Width of the hypothesis test; larger abandons later.
     epsilon: float = 2.1
@@ -196,7 +197,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, params: Params = Param
     """(query_id, rank, vec_id, score) of the k nearest found; `queries` has id and v like `vectors`."""
     centres, sizes, rotation = index.centroids, index.sizes, index.rotation
     dims = len(rotation)
-    n_probe = max(1, round(params.probe * len(centres)))
+    n_probe = max(params.least_probed, round(params.probe * len(centres)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

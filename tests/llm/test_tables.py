@@ -184,7 +184,7 @@ def test_vector_search(spark):
     odd = [(90_000, None), (90_100, [0.0] * 24), (90_200, [1.0] * 23 + [None]), (90_300, [1.0] * 23 + [float("nan")]),
            (90_400, [1.0] * 23 + [float("inf")]), (90_500, [1.0] * 3), (None, [1.0] * 24)]
     frame = spark.createDataFrame([(*r, "x") for r in good + odd], "vec_id long, embedding array<double>, region string")
-    params = vector_search.Params(region_rows=128)
+    params = vector_search.Params(region_rows=128, least_probed=1)
     got = collections.defaultdict(list)
     for r in vector_search.nearest_neighbours(frame, params=params).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
