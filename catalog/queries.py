@@ -14,7 +14,6 @@ from profseek.functions.shared import checkpointed, fresh_path, ship_package
 from profseek.operators import columns, dotbracket, gapped, kmers, nulls, seeds, significance, tiles
 from profseek.operators.distance import kmer_names, match_kmers, reached_islands, window_stats
 from profseek.operators.extend import extend_seeds
-from profseek.operators.numbering import dense_ordinals
 from profseek.plans import search
 from profseek.sinks import reports
 from profseek.sources.load import first_by_id, load_profiles
@@ -37,12 +36,18 @@ class Source:
     def _rows(self):
         return views.db_rows(self.spark, self.sf)
 
+    @property
+    def rows(self) -> DataFrame:
+        """One row per position."""
+        return self._rows[0]
+
     @property
     def sizes(self) -> tiles.Sizes:
         return self._rows[1]
 
     @cached_property
     def db(self) -> DataFrame:
+        """One row per profile, for queries whose results are whole profiles."""
         return tiles.wide_from_long(self._rows[0])
 
     @cached_property
@@ -118,21 +123,21 @@ def query(fn):
 @query
 def cap(s: Source):
     """Clip values, keeping missing ones."""
-    wide = s.db.select("id", F.posexplode(S.capped(F.col("reactivity"), CFG.max_reactivity)).alias("pos", "v"))
-    return wide.select("id", L("pos").alias("pos"), r6("v").alias("capped"))
+    v = S.capped(F.array("reactivity"), CFG.max_reactivity)[0]
+    return s.rows.select("id", L("pos").alias("pos"), r6(v).alias("capped"))
 
 
 @query
 def trim_range(s: Source):
     """First and last present value per profile."""
-    both = s.db.unionByName(s.queries)
-    return both.select("id", S.trim_range(F.col("reactivity")).alias("t")).select("id", "t.start", "t.end")
+    own = s.queries.select("id", S.trim_range(F.col("reactivity")).alias("t")).select("id", "t.start", "t.end")
+    return kmers.trim_ranges(s.rows).unionByName(own)
 
 
 @query
 def kmer_windows(s: Source):
     """Windows on a grid of step 3 inside the trimmed range."""
-    found = kmers.windows(s.db, CFG.replace(kmer_offset=3))
+    found = kmers.windows_of_long(s.rows, CFG.replace(kmer_offset=3), tiles.PIECE)
     n_missing = F.size(F.filter("values", lambda x: x.isNull())).cast("long")
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
     return found.select("query_id", "q_pos", "window_bases", n_missing.alias("n_missing"), r6(total).alias("total"))
@@ -141,13 +146,14 @@ def kmer_windows(s: Source):
 @query
 def missing_filter(s: Source):
     """Complete windows per profile."""
-    return kmers.complete_windows(kmers.windows(s.db, CFG)).groupBy("query_id").agg(F.count("*").alias("n_windows"))
+    return kmers.complete_windows(kmers.windows_of_long(s.rows, CFG, tiles.PIECE)).groupBy("query_id").agg(F.count("*").alias("n_windows"))
 
 
 @query
 def gini_complexity(s: Source):
     """Gini index of complete windows."""
-    found = kmers.complete_windows(kmers.windows(kmers.cap_profiles(s.db, CFG), CFG))
+    found = kmers.complete_windows(kmers.windows_of_long(s.rows, CFG, tiles.PIECE)).withColumn(
+        "values", S.capped(F.col("values"), CFG.max_reactivity))
     return found.select("query_id", "q_pos", r6(S.gini(F.col("values"))).alias("gini"))
 
 
@@ -168,19 +174,22 @@ def gc_fraction(s: Source):
 @query
 def hamming(s: Source):
     """Positional differences between the bases of users n and n + 1."""
-    a = s.db.select("id", F.col("id").cast("long").alias("user"), "bases")
-    b = a.select((F.col("user") - 1).alias("user"), F.col("bases").alias("next_bases"))
-    return a.join(b, "user").select("id", S.hamming(F.col("bases"), F.col("next_bases")).alias("distance"))
+    a = tiles.pieces(s.rows, tiles.PIECE).select(
+        F.col("target_id").alias("id"), F.col("target_id").cast("long").alias("user"), "tile", "bases")
+    b = a.select((F.col("user") - 1).alias("user"), "tile", F.col("bases").alias("next_bases"))
+    part = S.hamming(F.col("bases"), F.col("next_bases"))
+    return a.join(b, ["user", "tile"]).groupBy("id").agg(F.sum(part).alias("distance"))
 
 
 def _steps(s: Source):
     """Neighbouring cells of a profile."""
-    wide = s.db.select("id", "bases", "reactivity")
+    cut = tiles.pieces(s.rows, tiles.PIECE, 1)
     pairs = F.arrays_zip(F.split("bases", "").alias("b"), F.col("reactivity").alias("v"),
                          F.split(F.expr("substring(bases, 2)"), "").alias("b2"),
                          F.expr("slice(reactivity, 2, size(reactivity))").alias("v2"))
-    return wide.select("id", F.size("reactivity").alias("n"), F.posexplode(pairs).alias("pos", "p")).where(
-        F.col("pos") < F.col("n") - 1)
+    cells = cut.select(F.col("target_id").alias("id"), F.col("target_len").alias("n"), "tile", "core",
+                       F.posexplode(pairs).alias("at", "p")).where(F.col("at") < F.col("core"))
+    return cells.withColumn("pos", F.col("tile") * tiles.PIECE + F.col("at")).where(F.col("pos") < F.col("n") - 1)
 
 
 @query
@@ -387,23 +396,23 @@ def banded_extend(s: Source):
 @query
 def shuffle_count(s: Source):
     """Draws per profile for the null database."""
-    total = s.db.agg(F.sum(F.size("reactivity")).cast("long").alias("cells"))
+    total = s.rows.agg(F.count(F.lit(1)).alias("cells"))
     return total.select("cells", nulls.shuffle_count(F.col("cells")).alias("per_profile"))
 
 
 @query
 def chunk_layout(s: Source):
     """Offset and chunk count of each profile for blocks of 10."""
-    n = F.size("reactivity").cast("long")
+    n = F.col("n")
     offset = nulls.block_offset(n, 10, F.lit(CFG.seed), F.lit("offset"), F.col("id"))
-    return s.db.select("id", n.alias("n"), offset.alias("block_offset")).select(
+    return tiles.lengths(s.rows).select("id", "n", offset.alias("block_offset")).select(
         "id", "n", "block_offset", nulls.chunk_count(F.col("n"), F.col("block_offset"), 10).alias("chunks"))
 
 
 @query
 def ordinals(s: Source):
     """Dense numbers of profiles in digest order."""
-    return dense_ordinals(s.db.select("id", "ord"), "id", "ord").select("id", "dense_ord")
+    return nulls.numbered(s.rows).select("id", "dense_ord")
 
 
 def _n_profiles(s: Source) -> int:
@@ -414,7 +423,7 @@ def _n_profiles(s: Source) -> int:
 def draws(s: Source):
     """Profiles drawn with replacement, two draws per profile on average."""
     n = _n_profiles(s)
-    return nulls.draws(s.db, 0, 2 * n, n, CFG).select("draw", "id", F.size("reactivity").cast("long").alias("n"))
+    return nulls.draws(tiles.lengths(s.rows), 0, 2 * n, n, CFG).select("draw", "id", "n")
 
 
 def _checksum(shuffled: DataFrame) -> DataFrame:
@@ -435,7 +444,7 @@ def shuffled_db(s: Source):
 def shuffled_db_long(s: Source):
     """The same null profiles by renumbering positions, the way of long profiles."""
     n = _n_profiles(s)
-    rows = nulls.shuffled_positions(nulls.long_draws(nulls.draws(s.db, 0, 2 * n, n, CFG)), CFG)
+    rows = nulls.shuffled_positions(nulls.long_draws(nulls.draws(s.rows, 0, 2 * n, n, CFG)), CFG, s.sizes.longest)
     return _checksum(tiles.wide_from_long(rows.withColumn("id", F.struct("id", "ord"))).select(
         F.col("id.id").alias("id"), F.col("id.ord").alias("ord"), "bases", "reactivity"))
 
@@ -523,7 +532,7 @@ def result_table(s: Source):
 # --- reports ------------------------------------------------------------------
 
 def _records(s: Source) -> DataFrame:
-    return reports.with_records(s.reported(), s.queries, s.db)
+    return reports.with_records(s.reported(), s.queries, s.rows)
 
 
 @query
@@ -642,14 +651,14 @@ def first_of_name(s: Source):
 def search_result(spark: SparkSession, sf: str) -> DataFrame:
     """Search of the event-type profiles against all users."""
     s = source(spark, sf)
-    hits = search.search_hits(s.queries, s.db, CFG, db=s.tiles(), sizes=s.sizes)
+    hits = search.search_hits(s.queries, s.rows, CFG, db=s.tiles(), sizes=s.sizes)
     return significance.report_table(hits)
 
 
 @query
 def null_scores(s: Source):
     """Null fit per query from the shuffled database."""
-    fits = search.null_fits(s.prepared(), s.db, CFG, sizes=s.sizes)
+    fits = search.null_fits(s.prepared(), s.rows, CFG, sizes=s.sizes)
     return fits.select("query_id", L("n_null").alias("n_null"), r6("location").alias("location"),
                        r6("scale").alias("scale"))
 
@@ -658,14 +667,14 @@ def null_scores(s: Source):
 def null_scores_ungapped(s: Source):
     """Null fit per query from two draws per profile and ungapped extension, up to 300 seeds each."""
     cfg = UNGAPPED.replace(db_shuffles=2, null_hsgs=300)
-    fits = search.null_fits(s.prepared(cfg), s.db, cfg, sizes=s.sizes)
+    fits = search.null_fits(s.prepared(cfg), s.rows, cfg, sizes=s.sizes)
     return fits.select("query_id", L("n_null").alias("n_null"), r6("location").alias("location"),
                        r6("scale").alias("scale"))
 
 
 def _whole_search(s: Source, **changes) -> DataFrame:
     cfg = UNGAPPED.replace(db_shuffles=2, null_hsgs=300, **changes)
-    hits = search.search_hits(s.queries, s.db, cfg, db=s.tiles(cfg), sizes=s.sizes)
+    hits = search.search_hits(s.queries, s.rows, cfg, db=s.tiles(cfg), sizes=s.sizes)
     return _with_score(significance.report_table(hits))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from profseek.functions.scalars import digest_number
 from profseek.functions.shared import broadcast_if_small
 from profseek.operators.numbering import dense_ordinals, number_positions
-from profseek.operators.tiles import Sizes, long_from_wide
+from profseek.operators.tiles import Sizes, is_long, wide_from_long
 
 NULL_POSITIONS = 500_000  # the null database covers at least this many positions
 
@@ -44,12 +44,18 @@ def chunk_of(pos: Column, offset: Column, block: int) -> Column:
     return F.when(pos < offset, F.lit(0).cast("long")).otherwise(lead + F.floor((pos - offset) / block).cast("long"))
 
 
-def draws(profiles: DataFrame, first: int, last: int, n_profiles: int, cfg) -> DataFrame:
-    """Draw numbers first..last-1 joined with the profile each one picked.
+def numbered(profiles: DataFrame) -> DataFrame:
+    """(id, ord, dense_ord) of wide or long profiles."""
+    keys = profiles.select("id", "ord")
+    return dense_ordinals(keys.distinct() if is_long(profiles) else keys, "id", "ord")
+
+
+def draws(profiles: DataFrame, first: int, last: int, n_profiles: int, cfg, index: DataFrame | None = None) -> DataFrame:
+    """Draw numbers first..last-1 joined with the profile each one picked, or with all its positions.
 
     The numbering touches ids only; the profiles join afterwards on (id, ord).
     """
-    index = dense_ordinals(profiles.select("id", "ord"), "id", "ord")
+    index = numbered(profiles) if index is None else index
     picks = profiles.sparkSession.range(first, last).select(
         F.col("id").alias("draw"),
         (digest_number(F.lit(cfg.seed), F.lit("pick"), F.col("id")) % n_profiles).alias("dense_ord"))
@@ -105,11 +111,12 @@ def shuffled_rows(drawn: DataFrame, cfg) -> DataFrame:
                         F.flatten(F.col("p.v")).alias("reactivity"), "molecule")
 
 
-def shuffled_positions(drawn_long: DataFrame, cfg) -> DataFrame:
+def shuffled_positions(drawn_long: DataFrame, cfg, largest: int | None = None) -> DataFrame:
     """The same block shuffle on (id, draw, pos, group_len, base, reactivity) rows.
 
     A block shuffle is a renumbering of positions by (digest of the block,
-    position), so a profile of any length spreads over many tasks.
+    position), so a profile of any length spreads over many tasks. `largest` is
+    the length of the longest profile, if known.
     """
     block = cfg.db_block_size
     offset = block_offset(F.col("group_len"), block, F.lit(cfg.seed), F.lit("offset"), F.col("draw"))
@@ -119,7 +126,7 @@ def shuffled_positions(drawn_long: DataFrame, cfg) -> DataFrame:
     )
     if not cfg.db_in_block_shuffle:
         order = keyed.withColumnRenamed("pos", "_from").drop("group_len")
-        return number_positions(order, ["id", "draw"], ["_k", "_c", "_from"]).select(
+        return number_positions(order, ["id", "draw"], ["_k", "_c", "_from"], largest=largest).select(
             "id", F.col("draw").alias("ord"), "pos", "group_len", "base", "reactivity")
     # bases and values are permuted independently inside each block
     sides = []
@@ -129,17 +136,30 @@ def shuffled_positions(drawn_long: DataFrame, cfg) -> DataFrame:
         inner = digest_number(F.lit(f"{cfg.seed}:{tag}"), F.col("draw"), F.col("_c"), start)
         side = keyed.withColumn("_i", inner).withColumnRenamed("pos", "_from").drop("group_len")
         sides.append(number_positions(side.select("id", "draw", "_k", "_c", "_i", "_from", name),
-                                      ["id", "draw"], ["_k", "_c", "_i", "_from"]).select(
+                                      ["id", "draw"], ["_k", "_c", "_i", "_from"], largest=largest).select(
             "id", "draw", "pos", "group_len", name))
     return sides[0].join(sides[1].drop("group_len"), ["id", "draw", "pos"]).select(
         "id", F.col("draw").alias("ord"), "pos", "group_len", "base", "reactivity")
 
 
 def long_draws(drawn: DataFrame) -> DataFrame:
-    rows = drawn.withColumn("group_len", F.size("reactivity").cast("long"))
-    flat = long_from_wide(rows.select("id", F.col("draw").alias("ord"), "bases", "reactivity"))
-    return flat.join(rows.select("id", F.col("draw").alias("ord"), "group_len"), ["id", "ord"]).withColumnRenamed(
-        "ord", "draw")
+    """Positions of drawn profiles: (id, draw, pos, group_len, base, reactivity)."""
+    names = ["id", "draw", "pos", "group_len", "base", "reactivity"]
+    if is_long(drawn):
+        return drawn.select(*names)
+    cells = F.arrays_zip(F.split("bases", "").alias("base"), F.col("reactivity").alias("value"))
+    flat = drawn.select("id", "draw", F.size("reactivity").cast("long").alias("group_len"),
+                        F.posexplode(cells).alias("pos", "p"))
+    return flat.withColumns({"pos": F.col("pos").cast("long"), "base": F.col("p.base"),
+                             "reactivity": F.col("p.value")}).select(*names)
+
+
+def whole_draws(drawn: DataFrame) -> DataFrame:
+    """Drawn profiles as rows, for profiles of one tile."""
+    if not is_long(drawn):
+        return drawn
+    wide = wide_from_long(drawn.withColumn("id", F.struct("id", "draw")))
+    return wide.select("id.id", "id.draw", "bases", "reactivity", "molecule")
 
 
 def gumbel_fit(scores: DataFrame) -> DataFrame:

@@ -11,13 +11,14 @@ from profseek.functions.scalars import capped
 
 
 SMALL_CELLS_PER_TASK = 1_000_000
+PIECE = 8192  # positions of a profile that are gathered at once
 
 
 @dataclass(frozen=True)
 class Sizes:
     """Number of profiles, of positions, and the longest profile.
 
-    Taken from the bases, which are as long as the values and an eighth of their bytes.
+    Taken from the bases, which are as long as the values and an eighth of their bytes, or from long rows.
     """
 
     profiles: int
@@ -27,6 +28,8 @@ class Sizes:
     @classmethod
     def of(cls, profiles: DataFrame) -> "Sizes":
         n = F.length("bases")
+        if is_long(profiles):
+            profiles, n = lengths(profiles), F.col("n")
         row = profiles.agg(F.count(F.lit(1)).alias("p"), F.sum(n.cast("long")).alias("c"), F.max(n).alias("m")).first()
         return cls(int(row["p"]), int(row["c"] or 0), int(row["m"] or 0))
 
@@ -50,6 +53,16 @@ class TiledDb:
     cells: int
 
 
+def is_long(profiles: DataFrame) -> bool:
+    """Whether profiles come as one row per position."""
+    return "pos" in profiles.columns
+
+
+def lengths(rows: DataFrame) -> DataFrame:
+    """(id, ord, n) of long rows; no profile is gathered."""
+    return rows.groupBy("id", "ord").agg(F.max("group_len").alias("n"))
+
+
 def long_from_wide(profiles: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(F.split("bases", "").alias("base"), F.col("reactivity").alias("value"))
     return profiles.select("id", "ord", F.posexplode(pairs).alias("pos", "p")).select(
@@ -58,13 +71,18 @@ def long_from_wide(profiles: DataFrame) -> DataFrame:
 
 
 def wide_from_long(rows: DataFrame) -> DataFrame:
-    """One row per profile; for profiles that fit a row (queries, short targets)."""
+    """One row per profile; for results and files that hold a profile as one record.
+
+    Cells are packed piece by piece before the pieces of a profile meet, so a group holds the record and no more.
+    """
     cells = F.array_sort(F.collect_list(F.struct("pos", "base", "reactivity")))
+    packed = rows.withColumn("piece", F.floor(F.col("pos") / PIECE)).groupBy("id", "piece").agg(cells.alias("c")).select(
+        "id", F.struct("piece", F.array_join(F.col("c.base"), "").alias("b"), F.col("c.reactivity").alias("v")).alias("p"))
     return (
-        rows.groupBy("id").agg(cells.alias("c"))
+        packed.groupBy("id").agg(F.array_sort(F.collect_list("p")).alias("p"))
         .select("id", F.lit(0).cast("long").alias("ord"),
-                F.array_join(F.col("c.base"), "").alias("bases"),
-                F.col("c.reactivity").alias("reactivity"), F.lit("DNA").alias("molecule"))
+                F.array_join(F.col("p.b"), "").alias("bases"),
+                F.flatten(F.col("p.v")).alias("reactivity"), F.lit("DNA").alias("molecule"))
     )
 
 
@@ -74,9 +92,8 @@ def _tile_ids(pos, tile_len: int, halo: int):
     return F.when((own > 0) & (pos % tile_len < halo), F.array(own, own - 1)).otherwise(F.array(own))
 
 
-def tiles_from_long(rows: DataFrame, cfg) -> DataFrame:
-    """Tiles from (id, ord, pos, group_len, base, reactivity); no group exceeds a tile."""
-    size, halo = cfg.tile_len, cfg.kmer_len - 1
+def pieces(rows: DataFrame, size: int, halo: int = 0) -> DataFrame:
+    """Pieces of `size` positions and `halo` more from (id, ord, pos, group_len, base, reactivity)."""
     cells = F.array_sort(F.collect_list(F.struct("pos", "base", "reactivity")))
     return (
         rows.withColumn("tile", F.explode(_tile_ids(F.col("pos"), size, halo)))
@@ -85,11 +102,16 @@ def tiles_from_long(rows: DataFrame, cfg) -> DataFrame:
         .select(
             F.col("id").alias("target_id"), F.col("ord").alias("target_ord"), "target_len", "tile",
             F.least(F.lit(size), F.col("target_len") - F.col("tile") * size).cast("int").alias("core"),
-            F.array_join(F.col("c.base"), "").alias("bases"),
-            capped(F.col("c.reactivity"), cfg.max_reactivity).alias("reactivity"))
+            F.array_join(F.col("c.base"), "").alias("bases"), F.col("c.reactivity").alias("reactivity"))
     )
 
 
+def tiles_from_long(rows: DataFrame, cfg) -> DataFrame:
+    """Tiles from long rows, capped; no group exceeds a tile."""
+    cut = pieces(rows, cfg.tile_len, cfg.kmer_len - 1)
+    return cut.withColumn("reactivity", capped(F.col("reactivity"), cfg.max_reactivity))
+
+
 def tiles_from_wide(profiles: DataFrame, cfg, has_long: bool = True) -> DataFrame:
     """Tiles cut out of wide rows; a narrow projection, capped on the way."""
     size, halo = cfg.tile_len, cfg.kmer_len - 1

@@ -46,7 +46,7 @@ def shuffled_profiles(profiles: DataFrame, cfg: SearchConfig) -> DataFrame:
     drawn = nulls.draws(profiles, 0, nulls.total_draws(sizes, cfg), sizes.profiles, cfg)
     if sizes.longest <= cfg.tile_len:
         return nulls.shuffled_rows(drawn, cfg)
-    rows = nulls.shuffled_positions(nulls.long_draws(drawn), cfg)
+    rows = nulls.shuffled_positions(nulls.long_draws(drawn), cfg, sizes.longest)
     return wide_from_long(rows.withColumn("id", F.struct("id", "ord"))).select(
         F.col("id.id").alias("id"), F.col("id.ord").alias("ord"), "bases", "reactivity", "molecule")
 

@@ -15,7 +15,7 @@ from profseek.operators.distance import QueryBlocks, match_kmers, prepare_blocks
 from profseek.operators.extend import extend_seeds
 from profseek.operators.kmers import cap_profiles, query_windows
 from profseek.operators.seeds import first_seeds, join_queries, scored_seeds
-from profseek.operators.tiles import Sizes, TiledDb, tiled, tiled_long
+from profseek.operators.tiles import Sizes, TiledDb, is_long, tiled, tiled_long
 
 SEED = ["query_id", "target_id", "target_ord", "q_start", "d_start"]
 FIRST_NULL_POSITIONS = 65_536  # positions in the first round of null draws
@@ -39,14 +39,15 @@ def seeds_of(queries: Queries, db: TiledDb, cfg: SearchConfig) -> DataFrame:
     return scored_seeds(queries.profiles, queries.cells, db, queries.blocks, cfg)
 
 
-def null_tiles(profiles: DataFrame, first: int, last: int, sizes: Sizes, cfg) -> TiledDb:
-    """Tiles of the null draws first..last-1."""
-    drawn = nulls.draws(profiles, first, last, sizes.profiles, cfg)
+def null_tiles(profiles: DataFrame, first: int, last: int, sizes: Sizes, cfg, index: DataFrame | None = None) -> TiledDb:
+    """Tiles of the null draws first..last-1 of wide or long profiles; only a profile of one tile becomes a row."""
+    drawn = nulls.draws(profiles, first, last, sizes.profiles, cfg, index)
     count = last - first
     expected = Sizes(count, count * sizes.cells // sizes.profiles, sizes.longest)
     if sizes.longest <= cfg.tile_len:
-        return tiled(nulls.shuffled_rows(drawn, cfg), cfg, expected)
-    return tiled_long(nulls.shuffled_positions(nulls.long_draws(drawn), cfg), cfg, expected)
+        return tiled(nulls.shuffled_rows(nulls.whole_draws(drawn), cfg), cfg, expected)
+    rows = nulls.shuffled_positions(nulls.long_draws(drawn), cfg, sizes.longest)
+    return tiled_long(rows, cfg, expected)
 
 
 def null_seeds(queries: Queries, profiles: DataFrame, cfg: SearchConfig, sizes: Sizes | None = None) -> DataFrame:
@@ -60,11 +61,12 @@ def null_seeds(queries: Queries, profiles: DataFrame, cfg: SearchConfig, sizes:
     if not sizes.profiles or not sizes.cells:
         raise ValueError("the database is empty")
     total = nulls.total_draws(sizes, cfg)
+    index = checkpointed(nulls.numbered(profiles))
     step = max(1, min(total, FIRST_NULL_POSITIONS * sizes.profiles // sizes.cells))
     rounds, at, open_queries = [], 0, queries
     while True:
         upto = min(total, at + step)
-        found = without_queries(seeds_of(open_queries, null_tiles(profiles, at, upto, sizes, cfg), cfg))
+        found = without_queries(seeds_of(open_queries, null_tiles(profiles, at, upto, sizes, cfg, index), cfg))
         found = first_seeds(found, cfg.null_hsgs)
         if upto == total:
             rounds.append(found)
@@ -109,11 +111,11 @@ def null_fits(queries: Queries, null_source: DataFrame, cfg: SearchConfig, shuff
 
 def search_hits(query_profiles: DataFrame, db_profiles: DataFrame, cfg: SearchConfig,
                 null_db: DataFrame | None = None, db: TiledDb | None = None, sizes: Sizes | None = None) -> DataFrame:
-    """Hits after significance, report filter and overlap removal."""
+    """Hits after significance, report filter and overlap removal; database profiles are wide or long rows."""
     queries, sizes = Queries.prepare(query_profiles, cfg), sizes or Sizes.of(db_profiles)
     null_source = db_profiles if null_db is None else null_db
     fits = checkpointed(null_fits(queries, null_source, cfg, null_db is not None, sizes))
-    target = tiled(db_profiles, cfg, sizes) if db is None else db
+    target = db or (tiled_long if is_long(db_profiles) else tiled)(db_profiles, cfg, sizes)
     # read several times below (hit counts, overlap sides): written once
     hits = checkpointed(extend_seeds(seeds_of(queries, target, cfg), cfg))
     scored = significance.with_evalue(significance.with_pvalue(hits, fits))

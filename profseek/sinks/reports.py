@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from profseek.functions.scalars import display_bases
 from profseek.functions.shared import broadcast_if_small, file_uri, filesystem, fresh_path
+from profseek.operators import tiles
 from profseek.operators.gapped import gapped_bases, gapped_json
+from profseek.operators.tiles import is_long
 from profseek.sources.load import first_by_id
 
 AUTHOR = "profseek"
@@ -79,13 +81,36 @@ def file_stem():
     return F.format_string("%s_%d-%d_%s_%d-%d", "target_id", "d_start", "d_end", "query_id", "q_start", "q_end")
 
 
+def _with_target_parts(hits: DataFrame, rows: DataFrame) -> DataFrame:
+    """Bases and values of the aligned target ranges, from the pieces that each range meets."""
+    ids = hits.select(F.col("target_id").alias("id")).distinct()
+    size, key = tiles.PIECE, ["target_id", "d_start", "d_end"]
+    cut = tiles.pieces(rows.join(broadcast_if_small(ids), "id", "left_semi"), size).select(
+        "target_id", "tile", "bases", "reactivity")
+    spans = hits.select(*key).distinct().withColumn("tile", F.explode(F.sequence(
+        F.floor(F.col("d_start") / size), F.floor(F.col("d_end") / size))))
+    at = F.greatest(F.col("d_start") - F.col("tile") * size, F.lit(0)).cast("int")
+    n = F.least(F.col("d_end") + 1 - F.col("tile") * size, F.lit(size)).cast("int") - at
+    met = spans.join(cut, ["target_id", "tile"]).select(*key, F.struct(
+        "tile", F.substring(F.col("bases"), at + 1, n).alias("b"), F.slice("reactivity", at + 1, n).alias("v")).alias("p"))
+    parts = met.groupBy(*key).agg(F.array_sort(F.collect_list("p")).alias("p")).select(
+        *key, F.array_join(F.col("p.b"), "").alias("d_bases"), F.flatten(F.col("p.v")).alias("d_values"),
+        F.lit("DNA").alias("d_molecule"))
+    return hits.join(parts, key)
+
+
 def with_records(hits: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
     """Significant hits with the original bases and values of both aligned ranges.
 
     The stored hits say which records are needed; of several with one name the first counts.
+    Targets in long form must have distinct names; they are cut piece by piece.
     """
     out = hits.where(F.col("status") == "!")
-    for frame, key, side in ((queries, "query_id", "q"), (targets, "target_id", "d")):
+    if is_long(targets):
+        out, sides = _with_target_parts(out, targets), ((queries, "query_id", "q"),)
+    else:
+        sides = ((queries, "query_id", "q"), (targets, "target_id", "d"))
+    for frame, key, side in sides:
         ids = out.select(F.col(key).alias("id")).distinct()
         frame = first_by_id(frame.join(broadcast_if_small(ids), "id", "left_semi"))
         out = out.join(frame.select(F.col("id").alias(key), F.col("bases").alias("_b"), F.col("reactivity").alias("_v"),
