@@ -261,6 +261,9 @@ _BODIES = {
  sum(CASE WHEN q.base = p.base THEN 0.5 ELSE -2.0 END::DOUBLE) AS extra {_CELLS} GROUP BY 1, 2, 3, 4) USING ({_KEY})""",
     "positive_seeds": f"SELECT {_SEED}, round(seed_score, 6) AS seed_score FROM pos_seed",
     "positive_seeds_tiled": f"SELECT {_SEED}, round(seed_score, 6) AS seed_score FROM pos_seed",
+    "duplicate_names": """SELECT CAST(length(query_id) % 2 AS VARCHAR) AS query_id, CAST(CAST(target_id AS BIGINT) % 7 AS VARCHAR) AS target_id,
+ q_start, q_end, d_start, d_end, CAST('0x' || substr(md5(pos_seed.query_id), 1, 12) AS BIGINT) AS query_ord,
+ CAST(target_id AS BIGINT) AS target_ord, round(seed_score, 6) AS seed_score FROM pos_seed""",
     "align_tolerance": f"""SELECT {_SEED}, {reach('up0')} AS up, {reach('down0')} AS down FROM (SELECT s.*, {_TOL} FROM (
  SELECT s.*, t.a, t.z, d.n AS target_len FROM seed s JOIN qtrim t ON s.query_id = t.id JOIN ptrim d ON s.target_id = d.id) s)""",
     "first_null_seeds": f"""SELECT {_SEED} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY target_id, q_start - d_start, q_start) AS rn

@@ -347,6 +347,18 @@ def positive_seeds_tiled(s: Source):
     return _seed_columns(s.seeds(cfg), r6("seed_score").alias("seed_score"))
 
 
+@query
+def duplicate_names(s: Source):
+    """Positive seeds where queries and users share names: the parity of the type's length, the user modulo 7."""
+    rows = s.rows.withColumns({"ord": F.col("id").cast("long"), "id": (F.col("id").cast("long") % 7).cast("string")})
+    place = F.conv(F.substring(F.md5("id"), 1, 12), 16, 10).cast("long")
+    own = s.queries.withColumns({"ord": place,
+                                 "id": (F.length("id") % 2).cast("string")})
+    found = search.seeds_of(search.Queries.prepare(search.with_record_keys(own), CFG),
+                            tiles.tiled_long(rows, CFG, s.sizes), CFG)
+    return _seed_columns(search.with_record_names(found), "query_ord", "target_ord", r6("seed_score").alias("seed_score"))
+
+
 @query
 def align_tolerance(s: Source):
     """Reach of the extension on both sides of each seed."""

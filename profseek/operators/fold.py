@@ -183,7 +183,7 @@ def hit_alignments(hits: DataFrame, queries: DataFrame, targets: DataFrame, cfg)
     return out.drop("q_all_bases", "q_all_values", "d_all_bases", "d_all_values")
 
 
-KEYS = ["query_id", "target_id", "target_ord", "q_seed_start", "d_seed_start"]
+KEYS = ["query_id", "query_ord", "target_id", "target_ord", "q_seed_start", "d_seed_start"]
 
 
 def _fold_rows(rows: DataFrame, cfg, structure: bool, backend) -> DataFrame:
@@ -203,7 +203,7 @@ def _fold_rows(rows: DataFrame, cfg, structure: bool, backend) -> DataFrame:
             out = pdf[[*KEYS]].assign(mfe=mfe)
             yield out.assign(structure=text) if structure else out
 
-    ddl = "query_id string, target_id string, target_ord long, q_seed_start long, d_seed_start long, mfe double"
+    ddl = "query_id string, query_ord long, target_id string, target_ord long, q_seed_start long, d_seed_start long, mfe double"
     return rows.select(*KEYS, "d_gapped", "q_gapped", "pseudo").mapInPandas(
         run, ddl + (", structure string" if structure else ""))
 
@@ -211,6 +211,8 @@ def _fold_rows(rows: DataFrame, cfg, structure: bool, backend) -> DataFrame:
 def evaluate_folds(hits: DataFrame, queries: DataFrame, targets: DataFrame, cfg,
                    backend=fold_equal_length) -> DataFrame:
     """Add base-pair supports, structure and folding P-value to hits; weak support lowers the status."""
+    if "query_ord" not in hits.columns:
+        hits = hits.withColumn("query_ord", F.lit(0).cast("long"))
     if cfg.temperature != 37.0 or cfg.ribosum_scoring:
         if backend is fold_equal_length:
             raise NotImplementedError("the built-in folding model covers 37 degrees without RIBOSUM scoring")
@@ -229,7 +231,7 @@ def evaluate_folds(hits: DataFrame, queries: DataFrame, targets: DataFrame, cfg,
     )
     kept = supported.where(~F.col("weak"))
     order = column_permutation(F.length("d_gapped").cast("long"), cfg.block_size, cfg.in_block_shuffle,
-                               F.lit(cfg.seed), *[F.col(k) for k in KEYS], F.col("shuffle"))
+                               F.lit(cfg.seed), *[F.col(k) for k in KEYS if k != "query_ord"], F.col("shuffle"))
     letters = lambda c: F.array_join(gather(F.split(c, ""), F.col("order")), "")
     shuffled = spread_rows(
         kept.select(*KEYS, "d_gapped", "q_gapped", "pseudo",

@@ -64,6 +64,12 @@ def _numbered_by_range(df: DataFrame, keys: list[str], order: list[str]) -> Data
     )
 
 
+def number_all(df: DataFrame, *order: str, name: str = "ord") -> DataFrame:
+    """Number all rows 0..n-1 in the given order, which must have no ties, over many tasks."""
+    numbered = _numbered_by_range(df.withColumn("_all", F.lit(0)), ["_all"], list(order))
+    return numbered.withColumnRenamed("pos", name).drop("_all", "group_len")
+
+
 def number_positions(df: DataFrame, keys: list[str], order: list[str], hot_rows: int = HOT_GROUP_ROWS,
                      largest: int | None = None) -> DataFrame:
     """Add `pos` (0-based rank within the key) and `group_len`.

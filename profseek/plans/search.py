@@ -35,6 +35,19 @@ class Queries:
         return cls(profiles, int(cells), prepare_blocks(query_windows(cap_profiles(profiles, cfg), cfg), cells, cfg))
 
 
+def with_record_keys(profiles: DataFrame) -> DataFrame:
+    """Query profiles under the key of their record, `ord:name`, which stays apart where names repeat."""
+    return profiles.withColumn("id", F.concat_ws(":", F.col("ord").cast("string"), "id"))
+
+
+def with_record_names(frame: DataFrame) -> DataFrame:
+    """`query_id` as the name again, and `query_ord` beside it."""
+    colon = F.instr("query_id", ":")
+    return frame.withColumns({
+        "query_id": F.substring(F.col("query_id"), colon + 1, F.length("query_id")),
+        "query_ord": F.substring(F.col("query_id"), F.lit(1), colon - 1).cast("long")})
+
+
 def seeds_of(queries: Queries, db: TiledDb, cfg: SearchConfig) -> DataFrame:
     return scored_seeds(queries.profiles, queries.cells, db, queries.blocks, cfg)
 
@@ -111,8 +124,11 @@ def null_fits(queries: Queries, null_source: DataFrame, cfg: SearchConfig, shuff
 
 def search_hits(query_profiles: DataFrame, db_profiles: DataFrame, cfg: SearchConfig,
                 null_db: DataFrame | None = None, db: TiledDb | None = None, sizes: Sizes | None = None) -> DataFrame:
-    """Hits after significance, report filter and overlap removal; database profiles are wide or long rows."""
-    queries, sizes = Queries.prepare(query_profiles, cfg), sizes or Sizes.of(db_profiles)
+    """Hits after significance, report filter and overlap removal; database profiles are wide or long rows.
+
+    Records of one name are searched each for itself, told apart by `query_ord` and `target_ord`.
+    """
+    queries, sizes = Queries.prepare(with_record_keys(query_profiles), cfg), sizes or Sizes.of(db_profiles)
     null_source = db_profiles if null_db is None else null_db
     fits = checkpointed(null_fits(queries, null_source, cfg, null_db is not None, sizes))
     target = db or (tiled_long if is_long(db_profiles) else tiled)(db_profiles, cfg, sizes)
@@ -120,7 +136,7 @@ def search_hits(query_profiles: DataFrame, db_profiles: DataFrame, cfg: SearchCo
     hits = checkpointed(extend_seeds(seeds_of(queries, target, cfg), cfg))
     scored = significance.with_evalue(significance.with_pvalue(hits, fits))
     kept = significance.remove_overlaps(checkpointed(significance.reportable(scored, cfg)), cfg)
-    return significance.with_status(kept, cfg)
+    return significance.with_status(with_record_names(kept), cfg)
 
 
 def search(query_profiles: DataFrame, db_profiles: DataFrame, cfg: SearchConfig | None = None,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profseek.functions.shared import filesystem
+from profseek.operators.numbering import number_all
 from profseek.operators.tiles import Sizes
 from profseek.sources.native import native_sizes, read_native
 from profseek.sources.xml import read_xml
@@ -42,10 +43,21 @@ def load_profiles(spark: SparkSession, path: str) -> DataFrame:
     if kind == "native":
         return read_native(spark, path)
     if kind == "parquet":
-        return spark.read.parquet(path)
+        return _told_apart(spark.read.parquet(path))
     return read_xml(spark, path, skip_invalid=kind == "xml folder")
 
 
+def _told_apart(profiles: DataFrame) -> DataFrame:
+    """Parquet profiles with their own ordinals, or with new ones in that order if two records share name and ordinal."""
+    repeated = profiles.groupBy("id", "ord").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return profiles
+    place = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    order = number_all(profiles.select("ord", *[c.alias(k) for k, c in place.items()]), "ord", "_file", "_row", name="_new")
+    return profiles.withColumns(place).join(order.select(*place, "_new"), [*place]).withColumn("ord", F.col("_new")).select(
+        *profiles.columns)
+
+
 def load_sizes(spark: SparkSession, path: str, profiles: DataFrame) -> Sizes:
     """Sizes of a loaded database by the cheapest way its format allows."""
     return native_sizes(spark, path) if _kind(path) == "native" else Sizes.of(profiles)

@@ -13,7 +13,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from profseek.functions.shared import file_uri, filesystem, fresh_path, spread_rows
@@ -127,7 +127,10 @@ def native_sizes(spark: SparkSession, path: str) -> Sizes:
 
 def read_native(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Profiles of one .db file or of a folder of them."""
-    splits = record_runs(spark, path, split_bytes).select("path", "start", "end", "first")
+    # one row per split; records are numbered over all files
+    earlier = Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = record_runs(spark, path, split_bytes).select(
+        "path", "start", "end", F.coalesce(F.sum("records").over(earlier), F.lit(0)).cast("long").alias("first"))
 
     def decode(batches):
         for batch in batches:

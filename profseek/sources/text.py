@@ -13,7 +13,10 @@ NUMBER = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, before, line): 1-based line number and the count of non-blank lines before it."""
+    """(file, row, before, line): 1-based line number and the count of non-blank lines before it.
+
+    `earlier` counts the records of the files before.
+    """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"),
@@ -22,6 +25,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("file", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"),
                            F.coalesce(F.sum("f").over(earlier), F.lit(0)).alias("f0"))
+    files = sizes.groupBy("file").agg(F.ceil(F.sum("f") / 3).alias("records"))  # one row per file
+    sooner = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.join(files.select("file", F.coalesce(F.sum("records").over(sooner), F.lit(0)).alias("earlier")), "file")
     here = Window.partitionBy("file", "split").orderBy("seq")
     above = here.rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -29,7 +35,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("fb", F.coalesce(F.sum("full").over(above), F.lit(0)))
         .join(offsets, ["file", "split"])
         .select("file", (F.col("n0") + F.col("rn")).alias("row"), (F.col("f0") + F.col("fb")).alias("before"),
-                "line", "full")
+                "line", "full", "earlier")
     )
 
 
@@ -61,14 +67,14 @@ def parse_records(lines: DataFrame) -> DataFrame:
         return F.min(F.when(full & (state == n), F.col(value)))
 
     grouped = named.groupBy("file", "rec").agg(
-        pick(0, "line").alias("name"), pick(0, "row").alias("row"), pick(1, "line").alias("seq"),
+        pick(0, "line").alias("name"), pick(0, "row").alias("row"), F.min("earlier").alias("earlier"), pick(1, "line").alias("seq"),
         pick(2, "line").alias("vals"), F.min(F.when(~full & (state == 1), F.col("row"))).alias("gap1"),
         F.min(F.when(~full & (state == 2), F.col("row"))).alias("gap2"))
     token = F.regexp_extract("seq", r"^\s*(\S*)", 1)
     lead = F.length(F.regexp_extract("seq", r"^\s*", 0))
     tokens = F.split(F.regexp_replace("vals", r"\s+$", ""), ",")
     parsed = grouped.select(
-        "file", "rec", "row", F.regexp_replace("name", r"^\s+|\s+$", "").alias("id"), token.alias("raw"),
+        "file", "rec", "row", "earlier", F.regexp_replace("name", r"^\s+|\s+$", "").alias("id"), token.alias("raw"),
         lead.alias("lead"), tokens.alias("tokens"), "seq", "vals", "gap1", "gap2")
     bad = F.array_position(F.transform("tokens", lambda t: t.rlike(NUMBER)), False)
     before = F.aggregate(F.slice("tokens", F.lit(1), (bad - 1).cast("int")), F.lit(0), lambda s, t: s + F.length(t))
@@ -86,7 +92,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
         F.when(F.length("raw") != F.size("tokens"), lengths))
     kind = F.when(F.col("raw").contains("T"), "DNA").when(F.col("raw").contains("U"), "RNA").otherwise("UNKNOWN")
     return parsed.withColumn("error", error).select(
-        "file", "id", F.col("rec").cast("long").alias("ord"), F.translate("raw", "U", "T").alias("bases"),
+        "file", "id", (F.col("rec") + F.col("earlier")).cast("long").alias("ord"), F.translate("raw", "U", "T").alias("bases"),
         F.when(F.col("error").isNull(), parse_values(F.col("tokens"))).alias("reactivity"),
         kind.alias("molecule"), "row", "error")
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from profseek.functions.shared import broadcast_if_small
+from profseek.operators.numbering import number_all
 from profseek.sources.text import NUMBER, parse_values
 
 _TEXTS = T.ArrayType(T.StringType())
@@ -76,11 +78,14 @@ def problems(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_xml(spark: SparkSession, path: str, skip_invalid: bool = False) -> DataFrame:
-    """Profiles from a file (a bad one fails) or a folder (bad ones are skipped)."""
-    rows = parse_xml(spark, path)
+    """Profiles from a file (a bad one fails) or a folder (bad ones are skipped), numbered in the order of the files."""
+    rows = parse_xml(spark, path).withColumn("ord", F.lit(0).cast("long"))
     if skip_invalid:
-        rows = rows.where(F.col("error").isNull())
+        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][mM][lL]").load(path)
+                 .select(F.col("_metadata.file_path").alias("file")))
+        rows = rows.where(F.col("error").isNull()).drop("ord").join(
+            broadcast_if_small(number_all(files, "file")), "file")
     stop = F.raise_error(F.concat(F.lit("cannot read "), F.col("file"), F.lit(": "), F.col("error")))
     kept = [F.when(F.col("error").isNull(), F.col(c)).otherwise(stop.cast(rows.schema[c].dataType)).alias(c)
             for c in ("id", "bases", "reactivity")]
-    return rows.select(kept[0], F.lit(0).cast("long").alias("ord"), kept[1], kept[2], F.lit("DNA").alias("molecule"))
+    return rows.select(kept[0], "ord", kept[1], kept[2], F.lit("DNA").alias("molecule"))

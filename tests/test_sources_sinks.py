@@ -193,3 +193,44 @@ def test_console_table_is_whole(spark, capsys):
     assert len(capsys.readouterr().out.splitlines()) == 1501
     reports.print_table(spark.range(0).selectExpr("id AS Query", "'' AS status"))
     assert capsys.readouterr().out == "No match found.\n"
+
+
+def test_records_of_one_name_stay_apart(spark, tmp_path):
+    """Names repeated over files and within a query file give what distinct names give."""
+    from profseek.operators import nulls
+    from profseek.plans import search
+    from test_search_steps import CFG, fixture
+
+    queries, targets = fixture()
+    twin = lambda rows, name: [(name, b, v) for _, b, v in rows]
+    text = lambda rows: "\n".join(
+        f"{i}\n{b}\n{','.join('NaN' if x is None else repr(x) for x in v)}" for i, b, v in rows)
+    found = {}
+    for kind, own, others in (("apart", queries[:2], targets[:2]), ("same", twin(queries[:2], "q"), twin(targets[:2], "t"))):
+        folder = tmp_path / kind
+        folder.mkdir()
+        for n, row in enumerate(others):
+            write_native_file(profiles(spark, [row]), str(folder / f"{n}.db"))
+        db, asked = load_profiles(spark, str(folder)), read_query_text(spark, put(tmp_path / f"{kind}.txt", text(own)))
+        assert sorted(r.ord for r in db.select("ord").collect()) == [0, 1]
+        assert nulls.draws(db, 0, 8, 2, CFG).count() == 8
+        cfg = CFG.replace(tile_len=64)
+        seeds = search.seeds_of(search.Queries.prepare(search.with_record_keys(asked), cfg), search.tiled(db, cfg), cfg)
+        named = search.with_record_names(seeds)
+        found[kind] = sorted(tuple(r) for r in named.select("query_ord", "target_ord", "q_start", "d_start", "q_end").collect())
+        hits = search.search_hits(asked, db, CFG.replace(null_hsgs=20, report_evalue=1e9, inclusion_evalue=1.0))
+        assert {r.query_id for r in hits.select("query_id").collect()} <= {r[0] for r in own}
+    assert found["same"] == found["apart"] and len({r[:2] for r in found["same"]}) > 1
+
+
+def test_ordinals_cover_all_files(spark, tmp_path):
+    for folder in ("text", "xml"):
+        (tmp_path / folder).mkdir()
+    for n in range(3):
+        put(tmp_path / "text" / f"{n}.txt", "one\nAC\n1,2\none\nGT\n3,4\n")
+        put(tmp_path / "xml" / f"{n} x.xml", '<data><transcript id="one" length="2"><sequence>AC</sequence>'
+                                            '<reactivity>1,2</reactivity></transcript></data>')
+        profiles(spark, [("one", "AC", [1.0, float(n)])]).write.mode("append").parquet(str(tmp_path / "rows"))
+    assert sorted(r.ord for r in read_query_text(spark, str(tmp_path / "text")).collect()) == list(range(6))
+    assert sorted(r.ord for r in load_profiles(spark, str(tmp_path / "xml")).collect()) == [0, 1, 2]
+    assert sorted(r.ord for r in load_profiles(spark, str(tmp_path / "rows")).collect()) == [0, 1, 2]
