@@ -7,10 +7,11 @@
 3. Rounds over the graph of patterns and instances: a pattern's confidence is the
    part of its distinct instances that are known; patterns with enough distinct
    support and confidence vouch for unknown instances, and instances vouched for
-   strongly enough become known for the next round. Numbers that a check refuted
-   stay negative for good.
+   strongly enough become known for the next round, until a round finds none.
+   Numbers that a check refuted stay negative for good.
 4. Identifiers that became known and that some trusted pattern holds are added
-   to the seeds' spans, wherever they are mentioned.
+   to the seeds' spans, wherever they are mentioned; long hexadecimal keys are
+   added in any context.
 
 Seed patterns are matched from the left without overlap per kind, in time linear
 in the text. Statistics cover all documents. Groups are reduced to distinct
@@ -56,7 +57,6 @@ _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 @dataclass(frozen=True)
 class Bootstrap:
-    rounds: int = 3
     support: int = 3
     confidence: float = 0.8
     vouched: float = 0.8
@@ -122,12 +122,12 @@ def mentions(df: DataFrame, text: str = "text", **carried: str) -> DataFrame:
 def known_instances(found: DataFrame, rule: Bootstrap = Bootstrap()) -> DataFrame:
     """(value, kind) of identifiers that the patterns of known ones vouch for; `found` as `mentions` gives it."""
     every = found.select(F.explode(F.concat("seeds", "others")).alias("m")).select("m.value", "m.kind", "m.pattern")
-    edges = stored(every.filter(F.length("pattern") > 0).distinct(), "edges")
+    every = stored(every.distinct(), "edges")
+    edges = every.filter(F.length("pattern") > 0)
     other = F.col("kind") == KINDS.index("key")
     known = stored(edges.filter(~other | F.col("value").rlike(_KEY)).groupBy("value").agg(F.min("kind").alias("kind")),
                    "known")
-    trusted = None
-    for _ in range(rule.rounds):
+    while True:  # every round but the last makes more instances known
         told = edges.select("pattern", "value").distinct().join(broadcast_if_small(known), "value", "left")
         scored = told.groupBy("pattern").agg(
             F.count(F.lit(1)).alias("all"), F.count("kind").alias("sure"), F.mode("kind", True).alias("kind"))
@@ -143,11 +143,12 @@ def known_instances(found: DataFrame, rule: Bootstrap = Bootstrap()) -> DataFram
         if fresh.isEmpty():
             break
         known = stored(known.unionByName(fresh), "known")
-    # seeds are spans already; keys count where a trusted pattern holds them
+    # the other seeds are spans already; found identifiers count where a trusted pattern holds them
+    own = every.filter(other & F.col("value").rlike(_KEY)).select("value", "kind")
     keys = edges.filter(other).select("pattern", "value", "kind").join(broadcast_if_small(known.select("value")), "value",
                                                                      "left_semi")
     return keys.join(broadcast_if_small(trusted.select("pattern")), "pattern", "left_semi").select(
-        "value", "kind").distinct()
+        "value", "kind").unionByName(own).distinct()
 
 
 def found_spans(df: DataFrame, text: str = "text", rule: Bootstrap = Bootstrap(), **carried: str) -> DataFrame:

@@ -281,3 +281,17 @@ def test_registered_queries_have_names():
 
     assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
     assert set(ORACLES) <= set(REGISTRY)
+
+
+def test_personal_data_goes_on_until_nothing_is_new(docs):
+    """A chain of five contexts, each trusted once the identifier of the one before is known; and keys without support."""
+    keys = [f"{k:031x}a" for k in range(10 ** 9, 10 ** 9 + 8)]
+    rows, last = [], keys[7]
+    for level in "abcde":
+        fresh = f"ident-{level}-777"
+        rows += [f"word{level} token{level} {v}" for v in (*keys[:7], last, fresh)]
+        last = fresh
+    lone = "0123456789abcdef0123456789abcdef"
+    rows += [lone, "an unheard of " + lone[::-1]]
+    found = {r["doc_id"]: r["spans"] for r in personal_data.found_spans(docs(*enumerate(rows)), doc_id="doc_id").collect()}
+    assert [k for k in range(len(rows)) if not found[k]] == []
