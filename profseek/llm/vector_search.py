@@ -10,7 +10,8 @@ A query probes the lists of the nearest centroids. In each it adds up squared
 differences one column block at a time. After a block, the partial distance of a
 random rotation estimates the whole; a candidate is abandoned when a hypothesis
 test says that it lies beyond the k-th best so far. Survivors are measured in
-double precision on the original vectors. The k best of every region are merged
+double precision on the original vectors. Queries meet a region in blocks of
+bounded size, for which the index is sent once each. The k best of every region are merged
 per query.
 
 Vectors that are null, zero, hold null or non-finite components, have no id or
@@ -45,6 +46,8 @@ class Params:
     #: Width of the hypothesis test; larger abandons later.
     epsilon: float = 2.1
     region_rows: int = 2048
+    #: Queries that meet a region at once, about.
+    query_rows: int = 8192
     seed: int = 11
 
 
@@ -244,8 +247,12 @@ def search(index: Index, queries: DataFrame, k: int = 10, params: Params = Param
             [pa.array(query_id, pa.int64()), pa.array(np.concatenate(vec_id) if vec_id else [], pa.int64()),
              pa.array(np.concatenate(score) if score else [], pa.float64())], ["query_id", "vec_id", "score"])
 
-    asked = queries.select("id", "v").mapInArrow(probe, "query_id long, v array<double>, region long, lists array<long>")
-    found = index.blocks.groupBy("region").cogroup(asked.groupBy("region")).applyInArrow(
+    parts = max(1, -(-queries.count() // params.query_rows))
+    asked = queries.select("id", "v").mapInArrow(
+        probe, "query_id long, v array<double>, region long, lists array<long>").withColumn(
+        "part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
+    blocks = index.blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    found = blocks.groupBy("region", "part").cogroup(asked.groupBy("region", "part")).applyInArrow(
         nearest, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(

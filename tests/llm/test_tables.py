@@ -295,3 +295,12 @@ def test_personal_data_goes_on_until_nothing_is_new(docs):
     rows += [lone, "an unheard of " + lone[::-1]]
     found = {r["doc_id"]: r["spans"] for r in personal_data.found_spans(docs(*enumerate(rows)), doc_id="doc_id").collect()}
     assert [k for k in range(len(rows)) if not found[k]] == []
+
+
+def test_queries_meet_regions_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(n, [float(x) for x in rng.normal(size=16)]) for n in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [sorted(tuple(r) for r in vector_search.nearest_neighbours(
+        frame, every=10, params=vector_search.Params(region_rows=128, query_rows=size)).collect()) for size in (8, 8192)]
+    assert found[0] == found[1] and len(found[0]) == 300
