@@ -67,4 +67,66 @@ LINES = _DEDUPED.format(docs="documents") + """
 SELECT d.doc_id, t.text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed
 FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id"""
 
-ORACLES = {"op1_quality_rules": QUALITY, "op2_line_dedup": LINES, "op5_chat_format": CHAT}
+def _crc32(value: str) -> str:
+    """Unsigned CRC-32 of an ASCII string."""
+    step = "list_reduce(range(8), lambda r, k: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b))"
+    return (f"xor(list_reduce(list_transform(range(1, length({value}) + 1), lambda i: ascii(({value})[i])::BIGINT), "
+            f"lambda c, b: {step}, 4294967295::BIGINT), 4294967295)")
+
+
+def _hashed(columns: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR, '-')"
+                                   for c in columns.split(", ")) + ")"
+
+
+MANIFEST = f"""
+WITH RECURSIVE
+l AS (
+  SELECT doc_id, lang, {_hashed("doc_id, source, lang, n_chars, text")} AS leaf,
+    CASE WHEN n_chars IS NOT NULL AND {_crc32("doc_id::VARCHAR")} % 7 = 0
+      THEN {_hashed("doc_id, source, lang, n_chars + 1, text")}
+      ELSE {_hashed("doc_id, source, lang, n_chars, text")} END AS claimed
+  FROM documents),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY lang) AS n FROM l),
+t AS (
+  SELECT lang, 0 AS level, i, leaf AS h, n FROM r
+  UNION ALL
+  SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1
+  GROUP BY lang, level, i // 2, n),
+s AS (
+  SELECT lang, h, level AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+  FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, i, h, n FROM s
+  UNION ALL
+  SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1
+  GROUP BY level, i // 2, n),
+top AS (SELECT h AS root, level AS height FROM u WHERE n = 1),
+p AS (
+  SELECT r.doc_id, r.leaf, r.lang, r.i, k, x.h, CASE WHEN x.i IS NULL THEN 0 WHEN (r.i >> k) % 2 = 1 THEN -1 ELSE 1 END AS side
+  FROM r JOIN s ON r.lang IS NOT DISTINCT FROM s.lang, unnest(range(0, s.height)) AS z(k)
+  LEFT JOIN t AS x ON x.lang IS NOT DISTINCT FROM r.lang AND x.level = k AND x.i = xor(r.i >> k, 1)
+  UNION ALL
+  SELECT r.doc_id, r.leaf, r.lang, r.i, s.height + k, x.h,
+    CASE WHEN x.i IS NULL THEN 0 WHEN (s.i >> k) % 2 = 1 THEN -1 ELSE 1 END
+  FROM r JOIN s ON r.lang IS NOT DISTINCT FROM s.lang, top, unnest(range(0, top.height)) AS z(k)
+  LEFT JOIN u AS x ON x.level = k AND x.i = xor(s.i >> k, 1)),
+q AS (
+  SELECT lang, i, array_agg({{'side': side, 'h': coalesce(h, '')}} ORDER BY k) AS steps FROM p GROUP BY lang, i),
+f AS (
+  SELECT r.*, coalesce(q.steps, []) AS steps FROM r LEFT JOIN q ON q.lang IS NOT DISTINCT FROM r.lang AND q.i = r.i),
+w AS (
+  SELECT lang, i, steps, 1 AS k, claimed AS v FROM f
+  UNION ALL
+  SELECT lang, i, steps, k + 1, sha256(CASE WHEN steps[k].side = -1 THEN steps[k].h ELSE '' END || v
+    || CASE WHEN steps[k].side = 1 THEN steps[k].h ELSE '' END) FROM w WHERE k <= len(steps))
+SELECT f.doc_id, f.leaf, s.h AS subroot, top.root,
+  sha256(array_to_string(list_transform(f.steps, lambda x: x.h), '')) AS proof_sha256, w.v AS folded_root,
+  w.v = top.root AS verified
+FROM f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang JOIN w ON w.lang IS NOT DISTINCT FROM f.lang AND w.i = f.i
+  AND w.k = len(f.steps) + 1, top"""
+
+ORACLES = {"op1_quality_rules": QUALITY, "op2_line_dedup": LINES, "op5_chat_format": CHAT,
+           "op13_merkle_manifest": MANIFEST}

@@ -12,6 +12,7 @@ from profseek.functions.shared import ship_package
 from profseek.llm.byte_bpe import round_trip
 from profseek.llm.chat import formatted, linear_trees, masked_text, read_back
 from profseek.llm.line_dedup import without_widespread_lines
+from profseek.llm.manifest import folded, leaf_digest, manifest, proof_digest
 from profseek.llm.near_dedup import near_duplicates
 from profseek.llm.packing import packed_documents
 from profseek.llm.personal_data import KINDS, found_spans, written
@@ -86,8 +87,20 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.col("n_chars").cast("decimal(20,0)") + 1
+    claimed = F.when((F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull(), leaf_digest(
+        [changed if c == "n_chars" else F.col(c) for c in columns])).otherwise(leaf_digest([F.col(c) for c in columns]))
+    rows = manifest(docs, columns, "lang", "doc_id", {"claimed": claimed})
+    found = rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", proof_digest(F.col("proof")).alias(
+        "proof_sha256"), folded(F.col("claimed"), F.col("proof")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_personal_data,
                                 op4_token_counts, op5_chat_format, op6_vector_search, op7_best_fit_packing,
                                 op8_byte_bpe,
-                                op9_minhash_near_dedup, op10_warc)}
+                                op9_minhash_near_dedup, op10_warc, op13_merkle_manifest)}
