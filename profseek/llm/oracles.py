@@ -128,5 +128,79 @@ SELECT f.doc_id, f.leaf, s.h AS subroot, top.root,
 FROM f JOIN s ON f.lang IS NOT DISTINCT FROM s.lang JOIN w ON w.lang IS NOT DISTINCT FROM f.lang AND w.i = f.i
   AND w.k = len(f.steps) + 1, top"""
 
+_STATES = ("n", "s", "u", "a")
+_NEXT = {"n": "u", "s": "u", "u": "a", "a": "u"}
+
+
+def _row_costs(state: str) -> str:
+    """Least (cost, edits, lines) from a state on over a row of `r` and what follows it in `g`."""
+    to = _NEXT[state]
+    kept = {"n": "CASE c WHEN 's' THEN g.s WHEN 'u' THEN g.u END", "u": "CASE c WHEN 'a' THEN g.a END"}.get(
+        state, "CASE c WHEN 'u' THEN g.u END")
+    role = "assistant" if state == "u" else "user"
+    edit = "{{'c': {c} + ({g}).c, 'e': '{e}' || ({g}).e, 't': {t}}}".format
+    none = "{'c': 1000000000::BIGINT, 'e': '', 't': ['']}"
+    dropped = edit(c=2, g=f"g.{state}", e="D", t=f"g.{state}.t")
+    kept = (f"CASE WHEN doomed OR ({kept}) IS NULL THEN {none} ELSE "
+            + edit(c="extra", g=kept, e="K", t=f"list_prepend(line, ({kept}).t)") + " END")
+    named = (f"CASE WHEN doomed THEN {none} ELSE "
+             + edit(c="1 + extra", g=f"g.{to}", e="R", t=f"list_prepend('{role}:' || text, g.{to}.t)") + " END")
+    return f"least({dropped}, {kept}, {named}) AS {state}"
+
+
+def _insert_costs(state: str, over: str = "b") -> str:
+    one, two = _NEXT[state], _NEXT[_NEXT[state]]
+    role = {"u": "user", "a": "assistant"}
+    step = (f"{{'c': 5 + {over}.{one}.c, 'e': 'I' || {over}.{one}.e, "
+            f"'t': list_prepend('{role[one]}:', {over}.{one}.t)}}")
+    more = (f"{{'c': 10 + {over}.{two}.c, 'e': 'II' || {over}.{two}.e, "
+            f"'t': list_prepend('{role[one]}:', list_prepend('{role[two]}:', {over}.{two}.t))}}")
+    return f"least({over}.{state}, {step}, {more}) AS {state}"
+
+
+REPAIR = rf"""
+WITH RECURSIVE
+z AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+k AS (SELECT *, {_crc32("key")} % 20 AS kind FROM z),
+d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, unnest(range(0, CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS x(copy) WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    sha256(length(role)::VARCHAR || ':' || role || text)) AS i FROM d),
+f AS (
+  SELECT *, left(role, 1) AS c, role || ':' || text AS line,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM o),
+r AS (
+  SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS doomed,
+    CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS extra FROM f),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id),
+g AS (
+  SELECT conv_id, n AS i, {{'c': 0::BIGINT, 'e': '', 't': []::VARCHAR[]}} AS n,
+    {{'c': 10::BIGINT, 'e': 'II', 't': ['user:', 'assistant:']}} AS s, {{'c': 5::BIGINT, 'e': 'I', 't': ['assistant:']}} AS u,
+    {{'c': 0::BIGINT, 'e': '', 't': []::VARCHAR[]}} AS a FROM n
+  UNION ALL
+  SELECT conv_id, i, {", ".join(_insert_costs(s) for s in _STATES)} FROM (
+    SELECT r.conv_id, r.i - 1 AS i, {", ".join(_row_costs(s) for s in _STATES)}
+    FROM g JOIN r ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND r.i = g.i) AS b),
+e AS (SELECT conv_id, g.n AS best FROM g WHERE i = 0)
+SELECT v.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.e, '') AS audit,
+  sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS v LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id
+LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM v.conv_id"""
+
 ORACLES = {"op1_quality_rules": QUALITY, "op2_line_dedup": LINES, "op5_chat_format": CHAT,
-           "op13_merkle_manifest": MANIFEST}
+           "op11_conversation_repair": REPAIR, "op13_merkle_manifest": MANIFEST}

@@ -17,6 +17,7 @@ from profseek.llm.near_dedup import near_duplicates
 from profseek.llm.packing import packed_documents
 from profseek.llm.personal_data import KINDS, found_spans, written
 from profseek.llm.quality import judged
+from profseek.llm.repair import Repair, damaged, digests, empty_digest
 from profseek.llm.token_counts import token_counts
 from profseek.llm.vector_search import nearest_neighbours
 from profseek.llm.warc import archive_round_trip
@@ -87,6 +88,20 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    table = _read(spark, sf, "conversations")
+    repair = Repair(damaged(table))
+    chat = lambda c: F.struct(F.col(c).alias("id")).alias("chat")
+    every = table.select(chat("conv_id")).distinct()
+    report = repair.report().select(chat("id"), "*").drop("id")
+    hashed = digests(repair.rows()).select(chat("id"), "digest")
+    found = every.join(report, "chat", "left").join(hashed, "chat", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c)
+              for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(F.col("chat.id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("digest", empty_digest()).alias("repaired_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents")
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -103,4 +118,5 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_personal_data,
                                 op4_token_counts, op5_chat_format, op6_vector_search, op7_best_fit_packing,
                                 op8_byte_bpe,
-                                op9_minhash_near_dedup, op10_warc, op13_merkle_manifest)}
+                                op9_minhash_near_dedup, op10_warc, op11_conversation_repair,
+                                op13_merkle_manifest)}
