@@ -173,9 +173,11 @@ o AS (
     sha256(length(role)::VARCHAR || ':' || role || text)) AS i FROM d),
 f AS (
   SELECT *, left(role, 1) AS c, role || ':' || text AS line,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
       WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' END AS fault,
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' END AS fault,
     lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
   FROM o),
 r AS (
@@ -202,5 +204,20 @@ SELECT v.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) AS v LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id
 LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM v.conv_id"""
 
+#: What the field has to find in the layout of these tables: the blocks of the article element.
+EXTRACTION = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS article FROM pages),
+b AS (
+  SELECT page_id, url, list_transform(string_split_regex(article, '</?(h1|p)>'), lambda x:
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'),
+      '</?b>', '', 'g'), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'))) AS blocks FROM a),
+c AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(blocks, lambda x:
+    trim(regexp_replace(x, '[\x20\x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+', ' ', 'g'))),
+    lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c"""
+
 ORACLES = {"op1_quality_rules": QUALITY, "op2_line_dedup": LINES, "op5_chat_format": CHAT,
-           "op11_conversation_repair": REPAIR, "op13_merkle_manifest": MANIFEST}
+           "op11_conversation_repair": REPAIR, "op12_html_extraction": EXTRACTION,
+           "op13_merkle_manifest": MANIFEST}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from profseek.functions.shared import ship_package
 from profseek.llm.byte_bpe import round_trip
 from profseek.llm.chat import formatted, linear_trees, masked_text, read_back
+from profseek.llm.extract import extracted
 from profseek.llm.line_dedup import without_widespread_lines
 from profseek.llm.manifest import folded, leaf_digest, manifest, proof_digest
 from profseek.llm.near_dedup import near_duplicates
@@ -102,6 +103,10 @@ def op11_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
                         F.coalesce("digest", empty_digest()).alias("repaired_sha256"))
 
 
+def op12_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extracted(_read(spark, sf, "pages"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents")
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -119,4 +124,4 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                                 op4_token_counts, op5_chat_format, op6_vector_search, op7_best_fit_packing,
                                 op8_byte_bpe,
                                 op9_minhash_near_dedup, op10_warc, op11_conversation_repair,
-                                op13_merkle_manifest)}
+                                op12_html_extraction, op13_merkle_manifest)}
