@@ -7,8 +7,9 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,28 +24,50 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, label: str = "stored", metrics: Observation | None = None, **observed: Column) -> DataFrame:
     """Cut the lineage through a Parquet copy in the shared folder, which outlives lost executors.
 
-    Later reads fetch the columns they need, and counts are in the footers.
+    Later reads fetch the columns they need. The schema is known, so reading
+    starts no job. `metrics` gets the observed aggregates of the rows written.
     """
-    path = fresh_path(df.sparkSession, "stored")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    path = fresh_path(df.sparkSession, label)
+    watched = df.observe(metrics, *[c.alias(name) for name, c in observed.items()]) if metrics else df
+    watched.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a broadcast side may hold at most: rows, and bytes of the relation that the driver builds.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+_ROW_OVERHEAD = 32
+
+
+def rows_and_bytes(df: DataFrame, rows: int | None = None) -> tuple[int, int]:
+    """Number of rows, counted unless given, and an upper estimate of their bytes in memory.
+
+    Numbers have a fixed size; strings, arrays and the like are measured over all rows.
+    """
+    fixed, varying = _ROW_OVERHEAD, []
+    for field in df.schema.fields:
+        fixed += 8
+        if not isinstance(field.dataType, (NumericType, BooleanType, DateType, TimestampType)):
+            varying.append(F.length(F.to_json(F.struct(F.col(f"`{field.name}`")))))
+    if rows is None or varying:
+        size = sum(varying, F.lit(0)).cast("long")
+        rows, measured = df.agg(F.count(F.lit(1)), F.sum(size)).first()
+    else:
+        measured = 0
+    return rows, rows * fixed + (measured or 0)
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark narrow rows for broadcast when their number, given or counted, is bounded; else leave them to shuffle.
+    """Mark rows for broadcast when their number and their bytes are bounded; else leave them to shuffle.
 
     Without the mark Spark would shuffle the large side too, because it cannot
     tell the size of checkpoints and Python stages beforehand.
     """
-    if rows is None:
-        rows = df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    rows, size = rows_and_bytes(df, rows)
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def spread_rows(df: DataFrame, *keys: str, wide: bool = False) -> DataFrame:
