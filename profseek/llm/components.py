@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profseek.functions.shared import fresh_path
+from profseek.functions.shared import checkpointed
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """A Parquet copy in the shared folder: it cuts lineage and outlives executors."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return checkpointed(df, label)
 
 
 def components(edges: DataFrame) -> DataFrame:
