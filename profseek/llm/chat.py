@@ -5,8 +5,8 @@ self-joins, so paths of any depth take logarithmically many joins: jump k of a
 node is its 2^k-th ancestor. A round joins and writes only the nodes that have
 not arrived at their root; those that have stay where they were written. Leaves
 are ranked by the score of their branch, and the best ones of each tree are
-unfolded into their nodes by halving, in one job that a leaf enters at the halving
-its depth needs. All joins are on (tree, node), so one huge tree is spread like
+unfolded into their nodes by halving; a leaf enters at the halving that its depth
+needs. All joins are on (tree, node), so one huge tree is spread like
 many small ones; they are shuffled, as small files of even numbers unfold into
 large relations. Only the messages of one finished conversation meet in a row,
 which is what it is.
@@ -122,7 +122,9 @@ def branches(messages: DataFrame, keep: int | None = None) -> DataFrame:
         upper = F.struct(F.col("up").alias("node"), (F.col("place") + half).alias("place"),
                          (F.col("size") - half).alias("size"))
         split = F.when(F.col("size") > half, F.array(lower, upper)).otherwise(F.array(lower))
-        parts = _merged(both, jump, ["tree", "node"], "left").select("tree", "leaf", "branch", "length", F.inline(split))
+        split_up = _merged(both, jump, ["tree", "node"], "left").select("tree", "leaf", "branch", "length", F.inline(split))
+        # stored, as a plan of all halvings would grow with the depth
+        parts = checkpointed(split_up, "parts") if k > 1 else split_up
     parts = parts.unionByName(ranked.filter("size = 1"))
     return parts.select("tree", "leaf", "branch", (F.col("length") - 1 - F.col("place")).alias("place"), "node")
 
