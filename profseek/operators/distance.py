@@ -28,6 +28,8 @@ from profseek.schema import MISSING_SENTINEL
 CELLS_PER_STEP = 2_000_000  # distances held at once by a task
 SIGMAS = 3.0
 SALTS = 256  # places a long target may spread over
+MOMENT_BYTES = 64 << 20  # of sums held by a task
+MANY_TILES = 65_536  # beyond this many tiles the sums of a target meet in two steps
 
 
 @dataclass
@@ -37,6 +39,16 @@ class QueryBlocks:
     broadcast: object | None
     paths: list[str]
 
+    def only(self, spark, names: set[str]) -> QueryBlocks:
+        """The windows of those queries, of a block in memory."""
+        block = self.broadcast.value
+        if block is not None:
+            keep = np.isin(block["query"], [i for i, name in enumerate(block["ids"].to_pylist()) if name in names])
+            block = None if not keep.any() else {
+                **{k: block[k][keep] for k in ("query", "q_pos", "q_len", "bases", "gc")}, "ids": block["ids"],
+                "normal": np.ascontiguousarray(block["normal"][:, keep])}
+        return QueryBlocks(spark.sparkContext.broadcast(block), [])
+
     def __iter__(self) -> Iterator[dict]:
         if self.broadcast is not None:
             yield self.broadcast.value
@@ -278,7 +290,8 @@ def _island_batch(batch: pa.RecordBatch, tiles: _Tiles, block: dict, hits, cfg)
 HIT_DDL = "query_id string, target_id string, target_ord long, q_pos long, d_pos long"
 REACHED_DDL = ("query_id string, target_id string, target_ord long, target_len long, diag long, q_first long, "
                "q_last long, n_kmers long, t_from long, t_bases string, t_values array<double>")
-MOMENT_DDL = "target_id string, target_ord long, tile long, block long, kmer long, n long, s1 double, s2 double"
+MOMENT_DDL = ("target_id string, target_ord long, block long, n long, last_tile long, s1 array<double>, "
+              "s2 array<double>")
 
 
 def _kernel_input(tiles: DataFrame, cfg) -> DataFrame:
@@ -307,43 +320,115 @@ def _short(db: TiledDb, cfg) -> DataFrame:
     return tiles.where(F.col("target_len") <= cfg.tile_len) if db.has_long else tiles
 
 
-def distance_moments(tiles: DataFrame, blocks: QueryBlocks, cfg) -> DataFrame:
-    """Count, sum and sum of squares of the finite distances per (window, target)."""
+class _Sums:
+    """Moments of (target, block) as arrays over the windows of the block, added up."""
 
-    def emit(batch, tiles, lo, hi, block_no, block):
-        found = tiles.windows(lo, hi)
-        if found is None:
-            return None
-        normal, _, rows = found
-        starts, row_ids = _runs(rows)
-        sizes = np.diff(np.r_[starts, len(rows)])
-        parts = [_moments(*_distances(normal, block["normal"][:, step], cfg.kmer_len), starts)
-                 for step in _steps(block["normal"].shape[1], len(rows))]
-        s1, s2 = np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts], 1)
-        n_kmers = s1.shape[1]
-        take = pa.array(np.repeat(row_ids, n_kmers))
-        kmer = np.tile(np.arange(n_kmers), len(row_ids))
-        out = {"target_id": batch.column("target_id").take(take), "target_ord": batch.column("target_ord").take(take),
-               "tile": batch.column("tile").take(take), "block": pa.array(np.full(len(kmer), block_no, np.int64)), "kmer": pa.array(kmer),
-               "n": pa.array(np.repeat(sizes, n_kmers)), "s1": pa.array(s1.ravel()), "s2": pa.array(s2.ravel())}
-        return pa.RecordBatch.from_pydict(out)
-
-    partial = _map_pieces(_kernel_input(tiles, cfg), blocks, cfg, MOMENT_DDL, emit)
-    return partial.groupBy("target_id", "target_ord", "block", "kmer").agg(
-        F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.max("tile").alias("last_tile"))
-
-
-def _with_limit(moments: DataFrame) -> DataFrame:
-    n, mean = F.col("n").cast("double"), F.col("s1") / F.col("n")
-    variance = F.greatest(F.col("s2") - n * mean * mean, F.lit(0.0)) / F.when(n > 1, n - 1)
-    return moments.withColumn("limit", mean - SIGMAS * F.sqrt(variance))
+    def __init__(self) -> None:
+        self.held: dict[tuple, list] = {}
+        self.bytes = 0
+
+    def add(self, key: tuple, n: int, last_tile: int, s1: np.ndarray, s2: np.ndarray) -> None:
+        if key in self.held:
+            sums = self.held[key]
+            sums[0] += n
+            sums[1] = max(sums[1], last_tile)
+            sums[2] += s1
+            sums[3] += s2
+        else:
+            self.held[key] = [n, last_tile, s1.copy(), s2.copy()]
+            self.bytes += s1.nbytes + s2.nbytes
+
+    def batch(self) -> pa.RecordBatch:
+        keys, sums = list(self.held), list(self.held.values())
+        self.held, self.bytes = {}, 0
+        bounds = pa.array(np.r_[0, np.cumsum([len(s[2]) for s in sums])].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([s[i] for s in sums] or [np.empty(0)])))
+                 for i in (2, 3)]
+        column = lambda rows, i, kind: pa.array([r[i] for r in rows], kind)
+        return pa.RecordBatch.from_arrays(
+            [column(keys, 0, pa.string()), column(keys, 1, pa.int64()), column(keys, 2, pa.int64()),
+             column(sums, 0, pa.int64()), column(sums, 1, pa.int64()), *lists],
+            ["target_id", "target_ord", "block", "n", "last_tile", "s1", "s2"])
+
+
+def _merged_moments(partial: DataFrame, *salt: str) -> DataFrame:
+    """One array per (target, block), or per (target, block, salt), from sorted streams."""
+    keys = ["target_id", "target_ord", "block", *salt]
+
+    def run(batches):
+        sums, at = _Sums(), None
+        for batch in batches:
+            lists = [batch.column(c) for c in ("s1", "s2")]
+            marks = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            n, last = batch.column("n").to_pylist(), batch.column("last_tile").to_pylist()
+            for i, mark in enumerate(marks):
+                if mark != at and sums.held:
+                    yield sums.batch()
+                at = mark
+                sums.add(mark[:3], n[i], last[i], *[x[i].values.to_numpy(zero_copy_only=False) for x in lists])
+        if sums.held:
+            yield sums.batch()
+
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, MOMENT_DDL)
+
+
+def moment_arrays(db: TiledDb, tiles: DataFrame, blocks: QueryBlocks, cfg) -> DataFrame:
+    """Count, sums and sums of squares of the finite distances per (target, block), arrays over the block's windows.
+
+    A task adds up the tiles of a target that it has, and an array leaves it for
+    each target and block. Arrays of a target with very many tiles meet in two steps.
+    """
+
+    def run(batches):
+        sums = _Sums()
+        for batch in batches:
+            mine = _Tiles(batch, cfg.kmer_len)
+            ids, ords, numbers = [batch.column(c).to_pylist() for c in ("target_id", "target_ord", "tile")]
+            for block_no, block in enumerate(blocks):
+                if block is None:
+                    continue
+                for lo, hi in mine.pieces(block["normal"].shape[1]):
+                    found = mine.windows(lo, hi)
+                    if found is None:
+                        continue
+                    normal, _, rows = found
+                    starts, row_ids = _runs(rows)
+                    sizes = np.diff(np.r_[starts, len(rows)])
+                    parts = [_moments(*_distances(normal, block["normal"][:, step], cfg.kmer_len), starts)
+                             for step in _steps(block["normal"].shape[1], len(rows))]
+                    s1, s2 = np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts], 1)
+                    for j, row in enumerate(row_ids):
+                        sums.add((ids[row], ords[row], block_no), int(sizes[j]), numbers[row], s1[j], s2[j])
+                    if sums.bytes > MOMENT_BYTES:
+                        yield sums.batch()
+        if sums.held:
+            yield sums.batch()
+
+    partial = _kernel_input(tiles, cfg).mapInArrow(run, MOMENT_DDL)
+    if db.cells // cfg.tile_len > MANY_TILES:
+        partial = _merged_moments(partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))), "salt")
+    return _merged_moments(partial)
+
+
+def distance_moments(db: TiledDb, tiles: DataFrame, blocks: QueryBlocks, cfg) -> DataFrame:
+    """The same with one row per (window, target)."""
+    both = F.arrays_zip("s1", "s2")
+    return moment_arrays(db, tiles, blocks, cfg).select(
+        "target_id", "target_ord", "block", "n", "last_tile", F.posexplode(both).alias("kmer", "s")).select(
+        "target_id", "target_ord", "block", F.col("kmer").cast("long").alias("kmer"), "n", "last_tile", "s.s1", "s.s2")
+
+
+def _limit(s1, s2):
+    n, mean = F.col("n").cast("double"), s1 / F.col("n")
+    variance = F.greatest(s2 - n * mean * mean, F.lit(0.0)) / F.when(n > 1, n - 1)
+    return mean - SIGMAS * F.sqrt(variance)
 
 
 def window_stats(db: TiledDb, blocks: QueryBlocks, names: DataFrame, cfg) -> DataFrame:
     """Mean, sigma and threshold per (query window, target)."""
     n, mean = F.col("n").cast("double"), F.col("s1") / F.col("n")
     sigma = F.sqrt(F.greatest(F.col("s2") - n * mean * mean, F.lit(0.0)) / F.when(n > 1, n - 1))
-    moments = _with_limit(distance_moments(db.tiles, blocks, cfg))
+    moments = distance_moments(db, db.tiles, blocks, cfg).withColumn("limit", _limit(F.col("s1"), F.col("s2")))
     return moments.join(names, ["block", "kmer"]).select(
         "query_id", "q_pos", "target_id", "target_ord", "n", mean.alias("mean_dist"), sigma.alias("sd_dist"), "limit")
 
@@ -370,12 +455,11 @@ def kmer_names(blocks: QueryBlocks, spark) -> DataFrame:
 def long_hits(db: TiledDb, blocks: QueryBlocks, cfg) -> DataFrame:
     """Hits in targets of several tiles, with thresholds and counts taken over the whole target."""
     tiles = db.tiles.where(F.col("target_len") > cfg.tile_len)
-    limits = _with_limit(distance_moments(tiles, blocks, cfg)).groupBy("target_id", "target_ord", "block").agg(
-        F.array_sort(F.collect_list(F.struct("kmer", "limit"))).alias("l"), (F.max("last_tile") + 1).alias("tiles"))
+    moments = moment_arrays(db, tiles, blocks, cfg)
     key = ["target_id", "target_ord"]
     # the thresholds of a target go to at most SALTS places, its tiles to one of them each
-    salts = F.sequence(F.lit(0).cast("long"), F.least(F.col("tiles"), F.lit(SALTS)) - 1)
-    limits = limits.select(*key, "block", F.col("l.limit").alias("limits"), F.explode(salts).alias("salt"))
+    salts = F.sequence(F.lit(0).cast("long"), F.least(F.col("last_tile") + 1, F.lit(SALTS)) - 1)
+    limits = moments.select(*key, "block", F.zip_with("s1", "s2", _limit).alias("limits"), F.explode(salts).alias("salt"))
     salted = _kernel_input(tiles, cfg).withColumn("salt", F.col("tile") % SALTS)
     joined = balanced(salted.join(limits, [*key, "salt"]).drop("salt"), db.cells, *key, "tile", "block")
 

@@ -112,7 +112,20 @@ def positive_seeds(seeds: DataFrame, cfg) -> DataFrame:
 
 
 def first_seeds(seeds: DataFrame, limit: int) -> DataFrame:
-    """The leading seeds per query in the order target, diagonal, position."""
-    order = Window.partitionBy("query_id").orderBy(
-        "target_ord", "target_id", F.col("q_start") - F.col("d_start"), "q_start")
-    return seeds.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit).drop("_rn")
+    """The leading seeds per query in the order target, diagonal, position; `seeds` should be stored.
+
+    A distributed prefix limit: seeds are counted per (query, target), a running
+    sum over those counts finds the target in which the limit falls, and only the
+    seeds of that one target are ranked. No group holds more than one target's
+    seeds, or one count per target.
+    """
+    draw = ["query_id", "target_ord", "target_id"]
+    counts = seeds.groupBy(*draw).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("query_id").orderBy("target_ord", "target_id").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    room = limit - (F.sum("_n").over(upto) - F.col("_n"))
+    wanted = counts.select(*draw, "_n", room.alias("_room")).where("_room > 0")
+    met = seeds.join(wanted, draw)
+    order = Window.partitionBy(*draw).orderBy(F.col("q_start") - F.col("d_start"), "q_start")
+    last = met.where("_n > _room").withColumn("_rn", F.row_number().over(order)).where("_rn <= _room").drop("_rn")
+    return met.where("_n <= _room").unionByName(last).drop("_n", "_room")

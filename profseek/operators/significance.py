@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profseek.functions.scalars import display_number, gumbel_p, ranges_overlap, status_of
+from profseek.functions.scalars import display_number, gumbel_p, status_of
 from profseek.functions.shared import broadcast_if_small
 
 
@@ -92,38 +92,84 @@ def range_stops(ranges: DataFrame, fraction: float) -> DataFrame:
 SEED_KEY = ["query_id", "target_id", "target_ord", "q_seed_start", "d_seed_start"]
 
 
-def _rank(side: str):
-    """Order of hits within a (query, target): query start, then longest first, then fixed tie keys."""
-    c = lambda name: F.col(f"{side}.{name}")
-    return F.struct(c("q_start"), -c("q_end"), c("target_ord"), c("d_start"), -c("d_end"), c("q_seed_start"),
-                    c("d_seed_start"))
+#: Order of hits within a (query, target): query start, then longest first, then fixed tie keys.
+RANK = ["q_start", "q_end", "target_ord", "d_start", "d_end", "q_seed_start", "d_seed_start"]
+RISING = [name not in ("q_end", "d_end") for name in RANK]
+
+
+def _beaten(pdf: pd.DataFrame, fraction: float) -> np.ndarray:
+    """Which hits of one stretch, in rank order, a stronger overlapping hit removes.
+
+    Of two hits the one with the higher score is stronger, of equals the earlier.
+    A hit meets the stronger ones from the strongest on, in growing steps, and is
+    done with the first that removes it. What none removes overlaps no other
+    such hit, so crowded stretches have few hits that meet all.
+    """
+    q0, q1, d0, d1 = (pdf[c].to_numpy() for c in ("q_start", "q_end", "d_start", "d_end"))
+    stop_start, stop_end, score = (pdf[c].to_numpy() for c in ("stop_start", "stop_end", "score"))
+    n = len(pdf)
+    # the run of a hit ends before this place
+    stop = np.searchsorted(q0, stop_start, "left")
+    for i in np.flatnonzero((stop < n) & (q0[np.minimum(stop, n - 1)] == stop_start)):
+        same = np.searchsorted(q0, stop_start[i], "right")
+        stop[i] += np.searchsorted(-q1[stop[i]:same], -stop_end[i], "left")
+    order = np.lexsort((np.arange(n), -score))
+    out = np.zeros(n, bool)
+
+    def overlap(start, end, a, b):
+        """Of hits and later ones."""
+        shorter = np.minimum(end[a] + 1 - start[a], end[b] + 1 - start[b])
+        shared = np.minimum(end[a], end[b]) + 1 - np.maximum(start[a], start[b])
+        return (start[b] < end[a]) & (shared > shorter * fraction)
+
+    for at in range(1, n):
+        h, low, step = order[at], 0, 64
+        while low < at:
+            g = order[low:min(low + step, at)]
+            a, b = np.minimum(g, h), np.maximum(g, h)
+            if ((stop[a] > b) & overlap(q0, q1, a, b) & overlap(d0, d1, a, b)).any():
+                out[h] = True
+                break
+            low, step = low + step, 4 * step
+    return out
 
 
 def overlap_losers(hits: DataFrame, cfg) -> DataFrame:
     """Keys of the hits that some overlapping hit removes.
 
     A hit is compared with the following ones up to the first whose query range
-    does not overlap; a removed hit still removes others. Pairs are formed only
-    between hits that share a stretch of the target, so a crowded target does
-    not produce all pairs, and no (query, target) is sorted as a whole.
+    does not overlap; a removed hit still removes others. Hits are dealt by
+    stretches of the target as long as a hit can be, two at most to a hit, and each
+    stretch is swept on its own: no (query, target) is sorted as a whole, and
+    pairs are not written out.
     """
     keys = ["query_id", "target_id"]
     stops = range_stops(hits.select(*keys, "q_start", "q_end").distinct(), cfg.max_align_overlap)
     width = 2 * F.greatest(F.col("trim_len"), F.lit(1))
     cells = hits.select(*SEED_KEY, "q_start", "q_end", "d_start", "d_end", "score", F.explode(F.sequence(
         F.floor(F.col("d_start") / width), F.floor(F.col("d_end") / width))).alias("cell"))
-    a = cells.join(stops, [*keys, "q_start", "q_end"]).alias("a")
-    b = cells.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*keys, "cell")]
-    run_end = F.struct(F.col("a.stop_start"), -F.col("a.stop_end"))
-    within = F.struct(F.col("b.q_start"), -F.col("b.q_end")) < run_end
-    limit = cfg.max_align_overlap
-    both = [ranges_overlap(*[F.col(f"{s}.{axis}_{e}") for s in "ab" for e in ("start", "end")], limit)
-            for axis in "qd"]
-    pairs = a.join(b, [*same, _rank("a") < _rank("b"), within, *both])
-    keep_a = F.col("a.score") >= F.col("b.score")
-    return pairs.select(*[F.when(keep_a, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
-                          for c in SEED_KEY]).distinct()
+    stretch = [*keys, "cell"]
+    dealt = cells.join(stops, [*keys, "q_start", "q_end"]).repartition(*stretch).sortWithinPartitions(
+        *stretch, *RANK, ascending=[True] * len(stretch) + RISING)
+
+    def sweep(frames):
+        held = None
+        for pdf in itertools.chain(frames, [None]):
+            whole = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if whole is None or not len(whole):
+                continue
+            new = (whole[stretch] != whole[stretch].shift()).any(axis=1).to_numpy()
+            first = np.flatnonzero(new)
+            done = len(whole) if pdf is None else first[-1]  # the last stretch may go on in the next batch
+            bounds = [*first[first < done], done]
+            lost = [whole.iloc[a:b][_beaten(whole.iloc[a:b], cfg.max_align_overlap)]
+                    for a, b in zip(bounds[:-1], bounds[1:]) if b - a > 1]
+            held = whole.iloc[done:]
+            if lost:
+                yield pd.concat(lost)[SEED_KEY]
+
+    kinds = {f.name: f.dataType.simpleString() for f in hits.schema.fields}
+    return dealt.mapInPandas(sweep, ", ".join(f"{c} {kinds[c]}" for c in SEED_KEY)).distinct()
 
 
 def remove_overlaps(hits: DataFrame, cfg) -> DataFrame:

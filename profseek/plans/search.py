@@ -34,6 +34,14 @@ class Queries:
         cells = profiles.agg(F.sum(F.length("bases")).alias("n")).first()["n"] or 0
         return cls(profiles, int(cells), prepare_blocks(query_windows(cap_profiles(profiles, cfg), cfg), cells, cfg))
 
+    def only(self, ids: DataFrame, cfg: SearchConfig) -> "Queries":
+        """The queries of those ids. Windows held in memory are masked, windows in files are written anew."""
+        if self.blocks.broadcast is None:
+            return Queries.prepare(checkpointed(self.profiles.join(ids, self.profiles["id"] == ids["query_id"], "left_semi")),
+                                   cfg)
+        names = {r["query_id"] for r in ids.toLocalIterator()}  # at most those of the windows in memory
+        return Queries(self.profiles, self.cells, self.blocks.only(ids.sparkSession, names))
+
 
 def with_record_keys(profiles: DataFrame) -> DataFrame:
     """Query profiles under the key of their record, `ord:name`, which stays apart where names repeat."""
@@ -63,37 +71,39 @@ def null_tiles(profiles: DataFrame, first: int, last: int, sizes: Sizes, cfg, in
     return tiled_long(rows, cfg, expected)
 
 
-def null_seeds(queries: Queries, profiles: DataFrame, cfg: SearchConfig, sizes: Sizes | None = None) -> DataFrame:
+def null_seeds(queries: Queries, profiles: DataFrame, cfg: SearchConfig, sizes: Sizes | None = None,
+               per_cell: float = 0.0) -> DataFrame:
     """The first `null_hsgs` positive seeds per query over the null database.
 
     The order is by draw, and draws are independent of each other, so only as many
-    draws are made as the seeds need: a small round first, then one sized by the
-    yield so far, until every query has its seeds or the draws are used up.
+    draws are made as the seeds need: a first round, then one sized by the yield so
+    far, until every query has its seeds or the draws are used up. `per_cell`, the
+    seeds of the poorest query per database position in the main search, sizes the
+    first round; without it that round is small. Each round is stored once, and
+    queries that have their seeds take no part in the next.
     """
     sizes = sizes or Sizes.of(profiles)
     if not sizes.profiles or not sizes.cells:
         raise ValueError("the database is empty")
     total = nulls.total_draws(sizes, cfg)
     index = checkpointed(nulls.numbered(profiles))
-    step = max(1, min(total, FIRST_NULL_POSITIONS * sizes.profiles // sizes.cells))
+    cells = max(FIRST_NULL_POSITIONS, 1.25 * cfg.null_hsgs / per_cell if per_cell else 0)
+    step = max(1, min(total, int(cells * sizes.profiles / sizes.cells)))
     rounds, at, open_queries = [], 0, queries
     while True:
         upto = min(total, at + step)
-        found = without_queries(seeds_of(open_queries, null_tiles(profiles, at, upto, sizes, cfg, index), cfg))
-        found = first_seeds(found, cfg.null_hsgs)
+        tiles = null_tiles(profiles, at, upto, sizes, cfg, index)
+        rounds.append(checkpointed(without_queries(seeds_of(open_queries, tiles, cfg))))
         if upto == total:
-            rounds.append(found)
             break
-        rounds.append(checkpointed(found))
-        have = _union(rounds).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-        counts = queries.profiles.select(F.col("id").alias("query_id")).join(have, "query_id", "left").select(
-            "query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < cfg.null_hsgs)
+        have = _union([r.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")) for r in rounds]).groupBy("query_id").agg(
+            F.sum("n").alias("n"))
+        counts = checkpointed(queries.profiles.select(F.col("id").alias("query_id")).join(have, "query_id", "left").select(
+            "query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < cfg.null_hsgs))
         left = counts.agg(F.count(F.lit(1)).alias("open"), F.min("n").alias("least")).first()
         if not left["open"]:
             break
-        rest = checkpointed(queries.profiles.join(
-            counts.select(F.col("query_id").alias("id")), "id", "left_semi"))
-        open_queries = Queries.prepare(rest, cfg)
+        open_queries = queries.only(counts.select("query_id"), cfg)
         need = cfg.null_hsgs * upto // max(1, left["least"]) - upto
         at, step = upto, max(upto, need + need // 4)
     return with_queries(first_seeds(_union(rounds), cfg.null_hsgs), queries, cfg)
@@ -113,12 +123,12 @@ def with_queries(seeds: DataFrame, queries: Queries, cfg: SearchConfig) -> DataF
 
 
 def null_fits(queries: Queries, null_source: DataFrame, cfg: SearchConfig, shuffled: bool = False,
-              sizes: Sizes | None = None) -> DataFrame:
+              sizes: Sizes | None = None, per_cell: float = 0.0) -> DataFrame:
     """Gumbel parameters per query. `shuffled` marks a null database read from storage."""
     if shuffled:
-        seeds = first_seeds(seeds_of(queries, tiled(null_source, cfg), cfg), cfg.null_hsgs)
+        seeds = first_seeds(checkpointed(seeds_of(queries, tiled(null_source, cfg), cfg)), cfg.null_hsgs)
     else:
-        seeds = null_seeds(queries, null_source, cfg, sizes)
+        seeds = null_seeds(queries, null_source, cfg, sizes, per_cell)
     return nulls.gumbel_fit(extend_seeds(spread_rows(seeds, *SEED), cfg, with_path=False))
 
 
@@ -130,12 +140,15 @@ def search_hits(query_profiles: DataFrame, db_profiles: DataFrame, cfg: SearchCo
     """
     queries, sizes = Queries.prepare(with_record_keys(query_profiles), cfg), sizes or Sizes.of(db_profiles)
     null_source = db_profiles if null_db is None else null_db
-    fits = checkpointed(null_fits(queries, null_source, cfg, null_db is not None, sizes))
     target = db or (tiled_long if is_long(db_profiles) else tiled)(db_profiles, cfg, sizes)
-    # read several times below (hit counts, overlap sides): written once
+    # read several times below (hit counts, overlap sides): written once, and first, as its yield sizes the null search
     hits = checkpointed(extend_seeds(seeds_of(queries, target, cfg), cfg))
+    found = hits.groupBy("query_id").count().agg(F.min("count").alias("least"), F.count(F.lit(1)).alias("n")).first()
+    every = found["n"] and found["n"] == query_profiles.count()  # a query without hits says nothing of its yield
+    per_cell = found["least"] / sizes.cells if every and sizes.cells else 0.0
+    fits = checkpointed(null_fits(queries, null_source, cfg, null_db is not None, sizes, per_cell))
     scored = significance.with_evalue(significance.with_pvalue(hits, fits))
-    kept = significance.remove_overlaps(checkpointed(significance.reportable(scored, cfg)), cfg)
+    kept = significance.remove_overlaps(significance.reportable(scored, cfg), cfg)
     return significance.with_status(with_record_names(kept), cfg)
 
 
