@@ -225,6 +225,17 @@ _CHECK = """SELECT id, b AS bases, round(list_sum(list_transform(v, lambda x: co
  len(list_filter(v, lambda x: x IS NULL)) AS missing FROM pwide"""
 _HALF = "CAST((n - 3) // 2 AS BIGINT)"
 
+_FOLDS = """SELECT id, '((.' || l || '...' || reverse(replace(replace(l, '.', ''), '(', ')')) || r || '...'
+ || reverse(replace(replace(r, '.', ''), '(', ')')) || '..))..' AS text FROM (
+ SELECT id, translate(b[1:n // 4], 'ACGTN', '(.((.') AS l, translate(b[n // 4 + 1:2 * (n // 4)], 'ACGTN', '(.((.') AS r FROM pwide)"""
+#: Pairs by a stack of open brackets, and the stems that they form.
+_STEMS = f"""SELECT *, sum(CASE WHEN ix = pi + 1 AND j = pj - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY ix) AS stem FROM (
+ SELECT *, lag(ix) OVER (PARTITION BY id ORDER BY ix) AS pi, lag(j) OVER (PARTITION BY id ORDER BY ix) AS pj FROM (
+ SELECT o.id, o.ix, min(c.ix) AS j FROM ({{cells}}) o JOIN ({{cells}}) c ON c.id = o.id AND c.ix > o.ix AND c.mark = ')'
+ AND c.after = o.after - 1 WHERE o.mark = '(' GROUP BY o.id, o.ix))""".replace("{cells}", f"""SELECT id, ix, text[ix + 1] AS mark,
+ sum(CASE text[ix + 1] WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY ix) AS after
+ FROM ({_FOLDS}) f, unnest(range(0, length(text))) AS u(ix)""")
+
 _BODIES = {
     "cap": "SELECT id, pos, round(c, 6) AS capped FROM p",
     "trim_range": 'SELECT id, a AS "start", z AS "end" FROM ptrim UNION ALL SELECT id, a, z FROM qtrim',
@@ -302,10 +313,11 @@ _BODIES = {
     "gapped_render": "SELECT id, replace(b, 'N', '-') AS text FROM pwide",
     "gapped_values": """SELECT p.id, pos, base = 'N' AS gap, round(CASE WHEN base <> 'N' THEN r END, 6) AS value FROM p
  JOIN (SELECT id, max(pos) AS last FROM p WHERE base <> 'N' GROUP BY id) x ON p.id = x.id WHERE pos <= last""",
-    "dotbracket_blocks": f"""SELECT id, repeat('(', CAST(h AS INT)) || repeat('.', CAST(n - 2 * h AS INT)) || repeat(')', CAST(h AS INT)) AS shown,
- 0::BIGINT AS l_start, h AS l_end, n - h AS r_start, n AS r_end FROM (SELECT id, n, {_HALF} AS h FROM pwide)""",
-    "pair_support": f"""SELECT a.id, count(*) AS total, count(*) FILTER (WHERE a.base || x.base IN ('AT', 'TA', 'GT', 'TG', 'GC', 'CG')) AS canonical
- FROM p a JOIN p x ON a.id = x.id AND x.pos = a.n - 1 - a.pos WHERE a.pos < (a.n - 3) // 2 GROUP BY a.id""",
+    "dotbracket_blocks": f"""SELECT x.id, any_value(text) AS shown, min(x.ix)::BIGINT AS l_start, (max(x.ix) + 1)::BIGINT AS l_end,
+ min(x.j)::BIGINT AS r_start, (max(x.j) + 1)::BIGINT AS r_end FROM ({_STEMS}) x JOIN ({_FOLDS}) f ON f.id = x.id
+ GROUP BY x.id, stem""",
+    "pair_support": f"""SELECT x.id, count(*) AS total, count(*) FILTER (WHERE (b || b)[ix + 1] || (b || b)[j + 1]
+ IN ('AT', 'TA', 'GT', 'TG', 'GC', 'CG')) AS canonical FROM ({_STEMS}) x JOIN pwide f ON f.id = x.id GROUP BY x.id""",
     "native_codec": _CHECK,
     "text_source": _CHECK,
     "xml_source": _CHECK,

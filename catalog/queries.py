@@ -587,29 +587,34 @@ def gapped_values(s: Source):
     return laid.select("id", L("pos").alias("pos"), F.col("c.gap").alias("gap"), r6("c.value").alias("value"))
 
 
-def _hairpins(s: Source) -> DataFrame:
-    """Each profile folded on itself: one stem over all but the middle."""
-    n = F.length("bases")
-    stem = F.floor((n - 3) / 2).cast("int")
-    text = F.concat(F.repeat(F.lit("("), stem), F.repeat(F.lit("."), n - 2 * stem), F.repeat(F.lit(")"), stem))
-    return s.db.select("id", "bases", text.alias("structure")).withColumn(
-        "blocks", dotbracket.blocks_of(F.col("structure")))
+def _folds(s: Source) -> DataFrame:
+    """A structure over each profile from its bases: two hairpins with bulges in a common stem."""
+    quarter = F.floor(F.length("bases") / 4).cast("int")
+
+    def hairpin(start):
+        left = F.translate(F.substring(F.col("bases"), start, quarter), "ACGTN", "(.((.")
+        right = F.reverse(F.translate(F.translate(left, ".", ""), "(", ")"))
+        return F.concat(left, F.lit("..."), right)
+
+    text = F.concat(F.lit("((."), hairpin(F.lit(1)), hairpin(quarter + 1), F.lit("..)).."))
+    return s.db.select("id", text.alias("structure"), F.concat("bases", "bases").alias("sequence"))
 
 
 @query
 def dotbracket_blocks(s: Source):
-    """Paired blocks of parsed structures, and their rendering."""
+    """Paired blocks of nested and branching structures, and their rendering."""
+    found = dotbracket.with_blocks(_folds(s), ["id"], "structure")
     shown = dotbracket.structure_text(F.col("blocks"), F.length("structure"))
-    flat = _hairpins(s).select("id", shown.alias("shown"), F.explode("blocks").alias("b"))
+    flat = found.select("id", shown.alias("shown"), F.explode("blocks").alias("b"))
     return flat.select("id", "shown", *[L(f"b.{c}").alias(c) for c in dotbracket.NAMES])
 
 
 @query
 def pair_support(s: Source):
-    """Canonical pairs of each profile folded on itself."""
-    c = gapped.paired_support(F.col("bases"), F.col("blocks"))
-    return _hairpins(s).select("id", c.alias("c")).select("id", L("c.total").alias("total"),
-                                                          L("c.canonical").alias("canonical"))
+    """Canonical pairs of a sequence over such a structure."""
+    found = dotbracket.with_blocks(_folds(s), ["id"], "structure")
+    c = gapped.paired_support(F.col("sequence"), F.col("blocks"))
+    return found.select("id", c.alias("c")).select("id", L("c.total").alias("total"), L("c.canonical").alias("canonical"))
 
 
 # --- sources and sinks --------------------------------------------------------

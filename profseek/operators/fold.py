@@ -1,10 +1,10 @@
-"""Consensus folding of significant hits and its column-shuffle null.
+"""Evaluation of the folds of significant hits: supports of the consensus structure and a column-shuffle null.
 
-The default backend is a small nearest-neighbour model (stacks, loop penalties
-by size, linear multiloops, probing pseudo-energies on stacked pairs) averaged
-over the two aligned sequences. It is not numerically equal to full folding
-packages; another function with the same signature can be passed instead.
-Spark spreads the hits; a task folds the shuffles of a hit, all of one length, at once.
+The folding itself is a function that the caller passes in:
+backend(targets, queries, pseudo, cfg, structure) gets equally long gapped
+sequences of many alignments and one row of column energies each, and returns
+their energies and, if asked, their dot-bracket structures. Spark lays the
+alignments out, spreads them, shuffles their columns and evaluates the results.
 """
 
 from __future__ import annotations
@@ -19,143 +19,10 @@ from pyspark.sql import functions as F
 from profseek.functions.scalars import deigan
 from profseek.functions.shared import broadcast_if_small, spread_rows
 from profseek.operators.columns import column_permutation, gather
-from profseek.operators.dotbracket import blocks_of
+from profseek.operators.dotbracket import with_blocks
 from profseek.operators.gapped import gapped_bases, gapped_values, paired_support
 from profseek.sources.load import first_by_id
 
-# fixed values: published nearest-neighbour stacking energies at 37 degrees, kcal/mol,
-# rows and columns in the order CG GC GU UG AU UA
-PAIRS = ("CG", "GC", "GT", "TG", "AT", "TA")
-STACK = np.array([
-    [-2.4, -3.3, -2.1, -1.4, -2.1, -2.1],
-    [-3.3, -3.4, -2.5, -1.5, -2.2, -2.4],
-    [-2.1, -2.5, 1.3, -0.5, -1.4, -1.3],
-    [-1.4, -1.5, -0.5, 0.3, -0.6, -1.0],
-    [-2.1, -2.2, -1.4, -0.6, -1.1, -0.9],
-    [-2.1, -2.4, -1.3, -1.0, -0.9, -1.3],
-])
-HAIRPIN = (5.4, 5.6, 5.7, 5.4, 6.0, 5.5, 6.4)  # sizes 3 to 9
-BULGE = (3.8, 2.8, 3.2, 3.6, 4.0, 4.4)  # sizes 1 to 6
-INTERIOR = (1.0, 1.0, 1.1, 2.0, 2.0)  # sizes 2 to 6
-MULTI_CLOSE, MULTI_BRANCH = 3.4, 0.4
-MAX_LOOP, MIN_HAIRPIN = 30, 3
-
-
-def _by_size(table, first: int, size: int) -> float:
-    last = first + len(table) - 1
-    return table[size - first] if size <= last else table[-1] + 1.07856 * math.log(size / last)
-
-
-def _loop(left: int, right: int) -> float:
-    if left == 0 or right == 0:
-        return _by_size(BULGE, 1, left + right)
-    return _by_size(INTERIOR, 2, left + right) + min(3.0, 0.6 * abs(left - right))
-
-
-def _pair_types(seqs: list[str]) -> np.ndarray:
-    """(row, i, j) pair class of each sequence, -1 where the columns do not pair."""
-    codes = np.array([["ACGT".find("T" if c == "U" else c) for c in s] for s in seqs])
-    table = np.full((5, 5), -1)
-    for at, (x, y) in enumerate(PAIRS):
-        table["ACGT".index(x), "ACGT".index(y)] = at
-    return table[codes[:, :, None], codes[:, None, :]]
-
-
-def fold_equal_length(targets: list[str], queries: list[str], pseudo: np.ndarray, cfg, structure: bool = False):
-    """Energies (and structures) of aligned pairs of one length. `pseudo` holds the per-column probing energy."""
-    rows, n = len(targets), len(targets[0])
-    a, b = _pair_types(targets), _pair_types(queries)
-    idx = np.arange(n)
-    gap = idx[None, :] - idx[:, None]
-    can = (a >= 0) & (b >= 0) & (gap > MIN_HAIRPIN) & (gap < cfg.max_bp_span)
-    if cfg.no_lonely_pairs:
-        inner, outer = np.zeros_like(can), np.zeros_like(can)
-        inner[:, :-1, 1:] = can[:, 1:, :-1]
-        outer[:, 1:, :-1] = can[:, :-1, 1:]
-        can &= inner | outer
-    wobble = np.isin(a, (2, 3)) | np.isin(b, (2, 3))
-    closes = can & ~wobble if cfg.no_closing_gu else can
-    inf = np.inf
-    v = np.full((rows, n + 1, n + 1), inf)
-    m = np.full((rows, n + 1, n + 1), inf)
-    stack = np.full((rows, n, n), inf)
-    i, j = np.nonzero(gap > MIN_HAIRPIN + 2)
-    both = can[:, i, j] & can[:, i + 1, j - 1]
-    energy = (STACK[a[:, i, j], a[:, j - 1, i + 1]] + STACK[b[:, i, j], b[:, j - 1, i + 1]]) / 2
-    energy = energy + pseudo[:, i] + pseudo[:, j] + pseudo[:, i + 1] + pseudo[:, j - 1]
-    stack[:, i, j] = np.where(both, energy, inf)
-    for d in range(MIN_HAIRPIN + 1, n):
-        i = np.arange(n - d)
-        j = i + d
-        best = np.where(closes[:, i, j], _by_size(HAIRPIN, 3, d - 1), inf)
-        if d > MIN_HAIRPIN + 2:
-            best = np.minimum(best, v[:, i + 1, j - 1] + stack[:, i, j])
-        for left in range(0, min(MAX_LOOP, d - MIN_HAIRPIN - 3) + 1):
-            for right in range(0 if left else 1, min(MAX_LOOP - left, d - MIN_HAIRPIN - 3 - left) + 1):
-                k, e = i + 1 + left, j - 1 - right
-                ok = closes[:, i, j] & closes[:, k, e]
-                best = np.minimum(best, np.where(ok, v[:, k, e] + _loop(left, right), inf))
-        if d > 2 * (MIN_HAIRPIN + 2):
-            split = np.full((rows, len(i)), inf)
-            for s in range(MIN_HAIRPIN + 1, d - MIN_HAIRPIN - 2):
-                split = np.minimum(split, m[:, i + 1, i + 1 + s] + m[:, i + 2 + s, j - 1])
-            best = np.minimum(best, np.where(closes[:, i, j], split + MULTI_CLOSE + MULTI_BRANCH, inf))
-        v[:, i, j] = np.where(can[:, i, j], best, inf)
-        branch = np.minimum(v[:, i, j] + MULTI_BRANCH, np.minimum(m[:, i + 1, j], m[:, i, j - 1]))
-        for s in range(MIN_HAIRPIN + 1, d - MIN_HAIRPIN - 1):
-            branch = np.minimum(branch, m[:, i, i + s] + m[:, i + s + 1, j])
-        m[:, i, j] = branch
-    outer = np.zeros((rows, n + 1))  # best energy of the first x columns
-    for j in range(n):
-        outer[:, j + 1] = np.minimum(outer[:, j], (outer[:, :n] + v[:, :n, j]).min(axis=1))
-    energies = outer[:, n]
-    if not structure:
-        return energies, None
-    return energies, [_trace(v[r], m[r], stack[r], closes[r], outer[r], n) for r in range(rows)]
-
-
-def _trace(v, m, stack, closes, outer, n: int) -> str:
-    """Structure of the best energy by repeating the choices."""
-    text, todo = ["."] * n, [("f", 0, n)]
-    same = lambda x, y: np.isfinite(x) and abs(x - y) < 1e-9
-    while todo:
-        kind, i, j = todo.pop()
-        if kind == "f":
-            if j == 0 or same(outer[j - 1], outer[j]):
-                if j > 0:
-                    todo.append(("f", 0, j - 1))
-                continue
-            k = next(k for k in range(j) if same(outer[k] + v[k, j - 1], outer[j]))
-            todo += [("f", 0, k), ("v", k, j - 1)]
-        elif kind == "m":
-            if same(v[i, j] + MULTI_BRANCH, m[i, j]):
-                todo.append(("v", i, j))
-            elif same(m[i + 1, j], m[i, j]):
-                todo.append(("m", i + 1, j))
-            elif same(m[i, j - 1], m[i, j]):
-                todo.append(("m", i, j - 1))
-            else:
-                s = next(s for s in range(i, j) if same(m[i, s] + m[s + 1, j], m[i, j]))
-                todo += [("m", i, s), ("m", s + 1, j)]
-        else:
-            text[i], text[j] = "(", ")"
-            d = j - i
-            if d > MIN_HAIRPIN + 2 and same(v[i + 1, j - 1] + stack[i, j], v[i, j]):
-                todo.append(("v", i + 1, j - 1))
-                continue
-            if same(_by_size(HAIRPIN, 3, d - 1), v[i, j]):
-                continue
-            inner = next(((i + 1 + x, j - 1 - y) for x in range(MAX_LOOP + 1) for y in range(MAX_LOOP + 1 - x)
-                          if (x or y) and j - 1 - y > i + 1 + x and closes[i + 1 + x, j - 1 - y]
-                          and same(v[i + 1 + x, j - 1 - y] + _loop(x, y), v[i, j])), None)
-            if inner:
-                todo.append(("v", *inner))
-                continue
-            s = next(s for s in range(i + 1, j - 1)
-                     if same(m[i + 1, s] + m[s + 1, j - 1] + MULTI_CLOSE + MULTI_BRANCH, v[i, j]))
-            todo += [("m", i + 1, s), ("m", s + 1, j - 1)]
-    return "".join(text)
-
 
 def _column_energy(values, cfg):
     """Probing pseudo-energy per column; a gap contributes nothing."""
@@ -208,22 +75,18 @@ def _fold_rows(rows: DataFrame, cfg, structure: bool, backend) -> DataFrame:
         run, ddl + (", structure string" if structure else ""))
 
 
-def evaluate_folds(hits: DataFrame, queries: DataFrame, targets: DataFrame, cfg,
-                   backend=fold_equal_length) -> DataFrame:
+def evaluate_folds(hits: DataFrame, queries: DataFrame, targets: DataFrame, cfg, backend) -> DataFrame:
     """Add base-pair supports, structure and folding P-value to hits; weak support lowers the status."""
     if "query_ord" not in hits.columns:
         hits = hits.withColumn("query_ord", F.lit(0).cast("long"))
-    if cfg.temperature != 37.0 or cfg.ribosum_scoring:
-        if backend is fold_equal_length:
-            raise NotImplementedError("the built-in folding model covers 37 degrees without RIBOSUM scoring")
     aligned = hit_alignments(hits, queries, targets, cfg)
     half = lambda x, y: F.zip_with(x, y, lambda p, q: (p + q) / 2)
     base = aligned.withColumn("pseudo", half(F.col("d_energy"), F.col("q_energy")))
     native = _fold_rows(spread_rows(base, *KEYS), cfg, True, backend)
-    with_blocks = base.join(native, KEYS).withColumn("blocks", blocks_of(F.col("structure")))
+    folded = with_blocks(base.join(native, KEYS), KEYS, "structure")
     share = lambda s: s["canonical"] / F.when(s["total"] > 0, s["total"])
     supported = (
-        with_blocks.withColumn("target_bp_support", share(paired_support(F.col("d_gapped"), F.col("blocks"))))
+        folded.withColumn("target_bp_support", share(paired_support(F.col("d_gapped"), F.col("blocks"))))
         .withColumn("query_bp_support", share(paired_support(F.col("q_gapped"), F.col("blocks"))))
         # no pair at all is an undefined share, which does not count as weak
         .withColumn("weak", F.coalesce(F.least("target_bp_support", "query_bp_support") < cfg.min_bp_support,

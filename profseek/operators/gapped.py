@@ -6,20 +6,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _taken(path: Column) -> Column:
-    """For each column, how many values the path has taken up to and including it."""
-    step = lambda s, c: F.concat(s, F.array(
-        F.coalesce(F.element_at(s, -1), F.lit(0)) + F.when(c == "x", 1).otherwise(0)))
-    return F.slice(F.aggregate(F.split(path, ""), F.array(F.lit(0)), step), F.lit(2), F.length(path))
+def _once(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _laid(all_values: Column, n: Column, path: Column, end: Column) -> Column:
+    """Structs (column, gap, value) of the first n values and the gaps before the column `end`, in path order.
+
+    Values go to their columns by number: the k-th value to the k-th column that
+    takes one. So a path is passed once for each kind and its cells sorted, and no
+    array is copied per column.
+    """
+    columns = lambda mark: F.array_compact(F.transform(
+        F.split(path, ""), lambda c, i: F.when(c == mark, i)))
+
+    def cells(values: Column, takes: Column) -> Column:
+        nothing = F.get(F.slice(values, 1, 1), F.lit(1))  # a null of the type of the values
+        used = F.least(F.size(takes), n)
+        placed = F.zip_with(F.slice(takes, F.lit(1), used), F.slice(values, F.lit(1), used), lambda c, v: F.struct(
+            c.alias("column"), F.lit(False).alias("gap"), v.alias("value")))
+        # without such a column every gap is before it
+        gaps = _once(F.coalesce(F.get(takes, end), F.lit(2**31 - 1)), lambda stop: _once(columns("-"), lambda all_: F.filter(
+            all_, lambda c: c < stop)))
+        return F.array_sort(F.concat(placed, F.transform(gaps, lambda c: F.struct(
+            c.alias("column"), F.lit(True).alias("gap"), nothing.alias("value")))))
+
+    return _once(all_values, lambda values: _once(columns("x"), lambda takes: cells(values, takes)))
 
 
 def gapped_bases(bases: Column, path: Column) -> Column:
     """Bases with gaps; stops at a base column without a base, appends bases left over."""
-    letters = F.split(bases, "")
     n = F.length(bases)
-    cells = F.zip_with(F.split(path, ""), _taken(path), lambda c, k: F.struct(c.alias("c"), k.alias("k")))
-    usable = F.filter(cells, lambda s: s["k"] <= n)
-    body = F.transform(usable, lambda s: F.when(s["c"] == "-", "-").otherwise(F.element_at(letters, s["k"])))
+    body = F.transform(_laid(F.split(bases, ""), n, path, n), lambda s: F.when(s["gap"], "-").otherwise(s["value"]))
     used = F.length(F.regexp_replace(path, "-", ""))
     rest = F.when(used < n, F.substring(bases, used + 1, n - used)).otherwise("")
     return F.concat(F.array_join(body, ""), rest)
@@ -28,11 +47,9 @@ def gapped_bases(bases: Column, path: Column) -> Column:
 def gapped_values(values: Column, path: Column) -> Column:
     """Structs (gap, value); columns after the last value are dropped, values left over appended."""
     n = F.size(values)
-    cells = F.zip_with(F.split(path, ""), _taken(path), lambda c, k: F.struct(c.alias("c"), k.alias("k")))
-    # a column counts while values remain before it
-    usable = F.filter(cells, lambda s: (s["k"] - F.when(s["c"] == "x", 1).otherwise(0)) < n)
-    body = F.transform(usable, lambda s: F.struct(
-        (s["c"] == "-").alias("gap"), F.when(s["c"] == "x", F.element_at(values, s["k"])).alias("value")))
+    laid = _laid(values, n, path, n - 1)
+    body = F.transform(F.when(n > 0, laid).otherwise(F.slice(laid, 1, 0)),
+                       lambda s: F.struct(s["gap"].alias("gap"), s["value"].alias("value")))
     used = F.length(F.regexp_replace(path, "-", ""))
     left = F.slice(values, F.least(used, n) + 1, F.greatest(n - used, F.lit(0)))
     return F.concat(body, F.transform(left, lambda v: F.struct(F.lit(False).alias("gap"), v.alias("value"))))

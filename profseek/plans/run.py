@@ -19,9 +19,15 @@ from profseek.sources.text import read_query_text
 
 def run_search(spark: SparkSession, database: str, query: str, output: str, cfg: SearchConfig | None = None,
                overwrite: bool = False, shuffled_db: str | None = None, dump_db: str | None = None,
-               dump_shuffled_db: str | None = None, single_file: bool = False) -> DataFrame:
-    """Search a query file against a database and write params.out, results.out and reports."""
+               dump_shuffled_db: str | None = None, single_file: bool = False, fold_backend=None) -> DataFrame:
+    """Search a query file against a database and write params.out, results.out and reports.
+
+    Evaluating folds needs a folding function (see operators.fold). Invalid files
+    of an XML folder are left out of the search, and each is warned of.
+    """
     cfg = cfg or SearchConfig()
+    if cfg.eval_align_fold and fold_backend is None:
+        raise ValueError("evaluating folds needs a folding function: pass fold_backend")
     ship_package(spark)
     reports.prepare_output(output, overwrite)
     reports.write_text(f"{output}/params.out", cfg.to_toml())
@@ -31,7 +37,7 @@ def run_search(spark: SparkSession, database: str, query: str, output: str, cfg:
         dump(db, dump_db, dump_shuffled_db, cfg)
     hits = checkpointed(search_hits(queries, db, cfg, null_db, sizes=load_sizes(spark, database, db)))
     if cfg.eval_align_fold:
-        hits = checkpointed(evaluate_folds(hits, queries, db, cfg))
+        hits = checkpointed(evaluate_folds(hits, queries, db, cfg, fold_backend))
     table = significance.report_table(hits, cfg.eval_align_fold)
     reports.write_table(table, f"{output}/results.out", single_file)
     reports.write_reports(hits, queries, db, output, cfg)

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -91,15 +92,31 @@ def test_gapped_bases(spark, path, bases, want):
     ("(..(...).(.).)", [(0, 1, 13, 14), (3, 4, 7, 8), (9, 10, 11, 12)]), (".....", []),
     ("(.)((..))", [(0, 1, 2, 3), (3, 5, 7, 9)]), ("((.((.)).(.)))", [(0, 2, 12, 14), (3, 5, 6, 8), (9, 10, 11, 12)])])
 def test_paired_blocks(spark, text, want):
-    assert dotbracket.paired_blocks(text) == want
-    frame = spark.createDataFrame([(text,)], "t string").withColumn("b", dotbracket.blocks_of(F.col("t")))
-    assert frame.select(dotbracket.structure_text(F.col("b"), F.length("t")).alias("x")).first()["x"] == text
+    frame = spark.createDataFrame([(1, text), (2, text), (3, None), (4, "")], "id int, t string")
+    found = {r.id: r for r in dotbracket.with_blocks(frame, ["id"], "t").withColumn(
+        "x", dotbracket.structure_text(F.col("blocks"), F.length("t"))).collect()}
+    for k in (1, 2):
+        assert [tuple(b) for b in found[k].blocks] == want and found[k].x == text
+    assert found[3].blocks is None and found[4].blocks == [] and found[4].x == ""
 
 
 @pytest.mark.parametrize("bad", ["((.)", "(.))", ".)(", "(x)"])
-def test_bad_structures(bad):
-    with pytest.raises(ValueError):
-        dotbracket.paired_blocks(bad)
+def test_bad_structures(spark, bad):
+    with pytest.raises(Exception, match="dot-bracket"):
+        dotbracket.paired_blocks(spark.createDataFrame([(bad,)], "t string"), [], "t").collect()
+
+
+def test_gapped_views_of_long_paths(spark):
+    """Twice the columns take about twice the time, to a hundred thousand of them."""
+    took = {}
+    for n in (1_000, 50_000, 100_000):
+        frame = spark.createDataFrame([("x-" * (n // 2), "ACGT" * (n // 8), [1.0] * (n // 2))], "p string, b string, v array<double>")
+        began = time.time()
+        r = frame.select(gapped.gapped_bases(F.col("b"), F.col("p")).alias("b"),
+                         F.size(gapped.gapped_values(F.col("v"), F.col("p"))).alias("n")).first()
+        took[n] = time.time() - began
+        assert r["b"] == "".join(c + "-" for c in "ACGT" * (n // 8)) and r["n"] == n - 1
+    assert took[100_000] < 4 * took[50_000] + 2
 
 
 @pytest.mark.parametrize("in_block", [False, True])
@@ -123,49 +140,17 @@ def test_column_permutations(spark, in_block):
                 at += width
 
 
-def loop_energy(text, seq, cfg):
-    """Energy of a structure under the built-in model, by walking its loops."""
-    pairs, stack = {}, []
-    for i, c in enumerate(text):
-        if c == "(":
-            stack.append(i)
-        elif c == ")":
-            pairs[stack.pop()] = i
-    kind = {p: n for n, p in enumerate(fold.PAIRS)}
-    total = 0.0
-    for i, j in pairs.items():
-        inner, k = [], i + 1
-        while k < j:
-            if k in pairs:
-                inner.append((k, pairs[k]))
-                k = pairs[k]
-            k += 1
-        if not inner:
-            total += fold._by_size(fold.HAIRPIN, 3, j - i - 1)
-        elif len(inner) == 1:
-            k, e = inner[0]
-            left, right = k - i - 1, j - e - 1
-            total += (fold.STACK[kind[seq[i] + seq[j]], kind[seq[e] + seq[k]]] if not left and not right
-                      else fold._loop(left, right))
-        else:
-            total += fold.MULTI_CLOSE + fold.MULTI_BRANCH * (len(inner) + 1)
-    return total
-
-
-def test_fold_energy_matches_its_structure():
-    rng = np.random.default_rng(3)
-    cfg = SearchConfig()
-    seqs = ["".join(rng.choice(list("ACGT"), 44)) for _ in range(12)] + ["GGGGCCAAAAGGCCCC".ljust(44, "A")]
-    energies, texts = fold.fold_equal_length(seqs, seqs, np.zeros((13, 44)), cfg, True)
-    for e, t, s in zip(energies, texts, seqs):
-        assert e == pytest.approx(loop_energy(t, s, cfg), abs=1e-9) and e <= 0
-    assert texts[-1].startswith("((((((....))))))") and energies[-1] < -8
-    lonely = fold.fold_equal_length(seqs, seqs, np.zeros((13, 44)), cfg.replace(no_lonely_pairs=True))[0]
-    span = fold.fold_equal_length(seqs, seqs, np.zeros((13, 44)), cfg.replace(max_bp_span=10))[0]
-    assert (lonely >= energies - 1e-9).all() and (span >= energies - 1e-9).all()
-
-
 def test_fold_evaluation(spark):
+    def one_stem(targets, queries, pseudo, cfg, structure):
+        """A folding function for tests: the only structure is one stem over the whole alignment."""
+        energies, texts = [], []
+        for t in targets:
+            n = (len(t) - 4) // 2
+            paired = sum(t[i] + t[-1 - i] in ("AT", "TA", "GC", "CG", "GT", "TG") for i in range(n))
+            energies.append(-float(paired))
+            texts.append("(" * n + "." * (len(t) - 2 * n) + ")" * n if 2 * paired > n else "." * len(t))
+        return np.array(energies), texts if structure else None
+
     stem = "GGGCGCGACCAAAAGGTCGCGCCC"
     loose = "AAAAAACAAAAAACAAAAAACAAA"
     cfg = SearchConfig(eval_align_fold=True, shuffles=30, block_size=3)
@@ -176,7 +161,7 @@ def test_fold_evaluation(spark):
          ("q", "s", 1, 0, 0, 0, 23, 0, 23, "x" * 24, "x" * 24, "?")],
         "query_id string, target_id string, target_ord long, q_seed_start long, d_seed_start long, q_start long, "
         "q_end long, d_start long, d_end long, q_path string, t_path string, status string")
-    got = {(r.query_id, r.target_ord): r for r in fold.evaluate_folds(hits, queries, db, cfg).collect()}
+    got = {(r.query_id, r.target_ord): r for r in fold.evaluate_folds(hits, queries, db, cfg, one_stem).collect()}
     best = got["q", 0]
     assert best.target_bp_support == 1.0 and best.status == "!" and best.mfe_pvalue < 0.05
     assert best.dotbracket == "((((((((((....))))))))))"
