@@ -287,9 +287,19 @@ def extend_batch(seeds: list[_Seed], scores: np.ndarray, with_path: bool, cfg):
     if with_path:
         paths = [[a[side][::-1] + "x" * (s.length - 1) + z[side][1:] for a, z, s in zip(up_path, path, seeds)]
                  for side in (0, 1)]
+        check_paths(q0, q1, d0, d1, *paths)
     return best, q0, q1, d0, d1, paths[0], paths[1]
 
 
+def check_paths(q0, q1, d0, d1, q_paths: list[str], t_paths: list[str]) -> None:
+    """Fail unless both paths of every alignment are equally long and take as many values as their ranges have."""
+    for at, (query, target) in enumerate(zip(q_paths, t_paths)):
+        spans = query.count("x"), target.count("x")
+        if len(query) != len(target) or spans != (q1[at] - q0[at] + 1, d1[at] - d0[at] + 1) or any(
+                a == b == "-" for a, b in zip(query, target)):
+            raise ValueError(f"broken alignment of query {q0[at]}-{q1[at]} and target {d0[at]}-{d1[at]}: {query} {target}")
+
+
 def _rows(batch: pa.RecordBatch) -> list[dict]:
     """Rows with values as numpy slices (NaN for missing) and bases as bytes."""
     small = ["q_start", "q_end", "d_start", "d_end", "t_from", "target_len", "trim_start", "trim_end"]

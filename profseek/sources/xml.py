@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from profseek.functions.shared import broadcast_if_small
+from profseek.functions.shared import broadcast_if_small, checkpointed
 from profseek.operators.numbering import number_all
 from profseek.sources.text import NUMBER, parse_values
 
+LOG = logging.getLogger(__name__)
+
 _TEXTS = T.ArrayType(T.StringType())
 _OTHER = T.StructField("xs_any", _TEXTS)  # child elements outside the schema
 
@@ -67,24 +71,35 @@ def parse_xml(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.col("error").isNull(), parse_values(F.col("tokens"))).alias("reactivity"), "error")
 
 
-def problems(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold no valid profile, with the reason."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][mM][lL]").load(path)
-             .select(F.regexp_replace("path", "^file:/+", "file:///").alias("file")))
-    met = parse_xml(spark, path).withColumn("file", F.regexp_replace("file", "^file:/+", "file:///"))
-    return files.join(met.select("file", "error", F.lit(True).alias("seen")), "file", "left").select(
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][mM][lL]").load(path)
+            .select(F.col("_metadata.file_path").alias("file")))
+
+
+def _invalid(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """(file, error) of the files without a valid profile among the parsed rows."""
+    return files.join(rows.select("file", "error", F.lit(True).alias("seen")), "file", "left").select(
         "file", F.when(F.col("seen").isNull(), "missing data tag").otherwise(F.col("error")).alias("error")
     ).where(F.col("error").isNotNull())
 
 
+def problems(spark: SparkSession, path: str) -> DataFrame:
+    """Files that hold no valid profile, with the reason."""
+    return _invalid(_files(spark, path), parse_xml(spark, path))
+
+
 def read_xml(spark: SparkSession, path: str, skip_invalid: bool = False) -> DataFrame:
-    """Profiles from a file (a bad one fails) or a folder (bad ones are skipped), numbered in the order of the files."""
+    """Profiles from a file (a bad one fails) or a folder (bad ones are skipped), numbered in the order of the files.
+
+    A folder is parsed once and the parsed rows are stored; each bad file among
+    them is named in a warning.
+    """
     rows = parse_xml(spark, path).withColumn("ord", F.lit(0).cast("long"))
     if skip_invalid:
-        files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][mM][lL]").load(path)
-                 .select(F.col("_metadata.file_path").alias("file")))
-        rows = rows.where(F.col("error").isNull()).drop("ord").join(
-            broadcast_if_small(number_all(files, "file")), "file")
+        files, rows = checkpointed(number_all(_files(spark, path), "file")), checkpointed(rows)
+        for bad in _invalid(files, rows).toLocalIterator():
+            LOG.warning("left out %s: %s", bad["file"], bad["error"])
+        rows = rows.where(F.col("error").isNull()).drop("ord").join(broadcast_if_small(files), "file")
     stop = F.raise_error(F.concat(F.lit("cannot read "), F.col("file"), F.lit(": "), F.col("error")))
     kept = [F.when(F.col("error").isNull(), F.col(c)).otherwise(stop.cast(rows.schema[c].dataType)).alias(c)
             for c in ("id", "bases", "reactivity")]

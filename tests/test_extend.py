@@ -52,3 +52,10 @@ def test_gaps_do_occur():
     letters = np.full(60, ord("A"), np.uint8)
     *_, paths = extend_direction([(q, t, letters, letters[:58])], np.array([10.0]), True, cfg)
     assert "-" in paths[0][1] and len(paths[0][0]) == len(paths[0][1])
+
+
+def test_broken_paths_fail_the_job():
+    extend.check_paths([3], [5], [7], [10], ["xx-x"], ["xxxx"])
+    for query, target in (("xxx", "xxxx"), ("xxxx", "xxxx"), ("xx-x", "xx-x"), ("xx-x-", "xxxx-")):
+        with pytest.raises(ValueError, match="broken alignment"):
+            extend.check_paths([3], [5], [7], [10], [query], [target])
