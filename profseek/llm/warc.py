@@ -28,31 +28,26 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profseek.functions.shared import broadcast_if_small, filesystem, fresh_path
+from profseek.functions.shared import broadcast_if_small, checkpointed, filesystem, fresh_path
 from profseek.llm.components import stored
 
 #: An archive is closed beyond this size, a block beyond these captures.
 ARCHIVE_BYTES = 256 << 20
 BLOCK_CAPTURES = 2000
 #: Captures of one file range are read by one task.
-READ_BYTES = 64 << 20
+READ_BYTES = 4 << 20  # of an archive, read by one task in order
+TASK_BYTES = 64 << 20  # of records, read by one task
+PART_CAPTURES = 100_000
 LEVEL = 4
 NO_ID = -(1 << 63)
 _CAPTURE = "surt string, page_id long, file string, offset long, length long"
 
 
-@dataclass
-class Archive:
-    records: DataFrame
-    directory: DataFrame
-
-
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -165,9 +160,12 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def build_index(records: DataFrame, folder: str) -> DataFrame:
-    """The sparse directory (part, surt, page_id, file, offset, length) of the sorted blocks written to `folder`."""
+    """The sparse directory (part, surt, page_id, file, offset, length) of the sorted blocks written to `folder`.
+
+    `records` is stored; a part of the index holds about PART_CAPTURES of them.
+    """
     key = F.coalesce("page_id", F.lit(NO_ID))
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(records.sparkSession.sparkContext.defaultParallelism, -(-records.count() // PART_CAPTURES))
     ranged = records.withColumn("page_id", key).repartitionByRange(n, "surt", "page_id").sortWithinPartitions(
         "surt", "page_id", "file", "offset").withColumn("part", F.spark_partition_id())
 
@@ -235,8 +233,11 @@ def lookup(directory: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
 
 def read_records(captures: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """Records at the given places: page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]."""
-    near = captures.repartition(F.col("file"), F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset") \
-        .select("file", "offset", "length")
+    # a place is few bytes but stands for a record: tasks are dealt by the bytes of the records, not of the places
+    places = checkpointed(captures.select("file", "offset", "length"))
+    total = places.agg(F.sum("length")).first()[0] or 0
+    n = max(places.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    near = places.repartition(n, F.col("file"), F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = filesystem(folder)
