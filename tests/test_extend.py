@@ -3,6 +3,7 @@ import pytest
 
 import plain
 from profseek.config import SearchConfig
+from profseek.operators import extend
 from profseek.operators.extend import extend_direction
 
 PARAMS = [
