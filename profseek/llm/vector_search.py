@@ -1,16 +1,18 @@
 """Nearest neighbours by adaptive dimension scans over an inverted list index.
 
 Fitting, on a bounded sample (`Params.fit_rows` vectors, chosen by a hash of
-their ids): a random rotation and the centroids of the lists. Indexing, of every
-vector: its list, and per list column blocks of the rotated vectors beside the
-original ones. Lists are put together to regions of bounded size; a list that
+their ids): a mean, a random rotation and the centroids of the lists. Indexing, of every
+vector: its list, and per list column blocks of the rotated vectors, as seen from
+the centroid and in single precision, beside the original ones. Lists are put together to regions of bounded size; a list that
 holds more, because vectors repeat, is split over several regions.
 
-A query probes the lists of the nearest centroids. In each it adds up squared
+A query probes the same part of the lists at every size, those of the nearest
+centroids. In each it adds up squared
 differences one column block at a time. After a block, the partial distance of a
 random rotation estimates the whole; a candidate is abandoned when a hypothesis
-test says that it lies beyond the k-th best so far. Survivors are measured in
-double precision on the original vectors. Queries meet a region in blocks of
+test says that it lies beyond the k-th best so far, by more than what rounding
+can hide; sums that overflow decide nothing. Survivors are measured in double
+precision on the original vectors. Queries meet a region in blocks of
 bounded size, for which the index is sent once each. The k best of every region are merged
 per query.
 
@@ -38,22 +40,22 @@ from profseek.llm.components import stored
 class Params:
     fit_rows: int = 20_000
     #: Lists are as many as the square root of the rows times this, and no more than a tenth of the sample.
-    lists: float = 0.5
-    #: Part of the lists that a query probes, and how many it probes at least; data without clusters need many.
-    probe: float = 0.75
-    least_probed: int = 24
+    lists: float = 4.0
+    #: Part of the lists that a query probes; data without clusters need many.
+    probe: float = 0.5
     column_block: int = 16
     #: Width of the hypothesis test; larger abandons later.
     epsilon: float = 2.1
     region_rows: int = 2048
-    #: Queries that meet a region at once, about.
-    query_rows: int = 8192
+    #: Queries that meet a region at once, about; the index is sent once for each such block.
+    query_rows: int = 65_536
     seed: int = 11
 
 
 @dataclass
 class Index:
     blocks: DataFrame
+    mean: np.ndarray
     rotation: np.ndarray
     centroids: np.ndarray
     sizes: np.ndarray
@@ -95,15 +97,16 @@ def build(rows: DataFrame, params: Params = Params()) -> Index | None:
         return None
     sample = np.asarray([r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(params.fit_rows).collect()])
     dims = sample.shape[1]
+    mean = (sample / len(sample)).sum(axis=0)
     rotation = np.linalg.qr(np.random.default_rng(params.seed).normal(size=(dims, dims)))[0]
     n = int(min(max(1, params.lists * total ** 0.5), max(1, params.fit_rows // 10)))
-    centres = _centroids(sample, n, params.seed)
+    centres = _centroids(sample - mean, n, params.seed)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) - mean
             at = ((centres ** 2).sum(1) - 2 * x @ centres.T).argmin(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int64())],
                                              ["id", "v", "list"])
@@ -137,18 +140,21 @@ def build(rows: DataFrame, params: Params = Params()) -> Index | None:
         order = np.lexsort((ids, lists))
         out = []
         for rows in np.split(order, np.flatnonzero(np.diff(lists[order])) + 1):
-            turned = (x[rows] @ rotation).astype(np.float32).T
-            out.append((int(table.column("region")[0].as_py()), int(lists[rows[0]]), ids[rows].tobytes(),
+            seen = (x[rows] - mean - centres[lists[rows[0]]]) @ rotation
+            with np.errstate(over="ignore"):
+                turned = seen.astype(np.float32).T
+            out.append((int(table.column("region")[0].as_py()), int(lists[rows[0]]),
+                        float(np.linalg.norm(seen, axis=1).max()), ids[rows].tobytes(),
                         [np.ascontiguousarray(turned[k:k + params.column_block]).tobytes()
                          for k in range(0, dims, params.column_block)], x[rows].tobytes()))
         return pa.Table.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(
-            (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary()))],
-            ["region", "list", "ids", "columns", "originals"])
+            (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.binary()))],
+            ["region", "list", "reach", "ids", "columns", "originals"])
 
     dealt = assigned.mapInArrow(place, "id long, v array<double>, list long, region long")
     built = dealt.groupBy("region").applyInArrow(
-        blocks, "region long, list long, ids binary, columns array<binary>, originals binary")
-    return Index(stored(built, "vector-index"), rotation, centres, sizes, first, parts)
+        blocks, "region long, list long, reach double, ids binary, columns array<binary>, originals binary")
+    return Index(stored(built, "vector-index"), mean, rotation, centres, sizes, first, parts)
 
 
 class _Best:
@@ -167,8 +173,12 @@ class _Best:
 
 
 def scan(best: _Best, own: int, query: np.ndarray, turned: np.ndarray, ids: np.ndarray, columns: list[np.ndarray],
-         originals: np.ndarray, epsilon: float) -> int:
-    """Add a list's candidates to `best`; returns how many had to be measured whole."""
+         originals: np.ndarray, rounding: float, epsilon: float) -> int:
+    """Add a list's candidates to `best`; returns how many had to be measured whole.
+
+    `turned` and `columns` are seen from the list's centroid; `rounding` bounds
+    what single precision adds to or takes from one of their distances.
+    """
     dims, seen = len(query), 0
     alive = np.flatnonzero(ids != own)
     partial = np.zeros(len(alive), np.float32)
@@ -187,26 +197,29 @@ def scan(best: _Best, own: int, query: np.ndarray, turned: np.ndarray, ids: np.n
             alive, partial = alive[rest], partial[rest]
         bound = best.bound()
         if seen < dims and bound < float("inf"):
-            stay = partial * (dims / seen) <= bound * (1 + epsilon / seen ** 0.5) ** 2 * (1 + 1e-5)
+            reach = bound ** 0.5 * (1 + epsilon / seen ** 0.5) * (seen / dims) ** 0.5 * (1 + 1e-5) + rounding
+            stay = (partial <= reach * reach) | ~np.isfinite(partial)
             alive, partial = alive[stay], partial[stay]
         if not len(alive):
             return 0
-    near = alive[partial <= best.bound() * (1 + 1e-4) + 1e-12]
+    reach = best.bound() ** 0.5 * (1 + 1e-5) + rounding
+    near = alive[(partial <= reach * reach) | ~np.isfinite(partial)]
     best.add(ids[near], ((originals[near] - query) ** 2).sum(axis=1))
     return len(near)
 
 
 def search(index: Index, queries: DataFrame, k: int = 10, params: Params = Params()) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found; `queries` has id and v like `vectors`."""
-    centres, sizes, rotation = index.centroids, index.sizes, index.rotation
+    centres, sizes, mean, rotation = index.centroids, index.sizes, index.mean, index.rotation
     dims = len(rotation)
-    n_probe = max(params.least_probed, round(params.probe * len(centres)))
+    n_probe = int(np.ceil(params.probe * len(centres)))
+    turned_centres, far = centres @ rotation, np.linalg.norm(centres, axis=1)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims) - mean
             order = np.argsort((centres ** 2).sum(1) - 2 * x @ centres.T, axis=1, kind="stable")
             row, region, lists = [], [], []
             for i in range(len(x)):
@@ -228,19 +241,29 @@ def search(index: Index, queries: DataFrame, k: int = 10, params: Params = Param
 
     def nearest(blocks: pa.Table, asked: pa.Table) -> pa.Table:
         there = {}
-        for r in blocks.select(["list", "ids", "columns", "originals"]).to_pylist():
+        for r in blocks.select(["list", "reach", "ids", "columns", "originals"]).to_pylist():
             ids = np.frombuffer(r["ids"], np.int64)
             there[r["list"]] = (ids, [np.frombuffer(c, np.float32).reshape(-1, len(ids)) for c in r["columns"]],
-                                np.frombuffer(r["originals"], float).reshape(len(ids), dims))
+                                np.frombuffer(r["originals"], float).reshape(len(ids), dims), r["reach"])
         query_id, vec_id, score = [], [], []
-        for r in asked.select(["query_id", "v", "lists"]).to_pylist():
-            query, best = np.asarray(r["v"]), _Best(k)
-            turned = (query @ rotation).astype(np.float32)
-            for at in r["lists"]:
+        if not asked.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
+                             "score": pa.array([], pa.float64())})
+        lists = asked.column("lists").combine_chunks()
+        ends, lists = lists.offsets.to_numpy(), lists.values.to_numpy()
+        queries = asked.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        for row, own in enumerate(asked.column("query_id").to_pylist()):
+            query, best = queries[row], _Best(k)
+            turned = (query - mean) @ rotation
+            size = np.linalg.norm(turned)
+            for at in lists[ends[row]:ends[row + 1]].tolist():
                 if at in there:
-                    ids, columns, originals = there[at]
-                    scan(best, r["query_id"], query, turned, ids, columns, originals, params.epsilon)
-            query_id += [r["query_id"]] * len(best.ids)
+                    ids, columns, originals, reach = there[at]
+                    seen = turned - turned_centres[at]
+                    rounding = 2.0 ** -21 * (reach + np.linalg.norm(seen)) + 2.0 ** -40 * (size + far[at])
+                    scan(best, own, query, seen.astype(np.float32), ids, columns, originals, float(rounding),
+                         params.epsilon)
+            query_id += [own] * len(best.ids)
             vec_id.append(best.ids)
             score.append(np.sqrt(best.squares))
         return pa.Table.from_arrays(

@@ -184,7 +184,7 @@ def test_vector_search(spark):
     odd = [(90_000, None), (90_100, [0.0] * 24), (90_200, [1.0] * 23 + [None]), (90_300, [1.0] * 23 + [float("nan")]),
            (90_400, [1.0] * 23 + [float("inf")]), (90_500, [1.0] * 3), (None, [1.0] * 24)]
     frame = spark.createDataFrame([(*r, "x") for r in good + odd], "vec_id long, embedding array<double>, region string")
-    params = vector_search.Params(region_rows=128, least_probed=1)
+    params = vector_search.Params(region_rows=128)
     got = collections.defaultdict(list)
     for r in vector_search.nearest_neighbours(frame, params=params).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
@@ -206,6 +206,19 @@ def test_vector_search(spark):
     assert vector_search.nearest_neighbours(few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scale, offset", [(1.0, 1e8), (1e20, 0.0), (1e-25, 0.0), (1.0, -1e12)])
+def test_vector_search_shifted_and_scaled(spark, scale, offset):
+    rng = np.random.default_rng(4)
+    rows = [(n, (v * scale + offset).tolist()) for n, v in enumerate(rng.normal(size=(900, 32)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = vector_search.Params(region_rows=256, probe=1.0)
+    got = collections.defaultdict(set)
+    for r in vector_search.nearest_neighbours(frame, params=whole).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = [len(got[q[0]] & {i for i, _ in brute_nearest(rows, q, 10)}) for q in rows[::100]]
+    assert sum(hits) >= 0.97 * 90
+
+
 PAGES = [(i, f"https://user@H{i % 3}.Example.com:80/p/{i % 7}?q={i % 5}#f", f"<p>page {i % 11} é</p>" * (i % 4))
          for i in range(90)]
 PAGES += [(500, None, None), (501, "", ""), (502, "http://bad host/\r\nX: y\t", "a\r\n\r\nb"), (None, "http://x/", "alone"),
