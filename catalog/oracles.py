@@ -257,6 +257,8 @@ _BODIES = {
     "display_bases": "SELECT id, CASE WHEN n % 2 = 0 THEN replace(b, 'T', 'U') ELSE b END AS shown FROM pwide",
     "display_number": f"SELECT event_id, {shown_number('x')} AS shown FROM (SELECT event_id, value / 7000.0 / pow(10.0, event_id % 12) AS x FROM events)",
     "rolling_stats": f"""SELECT id AS target_id, pos AS d_pos, round(list_avg(filled), 8) AS mean, round(list_aggregate(filled, 'stddev_pop'), 6) AS sigma FROM pwin WHERE k = {K}""",
+    "window_distances": """SELECT query_id, q_pos, target_id, count(*) AS n, round(min(dist), 6) AS nearest, round(max(dist), 6) AS farthest,
+ round(sum(dist * (d_pos + 1)), 4) AS weighted FROM dist GROUP BY ALL""",
     "distance_threshold": """SELECT query_id, q_pos, target_id, n, round(m, 6) AS mean_dist, round(sd, 6) AS sd_dist, round(lim, 6) AS max_dist FROM stat""",
     "match_kmers_all": f"{_HITS} hit",
     "match_kmers_tiled": f"{_HITS} hit",
@@ -319,6 +321,7 @@ _BODIES = {
     "pair_support": f"""SELECT x.id, count(*) AS total, count(*) FILTER (WHERE (b || b)[ix + 1] || (b || b)[j + 1]
  IN ('AT', 'TA', 'GT', 'TG', 'GC', 'CG')) AS canonical FROM ({_STEMS}) x JOIN pwide f ON f.id = x.id GROUP BY x.id""",
     "native_codec": _CHECK,
+    "profile_files": _CHECK,
     "text_source": _CHECK,
     "xml_source": _CHECK,
     "first_of_name": """SELECT CAST(user_id AS VARCHAR) AS id, round(arg_min(top, d), 6) AS top FROM (SELECT user_id, day(ts) AS d, max(value) AS top FROM events GROUP BY 1, 2)

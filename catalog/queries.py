@@ -12,12 +12,13 @@ from catalog.views import CFG
 from profseek.functions import scalars as S
 from profseek.functions.shared import checkpointed, fresh_path, ship_package
 from profseek.operators import columns, dotbracket, gapped, kmers, nulls, seeds, significance, tiles
-from profseek.operators.distance import kmer_names, match_kmers, reached_islands, window_stats
+from profseek.operators.distance import distance_profiles, kmer_names, match_kmers, reached_islands, window_stats
 from profseek.operators.extend import extend_seeds
 from profseek.plans import search
 from profseek.sinks import reports
 from profseek.sources.load import first_by_id, load_profiles
 from profseek.sources.native import read_native, write_native
+from profseek.sources.profile_files import register
 from profseek.sources.text import read_query_text
 
 # gaps and drop-off switched off: an extension is then the best prefix sum on each side
@@ -252,6 +253,19 @@ def rolling_stats(s: Source):
     return w.select("target_id", "d_pos", F.round("mean", 8).alias("mean"), r6(F.sqrt(spread / k)).alias("sigma"))
 
 
+@query
+def window_distances(s: Source):
+    """The distances themselves, summed up with their places per (query window, target)."""
+    laid = F.arrays_zip("d_pos", "dist")
+    weighted = F.aggregate(laid, F.lit(0.0), lambda a, x: a + x["dist"] * (x["d_pos"] + 1))
+    rows = distance_profiles(s.tiles(CFG.replace(tile_len=16)), s.prepared().blocks, CFG.replace(tile_len=16)).select(
+        "query_id", "q_pos", "target_id", F.size("dist").alias("n"), F.array_min("dist").alias("nearest"),
+        F.array_max("dist").alias("farthest"), weighted.alias("weighted"))
+    return rows.groupBy("query_id", "q_pos", "target_id").agg(
+        F.sum("n").cast("long").alias("n"), r6(F.min("nearest")).alias("nearest"), r6(F.max("farthest")).alias("farthest"),
+        F.round(F.sum("weighted"), 4).alias("weighted"))
+
+
 @query
 def distance_threshold(s: Source):
     """Moments and threshold of the distances per (query window, target)."""
@@ -633,6 +647,15 @@ def native_codec(s: Source):
     return _profile_check(read_native(s.spark, path, 4096))
 
 
+@query
+def profile_files(s: Source):
+    """Profiles written and read back by the data source of binary files."""
+    register(s.spark)
+    path = fresh_path(s.spark, "profiles")
+    s.db.write.format("profiles").mode("append").save(path)
+    return _profile_check(s.spark.read.format("profiles").option("splitBytes", 4096).load(path))
+
+
 @query
 def text_source(s: Source):
     """Profiles written as query text and parsed again."""

@@ -290,6 +290,8 @@ def _island_batch(batch: pa.RecordBatch, tiles: _Tiles, block: dict, hits, cfg)
 HIT_DDL = "query_id string, target_id string, target_ord long, q_pos long, d_pos long"
 REACHED_DDL = ("query_id string, target_id string, target_ord long, target_len long, diag long, q_first long, "
                "q_last long, n_kmers long, t_from long, t_bases string, t_values array<double>")
+PROFILE_DDL = ("query_id string, q_pos long, target_id string, target_ord long, d_pos array<long>, "
+               "dist array<double>")
 MOMENT_DDL = ("target_id string, target_ord long, block long, n long, last_tile long, s1 array<double>, "
               "s2 array<double>")
 
@@ -315,6 +317,44 @@ def _map_pieces(source: DataFrame, blocks: QueryBlocks, cfg, ddl: str, emit) ->
     return source.mapInArrow(run, ddl)
 
 
+def distance_profiles(db: TiledDb, blocks: QueryBlocks, cfg) -> DataFrame:
+    """Distances of each query window to all windows of each target tile, with their places in the target.
+
+    Windows without spread have no distance and are left out. A row holds at most
+    one tile, and what a task holds is bounded by a step of the join.
+    """
+
+    def run(batches):
+        for batch in batches:
+            tiles = _Tiles(batch, cfg.kmer_len)
+            for block in blocks:
+                if block is None:
+                    continue
+                for lo, hi in tiles.pieces(block["normal"].shape[1]):
+                    found = tiles.windows(lo, hi)
+                    if found is None:
+                        continue
+                    normal, cells, rows = found
+                    starts, row_ids = _runs(rows)
+                    sizes = np.diff(np.r_[starts, len(rows)])
+                    place = cells - tiles.offsets[rows] + tiles.tile_start[rows]
+                    for step in _steps(block["normal"].shape[1], len(rows)):
+                        dist, _ = _distances(normal, block["normal"][:, step], cfg.kmer_len)
+                        width = dist.shape[1]
+                        bounds = pa.array(np.r_[0, np.cumsum(np.tile(sizes, width))].astype(np.int32))
+                        take = pa.array(np.tile(row_ids, width))
+                        kmer = np.repeat(np.arange(step.start, step.start + width), len(row_ids))
+                        yield pa.RecordBatch.from_pydict({
+                            "query_id": block["ids"].take(pa.array(block["query"][kmer])),
+                            "q_pos": pa.array(block["q_pos"][kmer].astype(np.int64)),
+                            "target_id": batch.column("target_id").take(take),
+                            "target_ord": batch.column("target_ord").take(take),
+                            "d_pos": pa.ListArray.from_arrays(bounds, pa.array(np.tile(place, width).astype(np.int64))),
+                            "dist": pa.ListArray.from_arrays(bounds, pa.array(dist.T.ravel()))})
+
+    return _kernel_input(db.tiles, cfg).mapInArrow(run, PROFILE_DDL)
+
+
 def _short(db: TiledDb, cfg) -> DataFrame:
     tiles = _kernel_input(db.tiles, cfg)
     return tiles.where(F.col("target_len") <= cfg.tile_len) if db.has_long else tiles

@@ -100,6 +100,19 @@ def _batch(rows) -> pa.RecordBatch:
         "molecule": pa.array(["DNA"] * len(names))})
 
 
+def decoded_batches(stream, start: int, end: int, number: int):
+    """Batches of bounded size of the records between two offsets."""
+    held, cells = [], 0
+    for record in _decode(stream, start, end, number):
+        held.append(record)
+        cells += len(record[3])
+        if cells >= BATCH_CELLS:
+            yield _batch(held)
+            held, cells = [], 0
+    if held:
+        yield _batch(held)
+
+
 def record_runs(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Splits of all files, found from the record heads only."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][bB]").load(path)
@@ -137,15 +150,7 @@ def read_native(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES)
             for row in batch.to_pylist():
                 fs, inner = filesystem(row["path"])
                 with fs.open_input_file(inner) as stream:
-                    held, cells = [], 0
-                    for record in _decode(stream, row["start"], row["end"], row["first"]):
-                        held.append(record)
-                        cells += len(record[3])
-                        if cells >= BATCH_CELLS:
-                            yield _batch(held)
-                            held, cells = [], 0
-                    if held:
-                        yield _batch(held)
+                    yield from decoded_batches(stream, row["start"], row["end"], row["first"])
 
     return spread_rows(splits, "path", "start", wide=True).mapInArrow(
         decode, "id string, ord long, bases string, reactivity array<double>, molecule string")
@@ -167,6 +172,17 @@ def footer(count: int) -> bytes:
     return struct.pack("<QH", count, VERSION) + MARKER
 
 
+def encode_batch(batch: pa.RecordBatch, out) -> None:
+    """Append the records of a batch with id, bases and reactivity to a stream."""
+    lists = batch.column("reactivity")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = np.where(np.isnan(flat), -999.0, flat)
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    names, bases = batch.column("id").to_pylist(), batch.column("bases").to_pylist()
+    for name, letters, a, b in zip(names, bases, bounds[:-1], bounds[1:]):
+        out.write(encode_record(name, letters, flat[a:b]))
+
+
 def write_native(profiles: DataFrame, path: str) -> int:
     """Write a folder of part-N.db files, each complete in itself; returns the number of records."""
     target = file_uri(path)
@@ -181,13 +197,7 @@ def write_native(profiles: DataFrame, path: str) -> int:
         draft, count = f"{inner}/.part-{part:05d}-{attempt}", 0
         with fs.open_output_stream(draft) as out:
             for batch in batches:
-                lists = batch.column("reactivity")
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                flat = np.where(np.isnan(flat), -999.0, flat)
-                bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                names, bases = batch.column("id").to_pylist(), batch.column("bases").to_pylist()
-                for name, letters, a, b in zip(names, bases, bounds[:-1], bounds[1:]):
-                    out.write(encode_record(name, letters, flat[a:b]))
+                encode_batch(batch, out)
                 count += batch.num_rows
             out.write(footer(count))
         if count:

@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import make, profiles
 from profseek.config import SearchConfig
@@ -10,6 +11,7 @@ from profseek.plans.run import dump, run_search
 from profseek.sinks import reports
 from profseek.sources.load import first_by_id, load_profiles
 from profseek.sources.native import encode_record, footer, read_native, write_native, write_native_file
+from profseek.sources.profile_files import register
 from profseek.sources.text import read_query_text
 from profseek.sources.xml import problems, read_xml
 
@@ -98,6 +100,37 @@ def test_native_round_trip(spark, tmp_path):
         r[0] for r in rows]
 
 
+def test_profile_files(spark, tmp_path):
+    register(spark)
+    rows = [(f"r{n}", n, "ACGTN" * n, [None if i % 7 == 3 else i / 8 for i in range(5 * n)], "DNA") for n in range(1, 9)]
+    frame = spark.createDataFrame(rows, "id string, ord long, bases string, reactivity array<double>, molecule string")
+    folder = str(tmp_path / "p")
+    frame.repartition(3).write.format("profiles").mode("append").save(folder)
+    for split in (1, 200, 1 << 20):
+        got = spark.read.format("profiles").option("splitBytes", split).load(folder).collect()
+        assert sorted((r.id, r.bases, r.reactivity) for r in got) == sorted((r[0], r[2], r[3]) for r in rows)
+        assert sorted(r.ord for r in got) == list(range(8))
+    as_function = read_native(spark, folder).collect()
+    assert sorted(map(tuple, as_function)) == sorted(map(tuple, got))
+
+    before = sorted(p.name for p in (tmp_path / "p").iterdir())
+    broken = frame.withColumn("bases", F.when(F.col("ord") != 8, F.col("bases")))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="cannot be written"):
+            broken.write.format("profiles").mode(mode).save(folder)
+        assert sorted(p.name for p in (tmp_path / "p").iterdir()) == before
+    frame.where("ord < 3").write.format("profiles").mode("overwrite").save(folder)
+    assert sorted(r.id for r in spark.read.format("profiles").load(folder).collect()) == ["r1", "r2"]
+    frame.where("ord = 5").write.format("profiles").mode("append").save(folder)
+    assert spark.read.format("profiles").load(folder).count() == 3
+    frame.limit(0).write.format("profiles").mode("overwrite").save(folder)
+    assert spark.read.format("profiles").load(folder).count() == 0
+    write_native_file(frame, str(tmp_path / "one.db"))
+    assert spark.read.format("profiles").option("splitBytes", 1).load(str(tmp_path / "one.db")).count() == 8
+    with pytest.raises(Exception, match="lack the columns"):
+        frame.drop("bases").write.format("profiles").mode("append").save(folder)
+
+
 def test_native_errors(spark, tmp_path):
     good = encode_record("a", "ACGT", np.arange(4.0))
     for name, content in {"marker": good + footer(1)[:-1] + b"x", "short": b"abc",
