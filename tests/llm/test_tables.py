@@ -288,11 +288,32 @@ def test_pipeline_stages(spark, docs, word_bpe):
     assert {r["doc_id"] for r in seen[4]} == set(range(12))
 
 
+def test_pipeline_odd_rows(spark, docs):
+    """Null, empty and very long texts, null ids and sources, repeated rows, an empty table, clashing columns."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    good = [" ".join(rng.choice(["the", "of", "and", "a"]) if rng.random() < 0.3 else f"k{rng.randrange(9000)}"
+                     for _ in range(80)) for _ in range(4)]
+    rows = [(1, good[0], "s"), (1, good[0], "s"), (2, good[1], None), (3, good[0], "t"), (None, good[2], "s"), (4, good[3])]
+    rows += [(100 + n, text) for n, text in enumerate(ODD_TEXTS)]
+    left = []
+    for frame in (docs(*rows), docs()):
+        for name, stage in corpus_pipeline.STAGES:
+            frame = components.stored(stage(spark, frame, ""), "test-odd")
+            if name != "best_fit_packing":
+                assert frame.columns == docs().columns
+        left.append(frame)
+    found = collections.Counter(r["doc_id"] for r in left[0].collect())
+    assert found == {1: 2, 2: 1, None: 1, 4: 1}
+    assert left[1].count() == 0 and left[1].columns == left[0].columns
+
+
 def test_registered_queries_have_names():
     from profseek.llm.oracles import ORACLES
     from profseek.llm.queries import REGISTRY
 
-    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in REGISTRY) == list(range(1, 14))
     assert set(ORACLES) <= set(REGISTRY)
 
 
