@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from catalog import gapped_sql
+
 K, GAP, SEED = 8, 28, 42
 
 
@@ -109,6 +111,8 @@ CTES["ext"] = f"""SELECT query_id, target_id, q_start AS q_seed_start, q_end AS
  SELECT s.*, CASE WHEN u.total >= s.up_score THEN u.total ELSE s.up_score END AS raw_score,
  CASE WHEN u.total >= s.up_score THEN u.i0 ELSE 0 END AS down_n FROM upped s LEFT JOIN down_best u USING ({_KEY}))"""
 
+CTES |= gapped_sql.extension("sides", -2.0, -0.5, reach, pair)
+
 # --- significance -------------------------------------------------------------
 
 CTES["fit"] = """SELECT query_id, n_null, mean - 0.5772156649015329 * scale AS location, scale FROM (SELECT query_id, count(*) AS n_null,
@@ -214,7 +218,7 @@ def sql(body: str) -> str:
             need.add(name)
             todo += DEPENDS[name]
     chain = ", ".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in CTES if n in need)
-    return f"WITH {chain} {body}" if chain else body
+    return f"WITH RECURSIVE {chain} {body}" if chain else body
 
 
 _SEED = "query_id, target_id, q_start, q_end, d_start, d_end"
@@ -283,6 +287,7 @@ _BODIES = {
  FROM pos_seed) WHERE rn <= 20""",
     "ungapped_extend": f"SELECT {_HIT}, round(raw_score, 6) AS raw_score, {_PATH} AS q_path, {_PATH} AS t_path FROM ext",
     "norm_score": f"SELECT {_HIT}, round(score, 6) AS score FROM ext",
+    "banded_extend": f"SELECT {_HIT}, round(score, 6) AS score, q_path, t_path FROM gapped",
     "shuffle_count": "SELECT count(*) AS cells, greatest(1, 500000 // count(*)) AS per_profile FROM p",
     "chunk_layout": f"""SELECT id, n, block_offset, CASE WHEN block_offset > 0 THEN 1 ELSE 0 END + (n - block_offset) // 10 + CASE WHEN (n - block_offset) % 10 > 0 THEN 1 ELSE 0 END AS chunks
  FROM (SELECT id, n, CASE WHEN n % 10 > 0 THEN {num(f"concat_ws(':', {SEED}, 'offset', id)")} % (n % 10) ELSE 0 END AS block_offset FROM pwide)""",

@@ -412,9 +412,12 @@ def norm_score(s: Source):
 
 @query
 def banded_extend(s: Source):
-    """Gapped extension with default penalties scaled to short profiles."""
+    """Gapped extension with default penalties scaled to short profiles.
+
+    It starts from seed scores of six digits: ties between steps are common, and the last bits of a sum would decide them.
+    """
     cfg = CFG.replace(align_gap_open_penalty=-2.0, align_gap_ext_penalty=-0.5)
-    return extend_seeds(s.seeds(), cfg).select(*HIT, r6("score").alias("score"), "q_path", "t_path")
+    return extend_seeds(s.seeds().withColumn("seed_score", r6("seed_score")), cfg).select(*HIT, r6("score").alias("score"), "q_path", "t_path")
 
 
 # --- null model ---------------------------------------------------------------
