@@ -149,6 +149,18 @@ CTES["shown"] = """SELECT f.*, (SELECT string_agg(base, '' ORDER BY pos) FROM q
  (SELECT string_agg(base, '' ORDER BY pos) FROM p WHERE p.id = f.target_id AND p.pos BETWEEN f.d_start AND f.d_end) AS db
  FROM final f WHERE status = '!'"""
 
+# the same chain for gapped hits
+_TAIL = "sig rep rep_rank rep_pair rep_stop rep_lost rep_kept final shown".split()
+for _name in _TAIL:
+    CTES[f"gap_{_name}"] = re.sub(r"\b(" + "|".join(_TAIL) + r")\b", r"gap_\1", CTES[_name]).replace("FROM ext e", "FROM gapped e")
+
+
+def laid(values: str, path: str, gap: str, cell: str) -> str:
+    """Cells of a path: `gap` where it has one, else `cell` of the next value x."""
+    at = f"{values}[length(replace({path}[1:i], '-', ''))]"
+    return (f"list_transform(range(1, length({path}) + 1), lambda i: CASE WHEN {path}[i] = '-' THEN {gap} "
+            f"ELSE {cell.replace('@', at)} END)")
+
 
 def shown_number(x: str) -> str:
     return (f"CASE WHEN {x} >= 0.1 THEN printf('%.3f', {x}) ELSE regexp_replace(printf('%.3e', {x}), "
@@ -192,9 +204,9 @@ CTES["null_first"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 CTES["full_fit"] = """SELECT query_id, n_null, mean - 0.5772156649015329 * scale AS location, scale FROM (SELECT query_id, count(*) AS n_null,
  avg(score) AS mean, coalesce(sqrt(var_samp(score) * 6.0 / (pi() * pi())), 0.0) AS scale FROM null_first GROUP BY query_id)"""
-_TAIL = "fit sig rep rep_rank rep_pair rep_stop rep_lost rep_kept final".split()
-for _name in _TAIL[1:]:
-    CTES[f"full_{_name}"] = re.sub(r"\b(" + "|".join(_TAIL) + r")\b", r"full_\1", CTES[_name])
+_FULL = "fit sig rep rep_rank rep_pair rep_stop rep_lost rep_kept final".split()
+for _name in _FULL[1:]:
+    CTES[f"full_{_name}"] = re.sub(r"\b(" + "|".join(_FULL) + r")\b", r"full_\1", CTES[_name])
 
 _ODD = num(f"concat_ws(':', {SEED}, id, 'odd')")
 CTES["colsize"] = f"""SELECT id, b, n, n % 3 AS odd, CASE WHEN n % 3 > 0 THEN {_ODD} % (n // 3 + 1) ELSE -1 END AS odd_at FROM pwide"""
@@ -334,6 +346,26 @@ _BODIES = {
 }
 
 _BODIES["ungapped_extend_tiled"] = _BODIES["ungapped_extend"]
+_BODIES["result_table_gapped"] = _BODIES["result_table"].replace("FROM final", "FROM gap_final")
+for _kind in ("fasta", "stockholm"):
+    _BODIES[f"{_kind}_text_gapped"] = _BODIES[f"{_kind}_text"].replace("FROM shown", """FROM (SELECT * REPLACE (
+ """ + ", ".join(f"array_to_string({laid(b, t, chr(39) + '-' + chr(39), '@')}, '') AS {b}" for b, t in (("qb", "q_path"), ("db", "t_path")))
+        + ") FROM gap_shown)")
+
+
+def _json(values: str, path: str) -> str:
+    # numbers below 0.001 have an exponent, and always a digit after the point
+    text = "CAST(CAST(@ AS FLOAT) AS VARCHAR)"
+    tiny = f"regexp_replace(regexp_replace({text}, '^0[.]000([1-9])', '\\1.'), '[.]$', '.0') || 'E-4'"
+    tinier = f"regexp_replace(regexp_replace({text}, 'e-0?', 'E-'), '^([0-9])E', '\\1.0E')"
+    cell = f"""CASE WHEN @ IS NULL THEN '"NaN"' WHEN @ = 0 OR @ >= 0.001 THEN {text} WHEN @ >= 0.0001 THEN {tiny} ELSE {tinier} END"""
+    return f"'[' || array_to_string({laid(values, path, chr(39) + 'null' + chr(39), cell)}, ',') || ']'"
+
+
+_BODIES["reactivity_json_gapped"] = f"""SELECT name, '{{"query":' || {_json('qr', 'q_path')} || ',"queryId":"' || query_id || '","queryFrom":'
+ || q_start || ',"queryTo":' || q_end || ',"target":' || {_json('dr', 't_path')} || ',"targetId":"' || target_id || '","targetFrom":'
+ || d_start || ',"targetTo":' || d_end || '}}' AS text FROM (SELECT s.*, k.v[q_start + 1:q_end + 1] AS qr, t.v[d_start + 1:d_end + 1] AS dr
+ FROM gap_shown s JOIN qwide k ON k.id = s.query_id JOIN pwide t ON t.id = s.target_id)"""
 _BODIES["search_ungapped"] = _BODIES["result_table"].replace("FROM final", "FROM full_final")
 _BODIES["search_ungapped_tiled"] = _BODIES["search_ungapped"]
 

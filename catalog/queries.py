@@ -23,6 +23,8 @@ from profseek.sources.text import read_query_text
 
 # gaps and drop-off switched off: an extension is then the best prefix sum on each side
 UNGAPPED = CFG.replace(align_gap_open_penalty=-1e6, align_gap_ext_penalty=-1e6, align_max_drop_off_rate=0.0)
+# the default penalties scaled to short profiles
+GAPPED = CFG.replace(align_gap_open_penalty=-2.0, align_gap_ext_penalty=-0.5)
 
 
 class Source:
@@ -78,14 +80,19 @@ class Source:
     def extended(self, cfg=CFG) -> DataFrame:
         return extend_seeds(self.seeds(cfg), UNGAPPED.replace(tile_len=cfg.tile_len))
 
-    def significant(self) -> DataFrame:
-        """Ungapped hits with E-values; the fit uses the seed scores, so that SQL can repeat it."""
-        hits = checkpointed(self.extended())
+    def gapped(self) -> DataFrame:
+        """Gapped hits from seed scores of six digits: ties between steps are common, and the last bits of a sum
+        would decide them."""
+        return extend_seeds(self.seeds().withColumn("seed_score", r6("seed_score")), GAPPED)
+
+    def significant(self, hits: DataFrame | None = None) -> DataFrame:
+        """Hits, ungapped unless given, with E-values; the fit uses the seed scores, so that SQL can repeat it."""
+        hits = checkpointed(self.extended() if hits is None else hits)
         fits = nulls.gumbel_fit(hits.select("query_id", F.col("seed_score").alias("score")))
         return significance.with_evalue(significance.with_pvalue(hits, fits))
 
-    def reported(self) -> DataFrame:
-        kept = significance.remove_overlaps(significance.reportable(self.significant(), CFG), CFG)
+    def reported(self, hits: DataFrame | None = None) -> DataFrame:
+        kept = significance.remove_overlaps(significance.reportable(self.significant(hits), CFG), CFG)
         return significance.with_status(kept, CFG)
 
 
@@ -412,12 +419,8 @@ def norm_score(s: Source):
 
 @query
 def banded_extend(s: Source):
-    """Gapped extension with default penalties scaled to short profiles.
-
-    It starts from seed scores of six digits: ties between steps are common, and the last bits of a sum would decide them.
-    """
-    cfg = CFG.replace(align_gap_open_penalty=-2.0, align_gap_ext_penalty=-0.5)
-    return extend_seeds(s.seeds().withColumn("seed_score", r6("seed_score")), cfg).select(*HIT, r6("score").alias("score"), "q_path", "t_path")
+    """Gapped extension with both paths."""
+    return s.gapped().select(*HIT, r6("score").alias("score"), "q_path", "t_path")
 
 
 # --- null model ---------------------------------------------------------------
@@ -587,6 +590,34 @@ def reactivity_json(s: Source):
         F.get_json_object(text, "$.target[0]").alias("first_target"))
 
 
+def _gapped_records(s: Source) -> DataFrame:
+    return reports.with_records(s.reported(s.gapped()), s.queries, s.rows)
+
+
+@query
+def result_table_gapped(s: Source):
+    """The printed table of gapped hits."""
+    return _with_score(significance.report_table(s.reported(s.gapped())))
+
+
+@query
+def fasta_text_gapped(s: Source):
+    """FASTA text of significant gapped hits."""
+    return _gapped_records(s).select(reports.file_stem().alias("name"), reports.fasta_text().alias("text"))
+
+
+@query
+def stockholm_text_gapped(s: Source):
+    """Stockholm text of significant gapped hits."""
+    return _gapped_records(s).select(reports.file_stem().alias("name"), reports.stockholm_text().alias("text"))
+
+
+@query
+def reactivity_json_gapped(s: Source):
+    """The whole reactivity JSON of significant gapped hits."""
+    return _gapped_records(s).select(reports.file_stem().alias("name"), reports.reactivity_json().alias("text"))
+
+
 @query
 def gapped_render(s: Source):
     """Bases laid over a path whose gaps are the N cells."""
