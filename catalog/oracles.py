@@ -346,6 +346,7 @@ _BODIES = {
 }
 
 _BODIES["ungapped_extend_tiled"] = _BODIES["ungapped_extend"]
+_BODIES["null_scores_stored"] = _BODIES["null_scores_ungapped"]
 _BODIES["result_table_gapped"] = _BODIES["result_table"].replace("FROM final", "FROM gap_final")
 for _kind in ("fasta", "stockholm"):
     _BODIES[f"{_kind}_text_gapped"] = _BODIES[f"{_kind}_text"].replace("FROM shown", """FROM (SELECT * REPLACE (

@@ -15,6 +15,7 @@ from profseek.operators import columns, dotbracket, gapped, kmers, nulls, seeds,
 from profseek.operators.distance import distance_profiles, kmer_names, match_kmers, reached_islands, window_stats
 from profseek.operators.extend import extend_seeds
 from profseek.plans import search
+from profseek.plans.run import shuffled_profiles
 from profseek.sinks import reports
 from profseek.sources.load import first_by_id, load_profiles
 from profseek.sources.native import read_native, write_native
@@ -746,6 +747,17 @@ def null_scores_ungapped(s: Source):
                        r6("scale").alias("scale"))
 
 
+@query
+def null_scores_stored(s: Source):
+    """The same fit from a null database that was written to storage and is read back as it is."""
+    cfg = UNGAPPED.replace(db_shuffles=2, null_hsgs=300)
+    path = fresh_path(s.spark, "null-database")
+    shuffled_profiles(s.db, cfg).write.parquet(path)
+    fits = search.null_fits(s.prepared(cfg), load_profiles(s.spark, path), cfg, shuffled=True)
+    return fits.select("query_id", L("n_null").alias("n_null"), r6("location").alias("location"),
+                       r6("scale").alias("scale"))
+
+
 def _whole_search(s: Source, **changes) -> DataFrame:
     cfg = UNGAPPED.replace(db_shuffles=2, null_hsgs=300, **changes)
     hits = search.search_hits(s.queries, s.rows, cfg, db=s.tiles(cfg), sizes=s.sizes)

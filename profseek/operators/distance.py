@@ -29,6 +29,7 @@ CELLS_PER_STEP = 2_000_000  # distances held at once by a task
 SIGMAS = 3.0
 SALTS = 256  # places a long target may spread over
 MOMENT_BYTES = 64 << 20  # of sums held by a task
+HELD_BYTES = 32 << 20  # of Arrow batches that meet a stored block together
 MANY_TILES = 65_536  # beyond this many tiles the sums of a target meet in two steps
 
 
@@ -49,15 +50,41 @@ class QueryBlocks:
                 "normal": np.ascontiguousarray(block["normal"][:, keep])}
         return QueryBlocks(spark.sparkContext.broadcast(block), [])
 
-    def __iter__(self) -> Iterator[dict]:
+    def __len__(self) -> int:
+        return 1 if self.broadcast is not None else len(self.paths)
+
+    def read(self, no: int) -> dict | None:
+        """Block `no`; none if it has no usable window."""
         if self.broadcast is not None:
-            yield self.broadcast.value
-            return
+            return self.broadcast.value
         import pyarrow.dataset as ds
 
-        for folder in self.paths:
-            fs, path = filesystem(folder)
-            yield _block(ds.dataset(path, filesystem=fs, format="parquet").to_table())
+        fs, path = filesystem(self.paths[no])
+        return _block(ds.dataset(path, filesystem=fs, format="parquet").to_table())
+
+    def meet(self, batches, prepare, wanted=None) -> Iterator[tuple]:
+        """(batch, prepare(batch), block number, block) for all batches and blocks.
+
+        A block in memory meets each batch as it comes. Stored blocks are read once for
+        all batches that make up HELD_BYTES, so reads follow the bytes of a task and
+        not its batches. `wanted(batch)` names the only blocks that a batch needs.
+        """
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch, prepare(batch), None if wanted is None else wanted(batch)))
+            size += batch.nbytes
+            if self.broadcast is not None or size >= HELD_BYTES:
+                yield from self._pairs(held)
+                held, size = [], 0
+        yield from self._pairs(held)
+
+    def _pairs(self, held: list[tuple]) -> Iterator[tuple]:
+        for no in range(len(self)):
+            met = [(batch, made) for batch, made, only in held if only is None or no in only]
+            block = self.read(no) if met else None
+            if block is not None:
+                for batch, made in met:
+                    yield batch, made, no, block
 
 
 def _block(table: pa.Table) -> dict | None:
@@ -304,15 +331,11 @@ def _map_pieces(source: DataFrame, blocks: QueryBlocks, cfg, ddl: str, emit) ->
     """Run `emit(batch, tiles, lo, hi, block_no, block)` over all pieces and blocks."""
 
     def run(batches):
-        for batch in batches:
-            tiles = _Tiles(batch, cfg.kmer_len)
-            for block_no, block in enumerate(blocks):
-                if block is None:
-                    continue
-                for lo, hi in tiles.pieces(block["normal"].shape[1]):
-                    out = emit(batch, tiles, lo, hi, block_no, block)
-                    if out is not None and out.num_rows:
-                        yield out
+        for batch, tiles, block_no, block in blocks.meet(batches, lambda b: _Tiles(b, cfg.kmer_len)):
+            for lo, hi in tiles.pieces(block["normal"].shape[1]):
+                out = emit(batch, tiles, lo, hi, block_no, block)
+                if out is not None and out.num_rows:
+                    yield out
 
     return source.mapInArrow(run, ddl)
 
@@ -325,32 +348,28 @@ def distance_profiles(db: TiledDb, blocks: QueryBlocks, cfg) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
-            tiles = _Tiles(batch, cfg.kmer_len)
-            for block in blocks:
-                if block is None:
+        for batch, tiles, _, block in blocks.meet(batches, lambda b: _Tiles(b, cfg.kmer_len)):
+            for lo, hi in tiles.pieces(block["normal"].shape[1]):
+                found = tiles.windows(lo, hi)
+                if found is None:
                     continue
-                for lo, hi in tiles.pieces(block["normal"].shape[1]):
-                    found = tiles.windows(lo, hi)
-                    if found is None:
-                        continue
-                    normal, cells, rows = found
-                    starts, row_ids = _runs(rows)
-                    sizes = np.diff(np.r_[starts, len(rows)])
-                    place = cells - tiles.offsets[rows] + tiles.tile_start[rows]
-                    for step in _steps(block["normal"].shape[1], len(rows)):
-                        dist, _ = _distances(normal, block["normal"][:, step], cfg.kmer_len)
-                        width = dist.shape[1]
-                        bounds = pa.array(np.r_[0, np.cumsum(np.tile(sizes, width))].astype(np.int32))
-                        take = pa.array(np.tile(row_ids, width))
-                        kmer = np.repeat(np.arange(step.start, step.start + width), len(row_ids))
-                        yield pa.RecordBatch.from_pydict({
-                            "query_id": block["ids"].take(pa.array(block["query"][kmer])),
-                            "q_pos": pa.array(block["q_pos"][kmer].astype(np.int64)),
-                            "target_id": batch.column("target_id").take(take),
-                            "target_ord": batch.column("target_ord").take(take),
-                            "d_pos": pa.ListArray.from_arrays(bounds, pa.array(np.tile(place, width).astype(np.int64))),
-                            "dist": pa.ListArray.from_arrays(bounds, pa.array(dist.T.ravel()))})
+                normal, cells, rows = found
+                starts, row_ids = _runs(rows)
+                sizes = np.diff(np.r_[starts, len(rows)])
+                place = cells - tiles.offsets[rows] + tiles.tile_start[rows]
+                for step in _steps(block["normal"].shape[1], len(rows)):
+                    dist, _ = _distances(normal, block["normal"][:, step], cfg.kmer_len)
+                    width = dist.shape[1]
+                    bounds = pa.array(np.r_[0, np.cumsum(np.tile(sizes, width))].astype(np.int32))
+                    take = pa.array(np.tile(row_ids, width))
+                    kmer = np.repeat(np.arange(step.start, step.start + width), len(row_ids))
+                    yield pa.RecordBatch.from_pydict({
+                        "query_id": block["ids"].take(pa.array(block["query"][kmer])),
+                        "q_pos": pa.array(block["q_pos"][kmer].astype(np.int64)),
+                        "target_id": batch.column("target_id").take(take),
+                        "target_ord": batch.column("target_ord").take(take),
+                        "d_pos": pa.ListArray.from_arrays(bounds, pa.array(np.tile(place, width).astype(np.int64))),
+                        "dist": pa.ListArray.from_arrays(bounds, pa.array(dist.T.ravel()))})
 
     return _kernel_input(db.tiles, cfg).mapInArrow(run, PROFILE_DDL)
 
@@ -419,28 +438,26 @@ def moment_arrays(db: TiledDb, tiles: DataFrame, blocks: QueryBlocks, cfg) -> Da
     each target and block. Arrays of a target with very many tiles meet in two steps.
     """
 
+    def prepare(batch):
+        return _Tiles(batch, cfg.kmer_len), *[batch.column(c).to_pylist() for c in ("target_id", "target_ord", "tile")]
+
     def run(batches):
         sums = _Sums()
-        for batch in batches:
-            mine = _Tiles(batch, cfg.kmer_len)
-            ids, ords, numbers = [batch.column(c).to_pylist() for c in ("target_id", "target_ord", "tile")]
-            for block_no, block in enumerate(blocks):
-                if block is None:
+        for _, (mine, ids, ords, numbers), block_no, block in blocks.meet(batches, prepare):
+            for lo, hi in mine.pieces(block["normal"].shape[1]):
+                found = mine.windows(lo, hi)
+                if found is None:
                     continue
-                for lo, hi in mine.pieces(block["normal"].shape[1]):
-                    found = mine.windows(lo, hi)
-                    if found is None:
-                        continue
-                    normal, _, rows = found
-                    starts, row_ids = _runs(rows)
-                    sizes = np.diff(np.r_[starts, len(rows)])
-                    parts = [_moments(*_distances(normal, block["normal"][:, step], cfg.kmer_len), starts)
-                             for step in _steps(block["normal"].shape[1], len(rows))]
-                    s1, s2 = np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts], 1)
-                    for j, row in enumerate(row_ids):
-                        sums.add((ids[row], ords[row], block_no), int(sizes[j]), numbers[row], s1[j], s2[j])
-                    if sums.bytes > MOMENT_BYTES:
-                        yield sums.batch()
+                normal, _, rows = found
+                starts, row_ids = _runs(rows)
+                sizes = np.diff(np.r_[starts, len(rows)])
+                parts = [_moments(*_distances(normal, block["normal"][:, step], cfg.kmer_len), starts)
+                         for step in _steps(block["normal"].shape[1], len(rows))]
+                s1, s2 = np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts], 1)
+                for j, row in enumerate(row_ids):
+                    sums.add((ids[row], ords[row], block_no), int(sizes[j]), numbers[row], s1[j], s2[j])
+                if sums.bytes > MOMENT_BYTES:
+                    yield sums.batch()
         if sums.held:
             yield sums.batch()
 
@@ -475,20 +492,19 @@ def window_stats(db: TiledDb, blocks: QueryBlocks, names: DataFrame, cfg) -> Dat
 
 def kmer_names(blocks: QueryBlocks, spark) -> DataFrame:
     """(block, kmer) numbers of the packed windows with their query and position."""
-    n_blocks = 1 if blocks.broadcast is not None else len(blocks.paths)
 
     def run(batches):
         for batch in batches:
-            wanted = set(batch.column("block").to_pylist())
-            for no, block in enumerate(blocks):
-                if block is not None and no in wanted:
+            for no in batch.column("block").to_pylist():
+                block = blocks.read(no)
+                if block is not None:
                     n = len(block["q_pos"])
                     yield pa.RecordBatch.from_pydict({
                         "block": pa.array(np.full(n, no, np.int64)), "kmer": pa.array(np.arange(n)),
                         "query_id": block["ids"].take(pa.array(block["query"])),
                         "q_pos": pa.array(block["q_pos"].astype(np.int64))})
 
-    return spark.range(n_blocks).withColumnRenamed("id", "block").mapInArrow(
+    return spark.range(len(blocks)).withColumnRenamed("id", "block").mapInArrow(
         run, "block long, kmer long, query_id string, q_pos long")
 
 
@@ -504,23 +520,21 @@ def long_hits(db: TiledDb, blocks: QueryBlocks, cfg) -> DataFrame:
     joined = balanced(salted.join(limits, [*key, "salt"]).drop("salt"), db.cells, *key, "tile", "block")
 
     def run(batches):
-        for batch in batches:
-            for block_no, block in enumerate(blocks):
-                mine = batch.filter(pc.equal(batch.column("block"), block_no))
-                if block is None or not mine.num_rows:
+        own = lambda batch: set(pc.unique(batch.column("block")).to_pylist())
+        for batch, _, block_no, block in blocks.meet(batches, lambda b: None, own):
+            mine = batch.filter(pc.equal(batch.column("block"), block_no))
+            tile_set = _Tiles(mine, cfg.kmer_len)
+            lists = mine.column("limits")
+            fixed = lists.flatten().to_numpy(zero_copy_only=False).reshape(mine.num_rows, -1)
+            for lo, hi in tile_set.pieces(block["normal"].shape[1]):
+                hits = _piece_hits(tile_set, lo, hi, block, cfg, fixed)
+                if hits is None or not len(hits[0]):
                     continue
-                tile_set = _Tiles(mine, cfg.kmer_len)
-                lists = mine.column("limits")
-                fixed = lists.flatten().to_numpy(zero_copy_only=False).reshape(mine.num_rows, -1)
-                for lo, hi in tile_set.pieces(block["normal"].shape[1]):
-                    hits = _piece_hits(tile_set, lo, hi, block, cfg, fixed)
-                    if hits is None or not len(hits[0]):
-                        continue
-                    kmer, row, d_pos = hits
-                    cell = tile_set.offsets[row] + d_pos - tile_set.tile_start[row]
-                    ok = _base_filters(tile_set, cell, block, kmer, cfg)
-                    out = _hit_batch(mine, block, hits)
-                    yield pa.RecordBatch.from_arrays([*out.columns, pa.array(ok)], names=[*out.schema.names, "ok"])
+                kmer, row, d_pos = hits
+                cell = tile_set.offsets[row] + d_pos - tile_set.tile_start[row]
+                ok = _base_filters(tile_set, cell, block, kmer, cfg)
+                out = _hit_batch(mine, block, hits)
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(ok)], names=[*out.schema.names, "ok"])
 
     # counted and filtered below: written once rather than computed twice
     raw = checkpointed(joined.mapInArrow(run, HIT_DDL + ", ok boolean"))

@@ -1,10 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import plain
 from helpers import capped, make, profiles
 from profseek.config import Distance, SearchConfig
+from profseek.operators import distance
 from profseek.operators import seeds as seed_ops
 from profseek.operators.distance import match_kmers
 from profseek.operators.significance import remove_overlaps
@@ -44,6 +46,30 @@ def test_hits_equal_brute_force(spark, changes):
     assert want and got == want
 
 
+def test_a_stored_block_is_read_once_for_many_batches(spark, monkeypatch):
+    """Reads follow the bytes of a task; a batch that names its blocks reads no others."""
+    queries = make(np.random.default_rng(4), "q", [60] * 8)
+    blocks = search.Queries.prepare(profiles(spark, queries), CFG.replace(query_block_bytes=500)).blocks
+    assert len(blocks) > 2
+    reads, read = [], type(blocks).read
+    monkeypatch.setattr(type(blocks), "read", lambda self, no: reads.append(no) or read(self, no))
+    batches = [pa.RecordBatch.from_pydict({"x": [n]}) for n in range(5)]
+    usable = [n for n in range(len(blocks)) if read(blocks, n) is not None]
+
+    def met(**options):
+        reads.clear()
+        return sorted((b.column("x")[0].as_py(), made, no) for b, made, no, _ in blocks.meet(
+            batches, lambda b: b.num_rows, **options))
+
+    assert met() == sorted((n, 1, no) for n in range(5) for no in usable)
+    assert reads == list(range(len(blocks)))
+    assert met(wanted=lambda b: {usable[0]}) == [(n, 1, usable[0]) for n in range(5)]
+    assert reads == [usable[0]]
+    monkeypatch.setattr(distance, "HELD_BYTES", 2 * batches[0].nbytes)
+    assert met() == sorted((n, 1, no) for n in range(5) for no in usable)
+    assert len(reads) == 3 * len(blocks)
+
+
 @pytest.mark.parametrize("tile_len", [8192, 64])
 def test_base_filters(spark, tile_len):
     cfg = CFG.replace(tile_len=tile_len, match_kmer_seq=True, kmer_max_seq_dist=Distance(6),
