@@ -33,8 +33,8 @@ from profseek.llm.word_tokens import word_tokens
 #: Enumerated patterns per longest length and number of documents.
 PATTERNS_PER_LENGTH = 12
 ROUNDS = 150
-#: Pieces per rank bucket, roughly.
-BUCKET = 50_000
+#: Pieces of one length per rank bucket, roughly.
+BUCKET = 2048
 
 
 def pieces(df: DataFrame, vocabulary: str, limit: int = 4096, end: int = 1, id_col: str = "doc_id", text: str = "text",
@@ -191,9 +191,10 @@ def pack(parts: DataFrame, limit: int = 4096) -> DataFrame:
     parts.write.parquet(path)
     stored = spark.read.parquet(path)
     histogram = {r["length"]: r["count"] for r in stored.groupBy("length").count().collect()}
-    total = sum(histogram.values())
     slots = _slots(plan(histogram, limit))
-    bucket = F.pmod(F.xxhash64("id", "piece", "start"), F.lit(max(1, total // BUCKET + 1)))
+    # buckets of each length by its own count, as one literal of at most `limit` numbers
+    buckets = F.split(F.lit(",".join(str(histogram.get(n, 0) // BUCKET + 1) for n in range(limit + 1))), ",").cast("array<long>")
+    bucket = F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.get(buckets, F.col("length").cast("int")))
     spread = stored.withColumn("bucket", bucket)
     sizes = spread.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

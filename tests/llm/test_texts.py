@@ -158,7 +158,9 @@ def best_fit(lengths, limit):
     return len(rooms)
 
 
-def test_packing(docs, word_bpe, sample_texts):
+@pytest.mark.parametrize("bucket", [2, packing.BUCKET])
+def test_packing(docs, word_bpe, sample_texts, monkeypatch, bucket):
+    monkeypatch.setattr(packing, "BUCKET", bucket)
     texts = [*ODD_TEXTS, *[t for _, t, _ in sample_texts]]
     rows = packing.packed_documents(docs(*enumerate(texts)), word_bpe, limit=512, with_ids=True).collect()
     n = check_packing(rows, texts, 512, word_bpe)
