@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 import plain
 from helpers import capped, make, profiles
 from profseek.config import Distance, SearchConfig
+from profseek.functions.shared import sliced
 from profseek.operators import distance
 from profseek.operators import seeds as seed_ops
 from profseek.operators.distance import match_kmers
 from profseek.operators.significance import remove_overlaps
-from profseek.operators.tiles import tiled
+from profseek.operators.tiles import stretch, tiled
 from profseek.plans import search
 
 CFG = SearchConfig(kmer_len=8, kmer_min_complexity=0.2, kmer_max_match_every_nt=20, max_kmer_dist=12)
@@ -195,3 +196,32 @@ def test_results_come_in_order(spark):
     values = [float(r["E-value"]) for r in table.collect()]
     assert len(values) > 3 and values == sorted(values)
     assert table.where(F.col("status") == "!").count() >= 1
+
+
+def test_tiles_of_a_stretch_stay_in_one_task(spark):
+    """So that sums over the tiles of a target leave a task once, in small inputs too."""
+    _, targets = fixture()
+    tiles = tiled(profiles(spark, targets), CFG.replace(tile_len=16)).tiles
+    places = tiles.withColumn("part", F.spark_partition_id()).groupBy("target_id").agg(
+        F.count_distinct("part").alias("n"), F.count("*").alias("tiles"))
+    assert {r.n for r in places.collect()} == {1} and places.agg(F.max("tiles")).first()[0] == 57
+    wide = stretch(F.col("tile"), CFG.replace(tile_len=4096))
+    assert [r[0] for r in spark.range(5).select(F.col("id").alias("tile")).select(wide).collect()] == [0, 0, 1, 1, 2]
+
+
+def test_one_array_of_moments_a_target(spark):
+    """A task adds up a target's tiles, whatever the size of what it holds."""
+    cfg = CFG.replace(tile_len=16)
+    queries, targets = fixture()
+    blocks = search.Queries.prepare(profiles(spark, queries), cfg).blocks
+    db = tiled(profiles(spark, targets), cfg)
+    rows = distance.moment_arrays(db, db.tiles, blocks, cfg).collect()
+    assert sorted((r.target_id, r.n) for r in rows) == [("t0", 143), ("t1", 893), ("t2", 33), ("t3", 1)]
+
+
+def test_kernels_take_slices_of_large_batches():
+    batch = pa.RecordBatch.from_pydict({"x": pa.array(range(10_000)), "v": pa.array([[1.0] * 9] * 10_000)})
+    parts = list(sliced(iter([batch, batch.slice(0, 0), batch.slice(9_999)]), 64 << 10))
+    assert max(p.nbytes for p in parts) <= 64 << 10 and len(parts) < 30
+    assert pa.Table.from_batches(parts).column("x").to_pylist() == [*range(10_000), 9_999]
+    assert [p.num_rows for p in sliced([batch.slice(0, 3)], 1)] == [1, 1, 1]
