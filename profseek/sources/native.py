@@ -8,6 +8,7 @@ file and cuts it into splits; many tasks then decode the splits.
 
 from __future__ import annotations
 
+import io
 import struct
 
 import numpy as np
@@ -27,6 +28,7 @@ LETTERS = "ACGTN"
 
 SPLIT_BYTES = 64 << 20
 BATCH_CELLS = 1 << 19
+HEAD_BYTES = 16 << 10
 
 
 def _body_end(stream, size: int) -> int:
@@ -57,8 +59,9 @@ def _head(stream, at: int) -> tuple[str, int, int]:
 def split_points(stream, size: int, split_bytes: int):
     """(start, end, number of the first record, records, positions, longest record) of record runs."""
     end, at, first, number, opened, cells, longest = _body_end(stream, size), 0, 0, 0, 0, 0, 0
+    heads = io.BufferedReader(stream, HEAD_BYTES)  # short records: many heads with one read
     while at < end:
-        _, n, body = _head(stream, at)
+        _, n, body = _head(heads, at)
         at = body + (n + 1) // 2 + 8 * n
         if at > end:
             raise ValueError("record runs past the end of file marker")
@@ -66,6 +69,7 @@ def split_points(stream, size: int, split_bytes: int):
         if at - opened >= split_bytes or at == end:
             yield opened, at, first, number - first, cells, longest
             opened, first, cells, longest = at, number, 0, 0
+    heads.detach()  # the stream stays the caller's
 
 
 def decode_bases(packed: bytes, n: int) -> str:

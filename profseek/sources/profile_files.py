@@ -1,7 +1,8 @@
 """Binary profile files as a Spark data source: spark.read.format("profiles"), df.write.format("profiles").
 
 Reading plans splits from the record heads of files over `splitBytes` and from
-the footers alone of the others, and numbers records over all files of a folder
+the footers alone of the others (splits of less than 64 MB grow with the files, so that there are
+about 1024 at most and one more a file), and numbers records over all files of a folder
 in the order of their names. Writing gives part files to a folder; they are
 drafts, which readers do not see, until every task is done. A failed write
 deletes its drafts and leaves the files of earlier writes as they were, also
@@ -24,6 +25,7 @@ from pyspark.sql.types import StructType
 from profseek.functions.shared import filesystem, ship_package
 from profseek.sources.native import (FOOTER, SPLIT_BYTES, _body_end, decoded_batches, encode_batch, footer, split_points)
 
+MAX_SPLITS = 1024  # above it splits grow, up to SPLIT_BYTES: a task must be worth its start
 SCHEMA = "id string, ord long, bases string, reactivity array<double>, molecule string"
 
 
@@ -62,17 +64,18 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Split]:
         fs, _ = filesystem(self.path)
-        splits, number = [], 0
-        for name, size in _files(self.path):
+        splits, number, files = [], 0, _files(self.path)
+        split_bytes = max(self.split_bytes, min(SPLIT_BYTES, sum(size for _, size in files) // MAX_SPLITS))
+        for name, size in files:
             with fs.open_input_file(name) as stream:
                 end = _body_end(stream, size)
                 stream.seek(end)
                 count = struct.unpack("<Q", stream.read(FOOTER)[:8])[0]
-                if size <= self.split_bytes:
+                if size <= split_bytes:
                     splits += [Split(name, 0, end, number)] if end else []
                     number += count
                     continue
-                for start, stop, first, records, _, _ in split_points(stream, size, self.split_bytes):
+                for start, stop, first, records, _, _ in split_points(stream, size, split_bytes):
                     splits.append(Split(name, start, stop, number + first))
                 number += first + records
         return splits

@@ -11,7 +11,7 @@ from profseek.plans.run import dump, run_search
 from profseek.sinks import reports
 from profseek.sources.load import first_by_id, load_profiles
 from profseek.sources.native import encode_record, footer, read_native, write_native, write_native_file
-from profseek.sources.profile_files import register
+from profseek.sources.profile_files import MAX_SPLITS, _Reader, register
 from profseek.sources.text import read_query_text
 from profseek.sources.xml import problems, read_xml
 
@@ -267,3 +267,17 @@ def test_ordinals_cover_all_files(spark, tmp_path):
     assert sorted(r.ord for r in read_query_text(spark, str(tmp_path / "text")).collect()) == list(range(6))
     assert sorted(r.ord for r in load_profiles(spark, str(tmp_path / "xml")).collect()) == [0, 1, 2]
     assert sorted(r.ord for r in load_profiles(spark, str(tmp_path / "rows")).collect()) == [0, 1, 2]
+
+
+def test_short_records_do_not_make_a_task_each(tmp_path):
+    count = 5000
+    records = [encode_record(f"r{n}", "ACGT", np.arange(4.0)) for n in range(count)]
+    (tmp_path / "many.db").write_bytes(b"".join(records) + footer(count))
+    reader = _Reader(str(tmp_path), 1)
+    splits = reader.partitions()
+    assert 500 < len(splits) <= MAX_SPLITS
+    ends = [0, *np.cumsum([len(r) for r in records]).tolist()]
+    assert [s.start for s in splits] == [0, *[s.end for s in splits[:-1]]] and splits[-1].end == ends[-1]
+    assert [s.first for s in splits] == [ends.index(s.start) for s in splits]
+    got = [name for split in splits for batch in reader.read(split) for name in batch.column("id").to_pylist()]
+    assert got == [f"r{n}" for n in range(count)]
